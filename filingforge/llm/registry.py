@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import decontaminate, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """Queries by name."""
     return {
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op9_url_filter": url_filter.op9_url_filter,
     }
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 def oracles() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
+        "op4_decontamination": decontaminate.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
