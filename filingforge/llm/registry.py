@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, url_filter
+from . import decontaminate, packing, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """Queries by name."""
     return {
+        "op2_packing": packing.op2_packing,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op9_url_filter": url_filter.op9_url_filter,
