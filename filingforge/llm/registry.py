@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, url_filter
+from . import decontaminate, packing, sharding, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -26,4 +27,5 @@ def oracles() -> dict[str, str]:
     return {
         "op4_decontamination": decontaminate.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
     }
