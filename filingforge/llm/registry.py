@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, url_filter, warc
+from . import decontaminate, packing, sharding, simhash, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     """Queries by name."""
     return {
         "op2_packing": packing.op2_packing,
+        "op3_simhash": simhash.op3_simhash,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op9_url_filter": url_filter.op9_url_filter,
