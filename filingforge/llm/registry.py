@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, simhash, url_filter, warc
+from . import decontaminate, packing, sharding, simhash, substring, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash": simhash.op3_simhash,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_sharding": sharding.op7_sharding,
+        "op8_substring": substring.op8_substring,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_warc": warc.op10_warc,
     }
@@ -27,6 +28,7 @@ def oracles() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
         "op4_decontamination": decontaminate.ORACLE_SQL,
+        "op8_substring": substring.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
     }
