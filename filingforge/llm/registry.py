@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, simhash, substring, url_filter, warc
+from . import decontaminate, language, packing, sharding, simhash, substring, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": packing.op2_packing,
         "op3_simhash": simhash.op3_simhash,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_language": language.op5_language,
         "op7_sharding": sharding.op7_sharding,
         "op8_substring": substring.op8_substring,
         "op9_url_filter": url_filter.op9_url_filter,
