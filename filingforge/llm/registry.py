@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, sharding, simhash, substring, url_filter, warc
+from . import decontaminate, language, packing, secrets, sharding, simhash, substring, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """Queries by name."""
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_packing": packing.op2_packing,
         "op3_simhash": simhash.op3_simhash,
         "op4_decontamination": decontaminate.op4_decontamination,
