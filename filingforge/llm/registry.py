@@ -13,7 +13,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """Queries by name."""
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secrets": secrets.op1_secrets,
         "op2_packing": packing.op2_packing,
         "op3_simhash": simhash.op3_simhash,
@@ -27,8 +30,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    """DuckDB SQL by query name."""
-    return {
+    """DuckDB SQL by query name, the pipeline's where it has one."""
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {
         "op4_decontamination": decontaminate.ORACLE_SQL,
         "op8_substring": substring.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
