@@ -15,8 +15,8 @@ from filingforge.llm.common import shared_dir, staged
 
 #: A text is rejected where no language has this share of its expected words.
 LEAST_SCORE = 0.4
-#: Near-duplicates: words of a shingle and differing bits of a link.
-SHINGLE, DISTANCE = 5, 3
+#: Near-duplicates: words of a shingle and differing bits of a link, as the operator's contract has them.
+SHINGLE, DISTANCE = 3, 3
 
 
 def _columns(docs: DataFrame) -> list[str]:
