@@ -4,7 +4,7 @@ A window is `length` consecutive words of one document; a word is removed where
 start anywhere else. Windows are judged on the input.
 
 Levels are lengths that double up to `length`: 9, 18, 35. Each window has one anchor at the first level, its least
-9-gram by hash (the first, where several tie), and one at the second, 18 words around that 9-gram. Equal windows have
+9-gram by hash (the first, where several tie), and one at the second, that 9-gram with the 9 words behind or before it. Equal windows have
 equal anchors at the same places, so a window can only be repeated if its anchors are. Only anchors that are repeated
 at one length are extended to the next, and only windows whose anchors survived are compared themselves.
 
@@ -87,7 +87,9 @@ class Level:
             return self.windows
         if level == 0:
             return self.anchor
-        return np.minimum(self.anchor, self.windows + self.length - self.sizes[level])
+        # The least gram with what follows it, or where that leaves the window, with what precedes it.
+        size = self.sizes[level]
+        return np.where(self.anchor <= self.windows + self.length - size, self.anchor, self.anchor + self.sizes[0] - size)
 
     def values(self, level: int) -> np.ndarray:
         """Hashes of all grams of a level's length."""
@@ -214,7 +216,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     moved = rows.repartition("id", "mark")
     found = None
     for level in range(len(levels_of(length))):
-        source = rows.select("id", "mark", "text") if found is None else moved.join(found, ["id", "mark"]).select("id", "mark", "text", "at")
+        # All columns of `moved` are read each time, so that its one exchange serves every level.
+        source = rows if found is None else moved.join(found, ["id", "mark"])
         found = gathered_by_document(ask(source, level, length))
     key_type = rows.schema["key"].dataType.simpleString()
     schema = f"key {key_type}, n_words long, n_removed long, kept binary"
@@ -237,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     kept.append(b" ".join(stay))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], schema=shape)
 
-    return moved.join(found, ["id", "mark"], "left").select("key", "text", "at").mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return moved.join(found, ["id", "mark"], "left").mapInArrow(cut, schema).withColumnRenamed("key", key)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
