@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import diff_queries, metric_queries, other_queries
+
+FLAGSHIP = "headline_scores"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**metric_queries.QUERIES, **diff_queries.QUERIES, **other_queries.QUERIES}
+ORACLES: dict[str, str] = {**metric_queries.ORACLES, **diff_queries.ORACLES, **other_queries.ORACLES}
