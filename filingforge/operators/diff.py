@@ -88,7 +88,7 @@ def align(current: list[str], prior: list[str], *, most: int = 2000, threshold:
 def with_alignment(pairs: DataFrame, current: str = "text", prior: str = "prior_text", *, lexical_terms: int = 2000, semantic_terms: int = 512) -> DataFrame:
     """Adds lexical_similarity, semantic_similarity and matched; the sentences columns have to be there already."""
     schema = StructType([*pairs.schema.fields, *KERNEL.fields])
-    shape = to_arrow_schema(schema)
+    shape, width = to_arrow_schema(schema), len(pairs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,7 @@ def with_alignment(pairs: DataFrame, current: str = "text", prior: str = "prior_
                 rows[0].append(text_similarity(a or "", b, lexical_terms))
                 rows[1].append(text_similarity(a or "", b, semantic_terms))
                 rows[2].append([{"ci": i, "pi": j, "sim": s} for i, j, s in align(cs or [], ps or [])])
-            extra = [pa.array(r, shape.field(len(pairs.columns) + k).type) for k, r in enumerate(rows)]
+            extra = [pa.array(r, shape.field(width + k).type) for k, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], schema=shape)
 
     return pairs.mapInArrow(run, schema)

@@ -1,2 +1,219 @@
-QUERIES = {}
-ORACLES = {}
+"""Validation statistics, time joins, resolution, HTML text and panels over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filingforge.operators import products, resolution, scoring, sections, validation
+from filingforge.session import table
+
+from .corpus import frame
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of each page, by length and digest."""
+    t = table(spark, sf_dir, "pages").withColumn("t", sections.clean_html(F.col("html")))
+    return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+#: A filing of three documents under headings, after a table of contents.
+HEADED_SQL = """SELECT doc_id AS filing_id, 'Table of contents. Item 1A. Risk Factors .......... 3 Item 7. Management .......... 9 ' || 'Item 1A. Risk Factors ' || coalesce(text, '')
+  || ' Item 3. Legal Proceedings None. Item 7. Management discussion ' || coalesce(substr(text, 1, 900), '') AS text FROM documents"""
+
+
+def section_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections cut from headed texts."""
+    out = sections.extract_sections(frame(spark, sf_dir, HEADED_SQL, "documents"), "10-K")
+    return out.select("filing_id", "section", "section_ord", F.col("word_count").cast("long").alias("word_count"), "extraction_confidence", F.array_join("warnings", ",").alias("warnings"))
+
+
+def required_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which filings have all required sections."""
+    found = sections.extract_sections(frame(spark, sf_dir, HEADED_SQL, "documents"), "10-K")
+    return sections.required_present(found, "10-K").select("filing_id", "required_sections_present", F.array_join("missing", ",").alias("missing"))
+
+
+def quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance quintiles of customers with their size and mean."""
+    q = validation.with_quintiles(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
+    return q.groupBy("quintile").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean_balance"), F.min("c_custkey").alias("least_key"))
+
+
+def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether expensive parts are larger, by first and last quintile."""
+    out = validation.quintile_monotonicity(table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("double")), "p_retailprice", "size", "p_partkey")
+    return out.select("n", "q1_n", "q5_n", F.round("q1_mean", 6).alias("q1_mean"), F.round("q5_mean", 6).alias("q5_mean"), F.round("q5_q1_ratio", 6).alias("q5_q1_ratio"), "status")
+
+
+def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman correlation of documents' lengths and their quality labels' order."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("x"), (F.col("quality") * 2 + F.col("toxic")).cast("double").alias("y"))
+    return validation.spearman(d, "x", "y", "doc_id").select("n", F.round("rho", 6).alias("rho"))
+
+
+def rank_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty parts whose ranks by price and by size differ most."""
+    p = table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("double"))
+    return validation.rank_gaps(p, "p_retailprice", "size", "p_partkey").select("p_partkey", "gap", "rx", "ry")
+
+
+BARS_SQL = "SELECT CAST(user_id AS STRING) AS ticker, CAST(ts AS DATE) AS date, max(value) + 1 AS close FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+FILED_SQL = "SELECT CAST(user_id AS STRING) AS ticker, min(CAST(ts AS DATE)) AS filing_date FROM events GROUP BY 1"
+
+
+def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annualised volatility in the 25 days after each user's first day."""
+    bars, filed = (frame(spark, sf_dir, q, "events") for q in (BARS_SQL, FILED_SQL))
+    out = validation.realised_volatility(filed, bars, days=25, least=3)
+    return out.select("ticker", "trading_days", F.round("realized_vol", 6).alias("realized_vol"))
+
+
+def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily log returns of each user's values."""
+    out = validation.log_returns(frame(spark, sf_dir, BARS_SQL, "events"))
+    return out.select("ticker", F.col("date").cast("string").alias("date"), F.round("log_return", 6).alias("log_return"))
+
+
+def next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first order of each customer strictly after each customer's large orders."""
+    o = table(spark, sf_dir, "orders")
+    large = o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("filing_date"))
+    after = o.groupBy(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("event_date")).agg(F.max("o_totalprice").alias("value"))
+    return validation.first_after(large, after).select("id", F.col("next_event_date").cast("string").alias("next_event_date"), "next_event_value")
+
+
+def corpus_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's length among those of its language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("score"))
+    return products.corpus_context(d, "score", ["lang"]).select("doc_id", "cohort_n", "cohort_median", "percentile")
+
+
+CHECKS = (("parse_error", "text IS NULL"), ("holdout", "doc_id % 11 = 0"), ("wrong_section", "lang NOT IN ('en', 'de')"), ("short_text", "n_chars < 800"), ("low_confidence", "(doc_id % 20) / 20.0 < 0.15"))
+
+
+def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First reason to leave a row out, counted."""
+    out = validation.filter_reasons(table(spark, sf_dir, "documents"), [(n, F.expr(e)) for n, e in CHECKS])
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+SUBMISSIONS_SQL = """SELECT CAST(o_custkey AS STRING) AS cik, CAST(o_orderkey AS STRING) AS accession, CASE o_orderkey % 5 WHEN 0 THEN '10-K/A' WHEN 1 THEN '8-K' WHEN 2 THEN '10-Q' ELSE '10-K' END AS form,
+  substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10) AS filing_date, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE substr(CAST(CAST(o_orderdate AS DATE) - INTERVAL 60 DAY AS STRING), 1, 10) END AS report_date,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) AS INT) END AS dei_fiscal_year, CASE WHEN o_orderkey % 4 = 0 THEN 'FY' END AS dei_period FROM orders"""
+TARGETS_SQL = "SELECT c_custkey AS target_id, CAST(c_custkey AS STRING) AS cik, '10-K' AS form_type, CAST(1993 + c_custkey % 5 AS INT) AS fiscal_year, CAST(NULL AS STRING) AS quarter FROM customer"
+
+
+def filing_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best submission of each target."""
+    out = resolution.resolve(frame(spark, sf_dir, SUBMISSIONS_SQL, "orders"), frame(spark, sf_dir, TARGETS_SQL, "customer"))
+    return out.select("target_id", "accession", "score")
+
+
+def ticker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier names with dots found under names with hyphens."""
+    s = table(spark, sf_dir, "supplier")
+    companies = s.select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_suppkey").alias("cik"))
+    requests = s.select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("s.")).otherwise(F.lit("S-")), (F.col("s_suppkey") + F.col("s_suppkey") % 3).cast("string")).alias("ticker"))
+    return resolution.ticker_to_cik(requests, companies).select("s_suppkey", "cik")
+
+
+def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each vector and the next one by id."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("u")), "vec_id")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    dot, norm = total(F.zip_with("v", "u", lambda x, y: x * y)), lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
+    return pairs.select("vec_id", F.round(F.when((norm("v") > 0) & (norm("u") > 0), dot / (norm("v") * norm("u"))).otherwise(0.0), 6).alias("cosine"))
+
+
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the documents against thresholds."""
+    d = table(spark, sf_dir, "documents")
+    n = F.count("*")
+    long = d.agg(F.array(
+        validation.gate("share_english", F.avg((F.col("lang") == "en").cast("double")), 0.5, n), validation.gate("share_long", F.avg((F.col("n_chars") >= 1000).cast("double")), 0.9, n),
+        validation.gate("median_chars", F.median("n_chars"), 500, n), validation.gate("share_null", F.avg(F.col("text").isNull().cast("double")), 0.01, n, at_least=False),
+    ).alias("g")).select(F.inline("g"))
+    return long.select("name", F.round("value", 6).alias("value"), "threshold", "n", "status")
+
+
+def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least two gates pass."""
+    return validation.overall(gates(spark, sf_dir), need=2)
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for customers of which some are unknown, in order."""
+    c = table(spark, sf_dir, "customer")
+    requests = c.where("c_custkey < 40").select((F.col("c_custkey") * 41).alias("filing_id"), F.col("c_custkey").alias("ordinal"))
+    return products.panel(requests, c.select(F.col("c_custkey").alias("filing_id"), F.round("c_acctbal", 2).alias("score"))).select("ordinal", "filing_id", "score", "status", "error")
+
+
+def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by band of a score."""
+    score = F.when(F.col("c_custkey") % 13 != 0, F.col("c_acctbal") / 100)
+    return table(spark, sf_dir, "customer").select(products.risk_band(score).alias("band"), products.risk_band(score, inverted=True).alias("inverted")).groupBy("band", "inverted").agg(F.count("*").alias("n"))
+
+
+def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which weight of price and size correlates best with the part's key."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"), (F.col("p_partkey") % 97).cast("double").alias("target"))
+    return validation.best_weights(p, "a", "b", "target", "p_partkey").select("weight", "n", F.round("rho", 6).alias("rho"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mid-rank percentiles, robust z and winsorised positions among fixed references."""
+    refs = scoring.DECILES["", "10-K", "negative_word_ratio"]
+    d = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("v"))
+    arr = F.lit(list(refs))
+    return d.select("l_orderkey", "l_linenumber", F.round(scoring.percentile_rank(F.col("v"), refs), 6).alias("percentile"), F.round(scoring.robust_z(F.col("v"), arr), 6).alias("robust_z"), F.round(scoring.winsorized(F.col("v"), arr), 6).alias("position"))
+
+
+def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True and upper medians of suppliers' balances by nation."""
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.median("s_acctbal"), 6).alias("median"), validation.upper_median("s_acctbal").alias("upper_median"))
+
+
+QUERIES = {f.__name__: f for f in (html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, risk_bands, blend_search, calibration, upper_medians)}
+
+_Q = "least(5, floor((row_number() OVER (ORDER BY {v}, {k}) - 1) * 5 / count(*) OVER ()) + 1)"
+_STRIP = "html"
+for _tag in ("script", "style", "noscript"):
+    _STRIP = rf"regexp_replace({_STRIP}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', chr(10), 'g')"
+_STRIP = rf"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', chr(10), 'g'), '(?s)<[!/?a-zA-Z][^>]*>', chr(10), 'g')"
+for _n, _c in sections.ENTITIES.items():
+    _STRIP = f"replace({_STRIP}, '{_n}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_REFS = "[" + ", ".join(map(str, scoring.DECILES["", "10-K", "negative_word_ratio"])) + "]"
+_RULE = " ".join(f"WHEN {e} THEN '{n}'" for n, e in CHECKS)
+_BAND = "CASE WHEN {s} IS NULL THEN 'missing' WHEN {s} <= 25 THEN 'low' WHEN {s} <= 50 THEN 'moderate' WHEN {s} <= 75 THEN 'elevated' ELSE 'high' END"
+
+ORACLES = {
+    "html_text": rf"""WITH l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array({_STRIP}, '\r?\n'), lambda s: trim(regexp_replace(s, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+', ' ', 'g'))), lambda s: s <> '') AS x FROM pages),
+        k AS (SELECT page_id, array_to_string(list_filter(x, lambda s, i: length(s) >= 40 OR list_position(x, s) = i), chr(10) || chr(10)) AS t FROM l) SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM k""",
+    "quintiles": f"SELECT CAST(q AS INT) AS quintile, count(*) AS n, round(avg(c_acctbal), 6) AS mean_balance, min(c_custkey) AS least_key FROM (SELECT *, {_Q.format(v='c_acctbal', k='c_custkey')} AS q FROM customer) GROUP BY q",
+    "monotonicity": f"WITH q AS (SELECT p_size AS s, {_Q.format(v='p_retailprice', k='p_partkey')} AS q FROM part), a AS (SELECT count(*) AS n, count(*) FILTER (q = 1) AS q1_n, count(*) FILTER (q = 5) AS q5_n, avg(s) FILTER (q = 1) AS a, avg(s) FILTER (q = 5) AS b FROM q)"
+    + " SELECT n, q1_n, q5_n, round(a, 6) AS q1_mean, round(b, 6) AS q5_mean, round(b / a, 6) AS q5_q1_ratio, CASE WHEN n < 50 OR q1_n < 5 OR q5_n < 5 THEN 'insufficient' WHEN b > a THEN 'pass' ELSE 'fail' END AS status FROM a",
+    "rank_correlation": "WITH j AS (SELECT doc_id, n_chars AS x, quality * 2 + toxic AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT row_number() OVER (ORDER BY x, doc_id) AS a, row_number() OVER (ORDER BY y, doc_id) AS b FROM j) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
+    "rank_gaps": "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS rx, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS ry FROM part) SELECT p_partkey, abs(rx - ry) AS gap, rx, ry FROM r ORDER BY gap DESC, p_partkey DESC LIMIT 20",
+    "volatility": f"WITH bars AS ({BARS_SQL}), f AS ({FILED_SQL}), b AS (SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS p FROM bars JOIN f USING (ticker) WHERE date > filing_date AND date <= filing_date + 25), r AS (SELECT ticker, CASE WHEN p > 0 AND close > 0 THEN ln(close / p) END AS r FROM b)"
+    + " SELECT ticker, count(*) AS trading_days, round(CASE WHEN count(r) >= 3 THEN stddev_samp(r) * sqrt(252) END, 6) AS realized_vol FROM r GROUP BY ticker",
+    "log_returns": f"WITH bars AS ({BARS_SQL}), b AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS p FROM bars) SELECT ticker, CAST(date AS VARCHAR) AS date, round(CASE WHEN p > 0 AND close > 0 THEN ln(close / p) END, 6) AS log_return FROM b",
+    "next_event": "WITH e AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), l AS (SELECT o_custkey AS c, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 200000) SELECT id, CAST(min(e.d) AS VARCHAR) AS next_event_date, arg_min(e.v, e.d) AS next_event_value FROM l LEFT JOIN e ON e.c = l.c AND e.d > l.d GROUP BY id",
+    "corpus_context": "WITH d AS (SELECT doc_id, lang, n_chars AS s FROM documents WHERE n_chars IS NOT NULL), c AS (SELECT lang, count(*) AS n, round(median(s), 1) AS m FROM d GROUP BY lang) SELECT doc_id, n AS cohort_n, m AS cohort_median, CAST(round_even((rank() OVER (PARTITION BY lang ORDER BY s) - 1) * 100 / n, 0) AS INT) AS percentile FROM d JOIN c USING (lang)",
+    "filter_reasons": f"SELECT coalesce(CASE {_RULE} END, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1",
+    "filing_resolution": f"""WITH s AS ({SUBMISSIONS_SQL}), t AS ({TARGETS_SQL}), x AS (SELECT t.target_id, accession, filing_date, report_date, fiscal_year, CASE WHEN coalesce(dei_fiscal_year, CAST(substr(report_date, 1, 4) AS INT)) = fiscal_year THEN 3 WHEN CAST(substr(report_date, 1, 4) AS INT) = fiscal_year THEN 2
+        WHEN CAST(substr(filing_date, 1, 4) AS INT) = fiscal_year THEN 1 END * 1e9 + CASE WHEN ends_with(form, '/A') THEN 0 ELSE 1e5 END + CAST(replace(filing_date, '-', '') AS DOUBLE) AS score FROM t JOIN s ON t.cik = s.cik AND replace(form, '/A', '') = form_type WHERE coalesce(dei_period, '') IN ('', 'FY')),
+        r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, abs(coalesce(CAST(substr(report_date, 1, 4) AS INT), 0) - fiscal_year), report_date DESC NULLS LAST, filing_date DESC, accession) AS k FROM x WHERE score IS NOT NULL)
+        SELECT t.target_id, accession, score FROM t LEFT JOIN r ON t.target_id = r.target_id AND k = 1""",
+    "ticker_lookup": "SELECT a.s_suppkey, lpad(CAST(b.s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + a.s_suppkey % 3",
+    "vector_cosine": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
+    "gates": "WITH a AS (SELECT count(*) AS n, avg(CAST(lang = 'en' AS INT)) AS e, avg(CAST(n_chars >= 1000 AS INT)) AS l, median(n_chars) AS m, avg(CAST(text IS NULL AS INT)) AS z FROM documents) SELECT name, round(CAST(v AS DOUBLE), 6) AS value, CAST(t AS DOUBLE) AS threshold, n, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM (SELECT 'share_english' AS name, e AS v, 0.5 AS t, n, e >= 0.5 AS ok FROM a UNION ALL SELECT 'share_long', l, 0.9, n, l >= 0.9 FROM a UNION ALL SELECT 'median_chars', m, 500, n, m >= 500 FROM a UNION ALL SELECT 'share_null', z, 0.01, n, z <= 0.01 FROM a)",
+    "panel": "WITH r AS (SELECT c_custkey * 41 AS filing_id, c_custkey AS ordinal FROM customer WHERE c_custkey < 40) SELECT ordinal, filing_id, round(c_acctbal, 2) AS score, CASE WHEN c_custkey IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN c_custkey IS NULL THEN 'not found' END AS error FROM r LEFT JOIN customer ON c_custkey = filing_id",
+    "risk_bands": "WITH s AS (SELECT CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal / 100 END AS s FROM customer) SELECT " + _BAND.format(s="s") + " AS band, " + _BAND.format(s="(100 - s)") + " AS inverted, count(*) AS n FROM s GROUP BY 1, 2",
+    "blend_search": "WITH g AS (SELECT w, p_partkey AS k, p_retailprice * w + p_size * (1 - w) AS m, p_partkey % 97 AS t FROM part, (SELECT unnest([CAST(0.5 AS DOUBLE), 0.6, 0.7]) AS w)), r AS (SELECT w, row_number() OVER (PARTITION BY w ORDER BY m, k) AS a, row_number() OVER (PARTITION BY w ORDER BY t, k) AS b FROM g) SELECT w AS weight, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY w",
+    "calibration": f"SELECT l_orderkey, l_linenumber, round(100 * (len(list_filter({_REFS}, lambda r: r < l_discount)) + 0.5 * len(list_filter({_REFS}, lambda r: r = l_discount))) / 10, 6) AS percentile, round((l_discount - 0.06) / (1.4826 * 0.04), 6) AS robust_z, round(100 * (greatest(0.01, least(0.12, l_discount)) - 0.01) / (0.12 - 0.01), 6) AS position FROM lineitem WHERE l_orderkey <= 2000",
+    "upper_medians": "SELECT s_nationkey, round(median(s_acctbal), 6) AS median, list_sort(list(s_acctbal))[len(list(s_acctbal)) // 2 + 1] AS upper_median FROM supplier GROUP BY s_nationkey",
+    "required_sections": "SELECT doc_id AS filing_id, true AS required_sections_present, '' AS missing FROM documents",
+}
+
