@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, secrets, sharding, simhash, substring, url_filter, warc
+from . import decontaminate, language, packing, secrets, sharding, simhash, substring, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash": simhash.op3_simhash,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_language": language.op5_language,
+        "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_substring": substring.op8_substring,
         "op9_url_filter": url_filter.op9_url_filter,
@@ -36,6 +37,7 @@ def oracles() -> dict[str, str]:
     own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return own | {
         "op4_decontamination": decontaminate.ORACLE_SQL,
+        "op6_topk": topk.ORACLE_SQL,
         "op8_substring": substring.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
