@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingforge.llm import decontaminate, language, packing, secrets, simhash
@@ -19,36 +19,46 @@ LEAST_SCORE = 0.4
 SHINGLE, DISTANCE = 3, 3
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return docs.columns
+def _nested(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row as one column, so that no name of the row can clash with a stage's own."""
+    return docs.select(F.struct("*").alias("document"), F.col("text"))
+
+
+def _rows(found: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The rows again, in the columns of docs, some with new values."""
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"document.`{c}`") for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a language (null, no letter) and those in which none stands out; sets lang to the one found."""
-    found = language.predict(docs, language.train_on(docs), carry=_columns(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*_columns(docs))
+    found = language.predict(_nested(docs), language.train_on(docs), carry=["document"])
+    return _rows(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs, lang=F.col("lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the least doc_id of each component; of rows that repeat that id, the one of the least text hash."""
-    found = simhash.near_duplicates(docs, width=SHINGLE, distance=DISTANCE)
-    kept = staged(spark, found.where(F.col("doc_id") == F.col("component")).select("doc_id").distinct(), "kept-ids")
-    return docs.join(kept, "doc_id").select(*_columns(docs)).dropDuplicates(["doc_id"])
+    """Keeps the row of the least doc_id of each component.
+
+    Rows that repeat an id are one document. A row of null id stands behind all that have one; equal texts of null id
+    are one document.
+    """
+    surrogate = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), surrogate))
+    found = simhash.near_duplicates(named, key="__id", width=SHINGLE, distance=DISTANCE)
+    kept = staged(spark, found.where(F.col("__id") == F.col("component")).select("__id").distinct(), "kept-ids")
+    return named.join(kept, "__id").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least one word in twenty lies in a benchmark item's window."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_columns(docs))
-    return found.where(~decontaminate.is_contaminated()).select(*_columns(docs))
+    found = decontaminate.contamination(_nested(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["document"])
+    return _rows(found.where(~decontaminate.is_contaminated()), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows."""
-    columns = _columns(docs)
-    found = secrets.scan_secrets(docs, secrets.train_markov(secrets.labelled_samples(docs)), carry=[c for c in columns if c != "text"])
-    found = found.withColumn("text", secrets.redacted("text", "spans"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else found.select(*columns)
+    found = secrets.scan_secrets(_nested(docs), secrets.train_markov(secrets.labelled_samples(docs)), carry=["document"])
+    found = found.withColumn("clean", F.when(F.col("document.text").isNotNull(), secrets.redacted("text", "spans")))
+    return _rows(found, docs, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
