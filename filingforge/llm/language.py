@@ -33,6 +33,8 @@ from .words import LOWER, M1, Words, mixed, split_words, word_hashes
 SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS, MOST_LANGUAGES = 400, 3, 24, 256
 #: Rows of the table of hashed feature weights.
 TABLE = 1 << 17
+#: Bytes of text that are worked on at once, about; working memory is some forty times that.
+SLICE_BYTES = 2 << 20
 #: Words of a block of forward-backward.
 BLOCK = 32
 
@@ -289,7 +291,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE_BYTES):
                 n = part.num_rows
                 words = split_words(part.column("__text"), NOT_LETTER, lower=True)
                 states = len(model.languages) if model else 0

@@ -205,9 +205,12 @@ def gathered_by_document(replies: DataFrame) -> DataFrame:
 
 
 def with_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, mark, text: the key (or for a null key the text's hash), 16 bits of the text's hash, the text."""
+    """id, mark, text: the key (or for a null key the text's hash), 16 bits of the text's hash, the text.
+
+    id and mark can't be null, so inner and outer joins on them share one exchange of the texts.
+    """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), digest).alias("id"), F.pmod(digest, F.lit(65536)).cast("int").alias("mark"), F.col(text).alias("text"))
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), digest).alias("id"), digest.bitwiseAND(F.lit(65535)).cast("int").alias("mark"), F.col(text).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
