@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .words import WHITE_SPACE, Words, covered, expand, grams, joined, split_wor
 LENGTH = 35
 #: Rows that a task gathers before it looks for repeats among them and sends them on.
 GATHERED = 2_000_000
-REPLY = "id long, mark int, at binary"
+REPLY = "id long, mark int, at int"
 
 
 def levels_of(length: int) -> list[int]:
@@ -105,7 +106,13 @@ def _distinct_rows(hashes: np.ndarray, tails: np.ndarray, ids: np.ndarray) -> tu
     return order, new, np.diff(np.concatenate([new, [len(h)]]))
 
 
-def _replies(ids: np.ndarray, tails: np.ndarray) -> tuple[list, list, list]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a list column in a row, and how many each list has; null lists have none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.array(column.flatten(), dtype=np.int64), sizes
+
+
+def _packed(ids: np.ndarray, tails: np.ndarray) -> tuple[list, list, list]:
     """Positions by document: id, mark and packed positions."""
     mark, at = ((tails >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32), (tails & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     order = np.lexsort((at, mark, ids))
@@ -127,7 +134,7 @@ def _question(shape: pa.Schema, hashes: np.ndarray, tails: np.ndarray, ids: np.n
     )
     rest = np.delete(order, new)
     if len(rest):
-        who, mark, at = _replies(ids[rest], tails[rest])
+        who, mark, at = _packed(ids[rest], tails[rest])
         spread = joined(np.array(who, np.int64).view(np.uint64), np.array(mark, np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.array(mark, np.int64) << 32), pa.array(who, pa.int64()), pa.array(np.ones(len(who), bool)), pa.array(at, pa.binary())], schema=shape)
 
@@ -152,9 +159,8 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
                 use = np.ones(len(state.windows), bool)
                 if level:
                     alive = np.zeros(len(words.starts), bool)
-                    for first, at in zip(words.first[:-1].tolist(), part.column("at").to_pylist(), strict=True):
-                        if at:
-                            alive[first + np.frombuffer(b"".join(at), np.uint32).astype(np.int64)] = True
+                    flat, sizes = _lists(part.column("at"))
+                    alive[np.repeat(words.first[:-1], sizes) + flat] = True
                     use = alive[state.places(level - 1)]
                 place = np.unique(state.places(level)[use])
                 doc = np.searchsorted(words.first, place, "right") - 1
@@ -177,8 +183,10 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
         for batch in batches:
             known = batch.filter(batch.column("at").is_valid())
             if known.num_rows:
+                sizes = pc.binary_length(known.column("at")).to_numpy(zero_copy_only=False) // 4
                 mark = (np.array(known.column("tail"), dtype=np.int64) >> 32).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([known.column("id"), pa.array(mark), known.column("at")], schema=reply_shape)
+                at = np.frombuffer(b"".join(known.column("at").to_pylist()), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(known.column("id")), sizes)), pa.array(np.repeat(mark, sizes)), pa.array(at)], schema=reply_shape)
             open_ = batch.filter(batch.column("at").is_null())
             kept.append(tuple(np.array(open_.column(c)) for c in ("hash", "tail", "id", "twice")))
         if not kept:
@@ -191,16 +199,20 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
         group = np.repeat(np.arange(len(new)), count)
         repeated = (count > 1) | np.logical_or.reduceat(twice[order], new)
         found = order[repeated[group]]
-        if len(found):
-            who, mark, at = _replies(ids[found], tails[found])
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(mark, pa.int32()), pa.array(at, pa.binary())], schema=reply_shape)
+        # A row a position: as many whatever the number of tasks. By document, so that the next step combines them well.
+        found = found[np.lexsort((tails[found] & np.uint64(0xFFFFFFFFFFFF), ids[found]))]
+        for i in range(0, len(found), 1 << 18):
+            f = found[i : i + (1 << 18)]
+            mark = ((tails[f] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)
+            at = (tails[f] & np.uint64(0xFFFFFFFF)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(mark), pa.array(at)], schema=reply_shape)
 
     asked = docs.mapInArrow(emit, _ROW)
     return asked.repartition(F.col("hash")).mapInArrow(answer, REPLY)
 
 
 def gathered_by_document(replies: DataFrame) -> DataFrame:
-    """One row a document, with the list of its packed positions."""
+    """One row a document, with its positions; they are combined before the shuffle too."""
     return replies.groupBy("id", "mark").agg(F.collect_list("at").alias("at"))
 
 
@@ -230,10 +242,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in slices(batch, "text"):
                 counts, removed, kept = [], [], []
-                for content, at in zip(part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
+                flat, sizes = _lists(part.column("at"))
+                for content, at in zip(part.column("text").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                     words = (content or "").encode().split()
-                    if at:
-                        starts = np.unique(np.frombuffer(b"".join(at), np.uint32)).astype(np.int64)
+                    if len(at):
+                        starts = np.unique(at)
                         gone = covered(len(words), starts, starts + length)
                         stay = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     else:
