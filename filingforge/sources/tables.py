@@ -4,17 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CORPUS_SCHEMA = T.StructType.fromDDL(
-    "ticker string, fiscal_year int, section_name string, cleaned_text string, word_count int, extraction_confidence double, form_type string, html_path string, accession_number string, filing_date string, cik string, warnings array<string>"
-)
-MATRIX_SCHEMA = T.StructType.fromDDL(
-    "ticker string, form_type string, fiscal_year int, sections map<string,string>, prior_sections map<string,string>, quality map<string,struct<word_count:int,extraction_confidence:double,warnings:array<string>>>"
-)
-SUBMISSIONS_SCHEMA = T.StructType.fromDDL(
-    "cik string, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>>"
-)
+CORPUS_SCHEMA = "ticker string, fiscal_year int, section_name string, cleaned_text string, word_count int, extraction_confidence double, form_type string, html_path string, accession_number string, filing_date string, cik string, warnings array<string>"
+MATRIX_SCHEMA = "ticker string, form_type string, fiscal_year int, sections map<string,string>, prior_sections map<string,string>, quality map<string,struct<word_count:int,extraction_confidence:double,warnings:array<string>>>"
+SUBMISSIONS_SCHEMA = "cik string, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>>"
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +18,7 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of section texts; a broken line is a row with parse_error true."""
-    rows = spark.read.schema(T.StructType([*CORPUS_SCHEMA.fields, T.StructField("_broken", T.StringType())])).option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = spark.read.schema(f"{CORPUS_SCHEMA}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
     return rows.withColumn("parse_error", F.col("_broken").isNotNull()).drop("_broken")
 
 
