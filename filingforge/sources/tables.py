@@ -13,7 +13,7 @@ SUBMISSIONS_SCHEMA = "cik string, filings struct<recent:struct<accessionNumber:a
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """path, html: one row a file, undecodable bytes dropped."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("html"))
+    return files.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("html"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
