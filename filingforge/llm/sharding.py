@@ -10,8 +10,8 @@ capacity is highest, among the shards whose remaining bytes hold it.
 Slots are numbered in parts of bounded size: each shard is cut into parts by the hash of doc_id, parts are counted,
 and a row's slot is its part's offset plus its rank in the part.
 
-Defined results: a null text has no bytes and no tokens, CRC 0 and groups with the other null texts; repeated rows are
-rows of their own, in one shard, with slots of their own; an empty table gives an empty result; other columns are
+Defined results: a null text is an empty one, with no bytes, no tokens and CRC 0; repeated rows are rows of their own, in
+one shard unless their group is cut, with slots of their own; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -65,8 +65,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
             F.col(key),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
             F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1, F.lit(0)).cast("long").alias("tokens"),
-            F.coalesce(F.xxhash64(text), F.lit(0)).alias("h1"),
+            F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1).otherwise(F.lit(0)).cast("long").alias("tokens"),
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h1"),
         ),
         "shard-rows",
     )

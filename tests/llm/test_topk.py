@@ -22,7 +22,7 @@ def test_like_brute_force(spark, query_block):
     r = np.random.default_rng(0)
     centres = r.normal(size=(6, 8)) * 3
     rows = [(i, (centres[i % 6] + r.normal(size=8) * 0.3).astype(np.float32).tolist()) for i in range(500)]
-    rows += [(600, None), (620, [1.0, None, 2.0, 0, 0, 0, 0, 0]), (640, [float("nan")] * 8), (660, [float("inf")] * 8), (680, [1.0, 2.0]), (681, [2.0, 1.0]), (700, []), (None, [1.0] * 8), (20, rows[20][1]), (521, rows[20][1]), (522, rows[20][1])]
+    rows += [(600, None), (620, [1.0, None, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (640, [float("nan")] * 8), (660, [float("inf")] * 8), (680, [1.0, 2.0]), (681, [2.0, 1.0]), (700, []), (None, [1.0] * 8), (20, rows[20][1]), (521, rows[20][1]), (522, rows[20][1])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(4)
     got = topk.top_k(frame, lambda key: key % 20 == 0, query_block=query_block, sample_rows=50).collect()
     assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got} == brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 10)
