@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ from .common import arrow_schema, slices
 POOL_WINDOWS = 192
 #: Tokens of the parts that tails are cut into, so that differencing has several for each window.
 CUT = 256
-#: Entries of a worker's memory of words, after which it starts anew.
-MEMORY = 400_000
+#: Entries of a worker's memory of words, characters of the longest of them (longer ones rarely come again), and unknown
+#: words after which a full memory starts anew.
+MEMORY, REMEMBERED, PATIENCE = 600_000, 12, 8_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,6 +46,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Ids by word; a word that isn't there is encoded, and kept if it is short and there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.misses = encode, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.encode(word)).tobytes()
+        if len(word) <= REMEMBERED:
+            if len(self) < MEMORY:
+                self[word] = ids
+            else:
+                self.misses += 1
+                if self.misses >= PATIENCE:
+                    self.clear()
+                    self.misses = 0
+        return ids
+
+
 class WordTokenizer:
     """Byte-level BPE ids of texts, word by word with a memory of bounded size.
 
@@ -64,32 +87,19 @@ class WordTokenizer:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         if any(vocabulary[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("the vocabulary's ids don't follow its merges")
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed as little-endian 32-bit numbers")
         special = set(vocabulary) - {a + b for a, b in merges} - set(alphabet)
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.encoding = tiktoken.Encoding("words", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.unsafe = re.compile(r"[ \n](?=\s|$)|\x01")
-        self.memory: dict[str, bytes] = {}
-
-    def fresh(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        self.memory = Memory(self.encoding.encode_ordinary)
 
     def ids(self, text: str) -> bytes:
         """The ids, each as an unsigned little-endian 32-bit number."""
         if self.unsafe.search(text):
-            return self.fresh(text)
-        memory, fresh = self.memory, self.fresh
-        if len(memory) > MEMORY:
-            memory.clear()
-        words = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-        out = []
-        for word in words:
-            found = memory.get(word)
-            if found is None:
-                found = fresh(word)
-                if len(word) <= 64:
-                    memory[word] = found
-            out.append(found)
-        return b"".join(out)
+            return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        return b"".join(map(self.memory.__getitem__, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")))
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
