@@ -8,6 +8,7 @@ of exploding sentences and terms into a shuffle. All else is built from column e
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from filingforge.functions import text as T
 from filingforge.functions.term_packs import TermPacks
 
-TERM = re.compile(r"\w\w+")
+TERM, RUN = re.compile(r"\w\w+"), re.compile(r"\w+")
 MATCH, SAME = 0.55, 0.92
 DELTAS = {"negative_language_delta": "negative", "uncertainty_language_delta": "uncertainty", "legal_language_delta": "litigious", "constraining_language_delta": "constraining"}
 
@@ -85,22 +86,53 @@ def align(current: list[str], prior: list[str], *, most: int = 2000, threshold:
     return out
 
 
-def with_alignment(pairs: DataFrame, current: str = "text", prior: str = "prior_text", *, lexical_terms: int = 2000, semantic_terms: int = 512) -> DataFrame:
-    """Adds lexical_similarity, semantic_similarity and matched; the sentences columns have to be there already."""
-    schema = StructType([*pairs.schema.fields, *KERNEL.fields])
+def intensity(text: str, tokens: list[str], patterns: list[tuple[str, re.Pattern | None]], severity: frozenset[str], window: int = 10) -> float:
+    """Keyword hits, and half of those that have a severity word within `window` tokens.
+
+    patterns: keywords with None for single tokens; a phrase stands behind the tokens that end before it.
+    """
+    at: list[int] = []
+    ends: list[int] | None = None
+    low = text.lower()
+    for keyword, pattern in patterns:
+        if pattern is None:
+            at += [i for i, t in enumerate(tokens) if t == keyword]
+            continue
+        for hit in pattern.finditer(low):
+            if ends is None:
+                ends = [m.end() for m in RUN.finditer(low) if m[0].isascii() and m[0].isalpha()]
+            at.append(bisect_right(ends, hit.start()))
+    return sum(1.0 + 0.5 * any(t in severity for t in tokens[max(0, i - window) : i + window + 1]) for i in at)
+
+
+def with_alignment(pairs: DataFrame, current: str = "text", prior: str = "prior_text", *, lexical_terms: int = 2000, semantic_terms: int = 512, packs: TermPacks | None = None, factor: float = 1.2) -> DataFrame:
+    """Adds lexical_similarity, semantic_similarity and matched; the sentences columns have to be there already.
+
+    With packs, also intensified_topics: topics on both sides (columns topics and prior_topics) whose intensity has
+    grown by more than the factor.
+    """
+    extra_fields = [StructField("intensified_topics", ArrayType(StringType()))] if packs else []
+    schema = StructType([*pairs.schema.fields, *KERNEL.fields, *extra_fields])
     shape, width = to_arrow_schema(schema), len(pairs.columns)
+    topics = {t: [(k.lower(), re.compile(T.phrase_pattern(k)) if re.search("[ -]", k) else None) for k in words] for t, words in packs.topics.items()} if packs else {}
+    severity = frozenset(packs.severity) if packs else frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], []]
+            rows = [[], [], [], *([[]] if topics else [])]
             for a, b, cs, ps in zip(*(batch.column(c).to_pylist() for c in (current, prior, "sentences", "prior_sentences")), strict=True):
                 if not b:
-                    for r in rows:
+                    for r in rows[:3]:
                         r.append(None)
                     continue
                 rows[0].append(text_similarity(a or "", b, lexical_terms))
                 rows[1].append(text_similarity(a or "", b, semantic_terms))
                 rows[2].append([{"ci": i, "pi": j, "sim": s} for i, j, s in align(cs or [], ps or [])])
+            if topics:
+                columns = (batch.column(c).to_pylist() for c in (current, prior, "tokens", "prior_tokens", "topics", "prior_topics"))
+                for a, b, ta, tb, now, before in zip(*columns, strict=True):
+                    both = [t for t in now or () if t in (before or ())]
+                    rows[3].append(None if not b else [t for t in both if intensity(a or "", ta, topics[t], severity) > intensity(b, tb, topics[t], severity) * factor])
             extra = [pa.array(r, shape.field(width + k).type) for k, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], schema=shape)
 
@@ -137,17 +169,6 @@ def topics_in(lower: str | Column, packs: TermPacks) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(T.any_pattern(words)), F.lit(topic)) for topic, words in sorted(packs.topics.items())]))
 
 
-def intensified_topics(packs: TermPacks, factor: float = 1.2) -> Column:
-    """Topics on both sides whose intensity has grown by more than the factor."""
-    out = []
-    for topic, words in sorted(packs.topics.items()):
-        both = F.array_contains("topics", topic) & F.array_contains("prior_topics", topic)
-        now = T.topic_intensity("text", "tokens", words, packs.severity)
-        before = T.topic_intensity("prior_text", "prior_tokens", words, packs.severity)
-        out.append(F.when(both, F.when(now > before * factor, F.lit(topic))))
-    return F.array_compact(F.array(*out))
-
-
 def share(tokens: str, words: tuple[str, ...]) -> Column:
     """Rounded share of the tokens that are among the words."""
     return F.round(T.ratio(T.tokens_in(tokens, words), F.size(tokens)), 6)
@@ -161,13 +182,12 @@ def section_diffs(pairs: DataFrame, packs: TermPacks | None = None) -> DataFrame
     """
     packs = packs or TermPacks()
     some = F.coalesce(F.col("prior_text"), F.lit("")) != ""
-    df = with_alignment(pairs)
-    df = df.withColumns({"topics": F.when(some, topics_in("lower", packs)), "prior_topics": F.when(some, topics_in("prior_lower", packs))})
+    df = pairs.withColumns({"topics": F.when(some, topics_in("lower", packs)), "prior_topics": F.when(some, topics_in("prior_lower", packs))})
+    df = with_alignment(df, packs=packs)
     runs, prior_runs = F.size(T.word_runs("text")), F.greatest(F.size(T.word_runs("prior_text")), F.lit(1))
     df = df.withColumns({
         "new_topics": F.array_except("topics", "prior_topics"),
         "removed_topics": F.array_except("prior_topics", "topics"),
-        "intensified_topics": F.when(some, intensified_topics(packs)),
         "length_change_pct": F.when(some, (runs - prior_runs) / prior_runs),
         **{name: F.when(some, F.round((share("tokens", getattr(packs, pack)) - share("prior_tokens", getattr(packs, pack))) * 100, 4)) for name, pack in DELTAS.items()},
         "added": F.when(some, F.filter("sentences", lambda s, i: ~F.exists("matched", lambda m: m["ci"] == i))),
