@@ -89,15 +89,17 @@ def class_of(char: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(CLASSES - 1)).cast("int")
 
 
-def pair_code(token: Column, i: Column) -> Column:
-    """The code of the pair of characters i and i + 1 (from 1)."""
-    return class_of(token.substr(i, F.lit(1))) * CLASSES + class_of(token.substr(i + 1, F.lit(1)))
+def pair_codes(token: Column) -> Column:
+    """The codes of all pairs of neighbouring characters, in time that grows with the length alone."""
+    classes = F.slice(F.transform(F.split(token, ""), class_of), F.lit(1), F.length(token))
+    n = F.greatest(F.length(token) - 1, F.lit(0))
+    return F.zip_with(F.slice(classes, F.lit(1), n), F.slice(classes, F.lit(2), n), lambda a, b: a * CLASSES + b)
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
     """samples: text, random (boolean). Pairs of characters counted: code, random, n."""
     pairs = samples.where(F.length("text") >= 2).select(
-        "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: pair_code(F.col("text"), i))).alias("code")
+        "random", F.explode(pair_codes(F.col("text"))).alias("code")
     )
     return pairs.groupBy("random", "code").agg(F.count("*").alias("n"))
 
@@ -157,7 +159,7 @@ def scan_secrets(docs: DataFrame, weights: list[int] | None, *, text: str = "tex
     else:
         table = F.lit(weights)
         df = places(df, TOKEN, "random", F.lit(True))
-        score = lambda token: F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda acc, i: acc + F.element_at(table, pair_code(token, i) + 1))
+        score = lambda token: F.aggregate(pair_codes(token), F.lit(0).cast("long"), lambda acc, code: acc + F.element_at(table, code + 1))
         free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         found = F.zip_with(spans_of("random", "random"), F.col("random_m"), lambda s, token: F.when(F.when(free(s), score(token)).otherwise(F.lit(threshold - 1)) >= threshold, s))
         df = df.withColumn("more", F.when(F.size("random_m") > 0, F.filter(found, lambda s: s.isNotNull())).otherwise(no_spans()))
