@@ -10,13 +10,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingforge.llm import decontaminate, language, packing, secrets, simhash
+from filingforge.llm import decontaminate, language, packing, secrets, similar
 from filingforge.llm.common import shared_dir, staged
 
 #: A text is rejected where no language has this share of its expected words.
 LEAST_SCORE = 0.4
-#: Near-duplicates: words of a shingle and differing bits of a link, as the operator's contract has them.
-SHINGLE, DISTANCE = 3, 3
+#: Near-duplicates: words of a shingle; two texts are linked where their shingle sets have a Jaccard similarity of 0.8.
+SHINGLE = 5
 
 
 def _nested(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     surrogate = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
     named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), surrogate))
-    found = simhash.near_duplicates(named, key="__id", width=SHINGLE, distance=DISTANCE)
+    found = similar.near_duplicates(named, key="__id", width=SHINGLE)
     kept = staged(spark, found.where(F.col("__id") == F.col("component")).select("__id").distinct(), "kept-ids")
     return named.join(kept, "__id").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 

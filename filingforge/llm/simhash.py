@@ -58,7 +58,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def simhash(text: bytes, width: int = 3) -> int:
     """The fingerprint of a text."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint(shingle_hashes(text, width))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats counted."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
