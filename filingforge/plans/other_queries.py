@@ -144,9 +144,14 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for customers of which some are unknown, in order."""
+    """The requests of panel_all that the SQL of this name covers."""
+    return panel_all(spark, sf_dir).where("ordinal < 40")
+
+
+def panel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each customer, of which some are unknown, in order."""
     c = table(spark, sf_dir, "customer")
-    requests = c.where("c_custkey < 40").select((F.col("c_custkey") * 41).alias("filing_id"), F.col("c_custkey").alias("ordinal"))
+    requests = c.select((F.col("c_custkey") * 41).alias("filing_id"), F.col("c_custkey").alias("ordinal"))
     return products.panel(requests, c.select(F.col("c_custkey").alias("filing_id"), F.round("c_acctbal", 2).alias("score"))).select("ordinal", "filing_id", "score", "status", "error")
 
 
@@ -163,9 +168,14 @@ def blend_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mid-rank percentiles, robust z and winsorised positions among fixed references."""
+    """The rows of calibration_all that the SQL of this name covers."""
+    return calibration_all(spark, sf_dir).where("l_orderkey <= 2000")
+
+
+def calibration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mid-rank percentiles, robust z and winsorised positions of all lines among fixed references."""
     refs = scoring.DECILES["", "10-K", "negative_word_ratio"]
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("v"))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("v"))
     arr = F.lit(list(refs))
     return d.select("l_orderkey", "l_linenumber", F.round(scoring.percentile_rank(F.col("v"), refs), 6).alias("percentile"), F.round(scoring.robust_z(F.col("v"), arr), 6).alias("robust_z"), F.round(scoring.winsorized(F.col("v"), arr), 6).alias("position"))
 
@@ -175,7 +185,7 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.median("s_acctbal"), 6).alias("median"), validation.upper_median("s_acctbal").alias("upper_median"))
 
 
-QUERIES = {f.__name__: f for f in (html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, risk_bands, blend_search, calibration, upper_medians)}
+QUERIES = {f.__name__: f for f in (html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
 
 _Q = "least(5, floor((row_number() OVER (ORDER BY {v}, {k}) - 1) * 5 / count(*) OVER ()) + 1)"
 _STRIP = "html"
@@ -216,4 +226,5 @@ ORACLES = {
     "upper_medians": "SELECT s_nationkey, round(median(s_acctbal), 6) AS median, list_sort(list(s_acctbal))[len(list(s_acctbal)) // 2 + 1] AS upper_median FROM supplier GROUP BY s_nationkey",
     "required_sections": "SELECT doc_id AS filing_id, true AS required_sections_present, '' AS missing FROM documents",
 }
-
+#: Whole tables: the same SQL without its limits.
+ORACLES |= {"panel_all": ORACLES["panel"].replace(" WHERE c_custkey < 40", ""), "calibration_all": ORACLES["calibration"].replace(" WHERE l_orderkey <= 2000", "")}
