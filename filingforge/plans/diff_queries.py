@@ -9,11 +9,14 @@ from filingforge.functions import term_packs as P
 from filingforge.functions import text as T
 from filingforge.operators import diff, metrics, products, scoring
 
-from .corpus import FILINGS_SQL, TURNS_SQL, frame
+from .corpus import FILINGS_SQL, SECTION_NAMES, TURNS_SQL, frame
 from .metric_queries import DOUBLED, SENTENCES, TOKENS, any_of
 
 NUMBER_SQL = r"(?i)(?:\$)?\d[\d,]*(?:\.\d+)?%?|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}\b"
 
+#: Years that filings are put off by to leave a gap, more than there are filings of an entity; years stay integers.
+FAR_YEARS = 1_000_000_000
+
 
 def with_parts(pairs: DataFrame) -> DataFrame:
     """Tokens, sentences and lower-cased text on both sides."""
@@ -72,15 +75,21 @@ def change_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings_with_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six entities' filings, one a year, with a missing year in each seventh."""
+    """Six entities' filings, one a year; each seventh is of a far year, which leaves a gap in its place."""
     f = frame(spark, sf_dir, FILINGS_SQL, "documents")
+    year = 2000 + F.floor(F.col("filing_id") / 6) + F.when(F.col("filing_id") % 7 == 3, FAR_YEARS).otherwise(0)
     return f.select(
-        "doc_id", "filing_id", (F.col("filing_id") % 6).cast("string").alias("entity"), F.lit("10-K").alias("form_type"), (2000 + F.floor(F.col("filing_id") / 6)).cast("int").alias("fiscal_year"),
+        "doc_id", "filing_id", (F.col("filing_id") % 6).cast("string").alias("entity"), F.lit("10-K").alias("form_type"), year.cast("int").alias("fiscal_year"),
         F.lit(None).cast("string").alias("quarter"), "section", "section_ord", "text",
-    ).where("filing_id % 7 <> 3")
+    )
 
 
 def prior_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of prior_pairs_all that the SQL of this name covers."""
+    return prior_pairs_all(spark, sf_dir).where(f"floor(doc_id / {len(SECTION_NAMES)}) % 7 <> 3")
+
+
+def prior_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section with its counterpart of the year before; a gap stays a gap."""
     pairs = diff.pair_with_prior(filings_with_periods(spark, sf_dir), columns=("doc_id", "text"))
     return pairs.select("doc_id", F.col("prior_doc_id").alias("prior_doc_id"), F.length("prior_text").cast("long").alias("prior_length"))
@@ -97,7 +106,7 @@ def scores_with_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filing_id", *[F.round(c, 4).alias(c) for c in (*scoring.COMPONENTS, *scoring.AGGREGATES)])
 
 
-QUERIES = {f.__name__: f for f in (text_similarity, sentence_alignment, topic_changes, numeric_changes, language_deltas, section_diffs, change_products, prior_pairs, scores_with_priors)}
+QUERIES = {f.__name__: f for f in (text_similarity, sentence_alignment, topic_changes, numeric_changes, language_deltas, section_diffs, change_products, prior_pairs, prior_pairs_all, scores_with_priors)}
 
 
 def _topics(column: str) -> str:
@@ -147,3 +156,8 @@ ORACLES = {
     "prior_pairs": f"WITH f AS (SELECT doc_id, filing_id, filing_id % 6 AS e, floor(filing_id / 6) AS y, section, text FROM ({FILINGS_SQL}) AS s WHERE filing_id % 7 <> 3)"
     + " SELECT a.doc_id, b.doc_id AS prior_doc_id, length(b.text) AS prior_length FROM f a LEFT JOIN f b ON a.e = b.e AND b.y = a.y - 1 AND a.section = b.section",
 }
+#: All filings; a year is put off as in the query.
+ORACLES |= {
+    "prior_pairs_all": f"WITH f AS (SELECT doc_id, filing_id % 6 AS e, floor(filing_id / 6) + CASE WHEN filing_id % 7 = 3 THEN {FAR_YEARS} ELSE 0 END AS y, section, text FROM ({FILINGS_SQL}) AS s)"
+    + " SELECT a.doc_id, b.doc_id AS prior_doc_id, length(b.text) AS prior_length FROM f a LEFT JOIN f b ON a.e = b.e AND b.y = a.y - 1 AND a.section = b.section",
+}

@@ -23,12 +23,17 @@ def rows_of_query(spark, name):
     return [tuple(r) for r in registry.QUERIES[name](spark, SF).collect()]
 
 
-@pytest.mark.parametrize("name, source", [("calibration_all", "lineitem"), ("panel_all", "customer")])
+@pytest.mark.parametrize("name, source", [("calibration_all", "lineitem"), ("panel_all", "customer"), ("prior_pairs_all", "documents")])
 def test_whole_tables_are_read(spark, name, source):
     got = rows_of_query(spark, name)
     assert len(got) == spark.read.parquet(f"{SF}/{source}.parquet").count() and plain(got) == plain(rows_of_sql(name))
 
 
-@pytest.mark.parametrize("name", ["calibration", "panel"])
+@pytest.mark.parametrize("name", ["calibration", "panel", "prior_pairs"])
 def test_limited_names_keep_the_results_of_their_sql(spark, name):
     assert plain(rows_of_query(spark, name)) == plain(rows_of_sql(name))
+
+
+def test_each_filing_has_a_score(spark):
+    ids = {r[0] for r in rows_of_query(spark, "scores_with_priors")}
+    assert ids == {r.doc_id // 6 for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
