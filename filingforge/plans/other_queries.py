@@ -19,7 +19,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A filing of three documents under headings, after a table of contents.
 HEADED_SQL = """SELECT doc_id AS filing_id, 'Table of contents. Item 1A. Risk Factors .......... 3 Item 7. Management .......... 9 ' || 'Item 1A. Risk Factors ' || coalesce(text, '')
-  || ' Item 3. Legal Proceedings None. Item 7. Management discussion ' || coalesce(substr(text, 1, 900), '') AS text FROM documents"""
+  || ' Item 3. Legal Proceedings None. Item 7. Management discussion ' || coalesce(text, '') AS text FROM documents"""
 
 
 def section_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

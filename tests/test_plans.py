@@ -37,3 +37,16 @@ def test_limited_names_keep_the_results_of_their_sql(spark, name):
 def test_each_filing_has_a_score(spark):
     ids = {r[0] for r in rows_of_query(spark, "scores_with_priors")}
     assert ids == {r.doc_id // 6 for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+
+
+def test_item_7_holds_the_whole_text(spark):
+    counts = {}
+    for r in rows_of_query(spark, "section_extraction"):
+        counts.setdefault(r[1], {})[r[0]] = r[3]
+    whole, last = counts["item_1a_risk_factors"], counts["item_7_mdna"]
+    assert max(whole.values()) > 2000 and {d: last[d] - n for d, n in whole.items() if not -3 <= last[d] - n <= 3} == {}
+
+
+
+def test_required_sections_match_their_sql(spark):
+    assert plain(rows_of_query(spark, "required_sections")) == plain(rows_of_sql("required_sections"))
