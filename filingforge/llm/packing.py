@@ -71,7 +71,8 @@ class WordTokenizer:
 
     path: a `tokenizers` file. Its vocabulary is run by tiktoken where ids follow the order of merges, which is
     checked; a text is cut only before a space or around a line feed that stands before a visible character, where the
-    pre-tokeniser of such files always cuts too.
+    pre-tokeniser of such files always cuts too. The file's added tokens, such as <|endoftext|>, are cut out first and
+    have their own ids, as in `tokenizers`; files whose added tokens take spaces or whole words with them are refused.
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -82,11 +83,14 @@ class WordTokenizer:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model, added = content["model"], {t["content"]: t for t in content.get("added_tokens") or []}
         alphabet, vocabulary = byte_alphabet(), model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         if any(vocabulary[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("the vocabulary's ids don't follow its merges")
+        if content.get("normalizer") or any(t[flag] for t in added.values() for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens are found in texts as they are, without conditions")
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are packed as little-endian 32-bit numbers")
         special = set(vocabulary) - {a + b for a, b in merges} - set(alphabet)
@@ -94,9 +98,17 @@ class WordTokenizer:
         self.encoding = tiktoken.Encoding("words", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.unsafe = re.compile(r"[ \n](?=\s|$)|\x01")
         self.memory = Memory(self.encoding.encode_ordinary)
+        self.added = {token: array("I", [t["id"]]).tobytes() for token, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def ids(self, text: str) -> bytes:
         """The ids, each as an unsigned little-endian 32-bit number."""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[part] if i % 2 else self.ordinary(part) for i, part in enumerate(self.cut.split(text)))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if self.unsafe.search(text):
             return array("I", self.encoding.encode_ordinary(text)).tobytes()
         return b"".join(map(self.memory.__getitem__, text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")))

@@ -19,6 +19,17 @@ def test_ids_are_those_of_the_tokenizer():
     assert [np.frombuffer(own.ids(t), "<u4").tolist() for t in texts] == want
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, end = packing.default_vocabulary(), "<|endoftext|>"
+    texts = ["hello<|endoftext|>world", end, end * 3, f" a {end} b ", f"one\n{end}\n\ntwo {end}", "<|endoftext|", "<<|endoftext|>>", "<|ENDOFTEXT|>", f"日本{end}語", f"a\x01b {end}  c"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [31373, 50256, 6894]
+    own = packing.WordTokenizer(path)
+    assert [np.frombuffer(own.ids(t), "<u4").tolist() for t in texts] == want
+
+
 @pytest.mark.parametrize("sizes, windows", [([8, 7, 6, 5, 4], 2), ([5, 5, 5, 4, 3, 3], 3), ([1], 4), ([], 2), ([9] * 12, 4)])
 def test_differencing_covers_all(sizes, windows):
     place = packing.differencing(np.array(sizes, np.int64), windows)
