@@ -1,46 +1,16 @@
-"""Staging in the shared folder and other helpers that several operators use."""
+"""Helpers that several operators use; staging in the shared folder is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingforge.staging import drop_staged, scratch, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Only where neither is set, as in local tests, a temporary folder of this machine is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isDefined():
-            return at.get()
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, lost executors lose nothing."""
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a staged table that no later step reads."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["arrow_schema", "ascii_lower", "drop_staged", "scratch", "shared_dir", "slices", "staged"]
 
 
 def arrow_schema(df_schema: str | object) -> pa.Schema:

@@ -1,16 +1,25 @@
 """Near-duplicates by an exact rule: shingle sets of a Jaccard similarity of 0.8 or more, whatever their fingerprints.
 
-Equal shingle sets are one class. In one order of all shingles, the same for every class, two sets of n and m shingles
-that are similar enough have at least `wanted` shingles in common among their first `prefix` ones. So each class is filed
-under these. Shingles that many texts of a sample share stand last in the order; any order gives the same links, this
-one the fewest meetings.
-
-Candidates are checked by their whole shingle sets, in two rounds. The first takes SimHash links of operator 3 and, in
-each bucket, neighbours by size: a large group becomes one component with few pairs. The second takes every two classes
-of a bucket that are still in different components. Texts of candidates are found by a bitmap of fixed size.
+Equal shingle sets are one class. Two similar sets of n and m shingles differ in at most (n + m) / 9 of them. Candidates
+come from three places:
+
+* SimHash links of operator 3 (pigeonring over the bits of fingerprints);
+* for sets of 64 shingles and more, the same principle over the sets themselves: a set is dealt to one more segment
+  than may differ, by the hash of each shingle, and filed under the hash of each segment's content; sizes are cut into
+  classes, and similar sets are of one class or of neighbours, so a set is filed by its own class and, where a partner
+  can be there, by the next. One segment at least is untouched by the differences. A passage that many texts share is
+  spread over all segments, so these texts don't meet;
+* for smaller sets, whose segments could be empty, their prefixes: in one order of all shingles, two similar sets have
+  at least `wanted` shingles in common among their first `prefix` ones. Shingles that many texts of a sample share stand
+  last in the order; any order gives the same links, this one the fewest meetings.
+
+Candidates are pruned by the parities of 512 buckets of shingles, which differ at most as often as the sets do, and then
+checked by their whole shingle sets, in two rounds. The first takes SimHash links and, in each bucket, neighbours by
+size: a large group becomes one component with few pairs. The second takes every two classes of a bucket that are still
+in different components. Texts of candidates are found by a bitmap of fixed size.
 
 Defined results: those of operator 3 (null texts and texts without words are one class; a text with fewer words than a
-shingle is one shingle; an empty table gives an empty result).
+shingle is one shingle; rows that repeat a key are rows of their own; an empty table gives an empty result).
 """
 
 from __future__ import annotations
@@ -24,14 +33,32 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, slices, staged
 from .components import connected_components
-from .simhash import fingerprint, near_links, shingle_hashes
+from .simhash import near_links
+from .words import M1, WHITE_SPACE, expand, grams, mixed, split_words, word_hashes
 
 #: Texts of the sample for frequent shingles, and how many of them share a frequent one.
 SAMPLE, FREQUENT = 5_000, 3
-#: Bits of the bitmap of candidates' texts.
-BITMAP = 1 << 24
+#: Bits of the bitmap of candidates' texts, and texts or classes that a task remembers so as to send them once.
+BITMAP, REMEMBERED = 1 << 24, 1_000_000
 #: Most shingles that two similar sets must share in their prefixes.
 MOST = 8
+#: Least size of sets that are filed by segments.
+RING = 64
+#: 64-bit words of the parities.
+SKETCH = 8
+#: Bytes of text worked on at once.
+SLICE = 2 << 20
+
+
+def _class_bounds() -> np.ndarray:
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(bounds[-1] * 5 // 4 + 1)
+    return np.array(bounds)
+
+
+#: Least size of each size class; the next class starts above 5/4 of it.
+BOUNDS = _class_bounds()
 
 
 def wanted(n: int | Column) -> int | Column:
@@ -55,45 +82,158 @@ def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]]) if late.any() else hashes
 
 
-def described(docs: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
-    """A row for each row of docs (key, text): key, at (of the text), class, fp, n (shingles), prefix."""
-    import xxhash
-
-    source = docs.select("key", F.xxhash64("text").alias("at"), F.col("text").cast("binary").alias("text"))
-    schema = f"key {source.schema['key'].dataType.simpleString()}, at long, class long, fp long, n int, prefix array<long>"
+def shingle_runs(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of every text in order, repeats included, and the number of each text's first one."""
+    words = split_words(column, WHITE_SPACE, lower=True)
+    hashes, counts = word_hashes(words), words.counts()
+    sizes = np.where(counts >= width, counts - width + 1, counts > 0)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(int(first[-1]), np.uint64)
+    long = np.flatnonzero(counts >= width)
+    out[expand(first[long], sizes[long])] = grams(hashes, width)[expand(words.first[long], sizes[long])]
+    for c in range(1, width):
+        short = np.flatnonzero(counts == c)
+        if len(short):
+            out[first[short]] = mixed(grams(hashes, c)[words.first[short]] + np.uint64(c))
+    return out, first
+
+
+def distinct_runs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text, and the text of each."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]  # owners stay as they were
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new]
+
+
+def sums_of(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums modulo 2^64 of values by group; groups don't fall."""
+    out = np.zeros(n, np.uint64)
+    if len(values):
+        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        out[groups[starts]] = np.add.reduceat(values, starts)
+    return out
+
+
+def class_ids(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The class of each set: a hash of its content, 0 for the empty one."""
+    return np.where(sizes > 0, mixed(sums_of(mixed(hashes * M1), owner, len(sizes)) + sizes.astype(np.uint64)), np.uint64(0))
+
+
+def run_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Fingerprints of operator 3 over these hashes: a bit is 1 where it is in over half of a text's hashes."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    filled = np.flatnonzero(np.diff(first))
+    if len(filled):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first[filled], axis=0, dtype=np.int32)
+        out[filled] = np.packbits(ones * 2 > np.diff(first)[filled][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def parities(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each set, the parities of its shingles in 64 * SKETCH buckets, as words; sets differ in no fewer shingles."""
+    bits = 64 * SKETCH
+    counts = np.bincount(owner * bits + (hashes >> np.uint64(40)).astype(np.int64) % bits, minlength=n * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<u8")
+
+
+def ring_keys(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments of each set of RING shingles and more, and the set of each key."""
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for step in (0, 1):
+        number = np.searchsorted(BOUNDS, sizes, "right") - 1 + step
+        use = (sizes >= RING) & (5 * sizes >= 4 * BOUNDS[np.maximum(number, 0)])
+        if not use.any():
+            continue
+        segments = np.where(use, 2 * (BOUNDS[np.maximum(number, 0) + 1] - 1) // 9 + 1, 0)
+        base = np.cumsum(segments) - segments
+        inside = use[owner]
+        own, value = owner[inside], hashes[inside]
+        dealt = mixed(value ^ (number[own].astype(np.uint64) * M1)) % segments[own].astype(np.uint64)
+        slot = base[own] + dealt.astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot, own, value = slot[order], own[order], value[order]
+        starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        content = np.add.reduceat(mixed(value + M1), starts)
+        place = (slot[starts] - base[own[starts]]).astype(np.uint64) * np.uint64(512) + number[own[starts]].astype(np.uint64)
+        keys.append(mixed(content ^ mixed(place + np.uint64(1))))
+        owners.append(own[starts])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """A row for each row of docs (key, text): key, at (of the text), class, fp, n (shingles), sketch."""
+    source = docs.select("key", F.xxhash64("text").alias("at"), "text")
+    schema = f"key {source.schema['key'].dataType.simpleString()}, at long, class long, fp long, n long, sketch array<long>"
     shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                classes, fps, sizes, prefixes = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    hashes = shingle_hashes(text or b"", width)
-                    own = np.unique(hashes)
-                    classes.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
-                    fps.append(fingerprint(hashes))
-                    sizes.append(len(own))
-                    prefixes.append(ordered(own, frequent)[: prefix(len(own))].view(np.int64))
-                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, fps)]
-                ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-                filed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes))).cast(shape.field("prefix").type)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("at"), *signed, pa.array(sizes, pa.int32()), filed], schema=shape)
+            for part in slices(batch, "text", SLICE):
+                runs, first = shingle_runs(part.column("text"), width)
+                hashes, owner = distinct_runs(runs, first)
+                n = part.num_rows
+                sizes = np.bincount(owner, minlength=n)
+                signed = [pa.array(x.view(np.int64)) for x in (class_ids(hashes, owner, sizes), run_fingerprints(runs, first))]
+                ends = pa.array(np.arange(0, SKETCH * (n + 1), SKETCH, dtype=np.int32))
+                sketch = pa.ListArray.from_arrays(ends, pa.array(parities(hashes, owner, n).view(np.int64).ravel())).cast(shape.field("sketch").type)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("at"), *signed, pa.array(sizes), sketch], schema=shape)
 
     return source.mapInArrow(run, schema)
 
 
+def filed(docs: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
+    """(bucket, class, n, weight) of each class: its segments and prefixes; weights of meetings add up to `wanted`.
+
+    A task files a class once, so copies don't fill buckets.
+    """
+    schema = "bucket long, class long, n long, weight long"
+    shape = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                hashes, owner = distinct_runs(*shingle_runs(part.column("text"), width))
+                sizes = np.bincount(owner, minlength=part.num_rows)
+                classes = class_ids(hashes, owner, sizes)
+                fresh = np.zeros(len(sizes), bool)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                for i, c in enumerate(classes.tolist()):
+                    if sizes[i] and c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                inside = fresh[owner]
+                hashes, owner = hashes[inside], owner[inside]
+                keys, owners = ring_keys(hashes, owner, np.where(fresh, sizes, 0))
+                begins = np.searchsorted(owner, np.arange(len(sizes) + 1))
+                small = np.flatnonzero(fresh & (4 * sizes < 5 * RING))
+                heads = [ordered(hashes[begins[i] : begins[i + 1]], frequent)[: prefix(int(sizes[i]))] for i in small.tolist()]
+                lengths = np.array([len(h) for h in heads], np.int64)
+                bucket = np.concatenate([keys, *[mixed(h ^ M1) for h in heads]])
+                who = np.concatenate([owners, np.repeat(small, lengths)])
+                weight = np.concatenate([np.full(len(keys), MOST), np.ones(int(lengths.sum()), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(classes[who].view(np.int64)), pa.array(sizes[who]), pa.array(weight)], schema=shape)
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """class and shingles, the distinct hashes, of rows class and text."""
     shape = arrow_schema("class long, shingles array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))).cast(shape.field("shingles").type)], schema=shape)
+            for part in slices(batch, "text", SLICE):
+                hashes, owner = distinct_runs(*shingle_runs(part.column("text"), width))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))).cast(shape.field("shingles").type)], schema=shape)
 
-    return texts.select("class", F.col("text").cast("binary").alias("text")).mapInArrow(run, "class long, shingles array<long>")
+    return texts.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -105,16 +245,24 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def among(docs: DataFrame, ats: DataFrame) -> DataFrame:
-    """Rows of docs (at, text) whose `at` is in ats, and a few more: a bitmap of fixed size decides."""
+    """Rows of docs (at, text) whose `at` is in ats, and a few more: a bitmap of fixed size decides. A task sends a text once."""
     words = ats.select(F.pmod("at", F.lit(BITMAP)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
     bitmap[np.array(words.column("word"), np.int64)] = np.array(words.column("bits"), np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            bit = np.array(batch.column("at"), np.int64) % BITMAP
-            yield batch.filter(pa.array((shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            at = np.array(batch.column("at"), np.int64)
+            bit = at % BITMAP
+            keep = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = int(at[i]) not in seen
+                seen.add(int(at[i]))
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -122,7 +270,11 @@ def among(docs: DataFrame, ats: DataFrame) -> DataFrame:
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose shingle sets are similar."""
     spark = docs.sparkSession
-    pairs = staged(spark, pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda name: classes.select(F.col("class").alias(name), F.struct("n", "sketch").alias(f"of_{name}"))
+    apart = F.expr("aggregate(zip_with(of_a.sketch, of_b.sketch, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * 9 <= F.col("of_a.n") + F.col("of_b.n"))
+    pairs = staged(spark, near.select("a", "b"), "similar-pairs")
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     ats = staged(spark, classes.join(involved, "class").select("class", "at"), "similar-texts")
     texts = among(docs.select(F.xxhash64("text").alias("at"), "text"), ats).join(ats, "at").dropDuplicates(["class"])
@@ -135,19 +287,19 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """A row for each row of docs: key, component: the least key reachable over pairs of a similarity of 0.8 or more."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = staged(spark, described(source, width, frequent_shingles(source, width)), "similar-rows")
-    classes = staged(spark, rows.groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("at", "fp")).alias("first")).select("class", "least", "first.at", "first.fp"), "similar-classes")
+    rows = staged(spark, described(source, width), "similar-rows")
+    classes = rows.groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("at", "fp", "n", "sketch")).alias("first"))
+    classes = staged(spark, classes.select("class", "least", "first.*"), "similar-classes")
 
-    filed = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("class", "n", F.explode("prefix").alias("bucket"))
     by_size = Window.partitionBy("bucket").orderBy("n", "class")
-    met = filed.withColumns({"before": F.lag("class").over(by_size), "before_n": F.lag("n").over(by_size), "after": F.lead("class").over(by_size)})
-    shared = staged(spark, met.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "similar-buckets")
+    met = filed(source, width, frequent_shingles(source, width)).withColumns({"before": F.lag("class").over(by_size), "before_n": F.lag("n").over(by_size), "after": F.lead("class").over(by_size)})
+    shared = staged(spark, met.where("before <> class OR after <> class").drop("after"), "similar-buckets")
 
     def often(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b; the lesser size n) that meet as often as similar ones do."""
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n").alias("n")).where(F.col("common") >= wanted(F.col("n"))).select("a", "b")
+        return pairs.groupBy("a", "b").agg(F.sum("weight").alias("common"), F.first("n").alias("n")).where(F.col("common") >= wanted(F.col("n"))).select("a", "b")
 
-    neighbours = often(shared.where("before IS NOT NULL AND before_n * 5 >= n * 4").select(F.col("before").alias("a"), F.col("class").alias("b"), F.col("before_n").alias("n")))
+    neighbours = often(shared.where("before <> class AND before_n * 5 >= n * 4").select(F.col("before").alias("a"), F.col("class").alias("b"), F.col("before_n").alias("n"), "weight"))
     by_fp = staged(spark, classes.groupBy("fp").agg(F.min("class").alias("class")), "similar-fps")
     end = lambda name: by_fp.select(F.col("fp").alias(f"fp_{name}"), F.col("class").alias(name))
     near = near_links(by_fp, distance=distance).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
@@ -156,12 +308,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = checked(tried, source, classes, width)
 
     parts = staged(spark, connected_components(links).withColumnsRenamed({"node": "class", "component": "part"}), "similar-parts")
-    placed = staged(spark, shared.select("bucket", "class", "n").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "similar-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed, "bucket")
+    placed = staged(spark, shared.select("bucket", "class", "n", "weight").distinct().join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "similar-placed")
+    mixed_up = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
+    placed = placed.join(mixed_up, "bucket")
     x, y = placed.alias("x"), placed.alias("y")
     rule = "x.bucket = y.bucket AND x.part <> y.part AND x.n * 5 >= y.n * 4 AND (x.n < y.n OR x.n = y.n AND x.class < y.class)"
-    open_pairs = often(x.join(y, F.expr(rule)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n")))
+    open_pairs = often(x.join(y, F.expr(rule)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n"), F.col("x.weight").alias("weight")))
     more = checked(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), source, classes, width)
 
     parts = connected_components(links.union(more)).withColumnRenamed("node", "class")
