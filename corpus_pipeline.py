@@ -5,13 +5,11 @@ Each stage reads what its predecessor kept, written as Parquet, and all but the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingforge.llm import decontaminate, language, packing, secrets, similar
-from filingforge.llm.common import shared_dir, staged
+from filingforge.llm.common import scratch, staged
 
 #: A text is rejected where no language has this share of its expected words.
 LEAST_SCORE = 0.4
@@ -36,16 +34,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the least doc_id of each component.
+    """Keeps one row of each component: that of the least doc_id (null behind all others), then of the least text hash.
 
-    Rows that repeat an id are one document. A row of null id stands behind all that have one; equal texts of null id
-    are one document.
+    Rows that share an id are told apart by their texts. Of rows that repeat id and text, the one whose other columns come
+    first as JSON stays.
     """
-    surrogate = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), surrogate))
-    found = similar.near_duplicates(named, key="__id", width=SHINGLE)
-    kept = staged(spark, found.where(F.col("__id") == F.col("component")).select("__id").distinct(), "kept-ids")
-    return named.join(kept, "__id").dropDuplicates(["__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    named = docs.select(place.alias("place"), F.struct("*").alias("document"), F.col("text"))
+    found = similar.near_duplicates(named, key="place", width=SHINGLE)
+    kept = staged(spark, found.where(F.col("place") == F.col("component")).select("place").distinct(), "kept-rows")
+    others = [F.col(f"document.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    first = named.join(kept, "place").groupBy("place").agg(F.min_by("document", order).alias("document"))
+    return _rows(first, docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
