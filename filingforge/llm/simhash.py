@@ -15,13 +15,13 @@ A bucket that many fingerprints share is dealt out in blocks, each two of which
 fewer bits than a block holds are one block anyway. Components of the links are found by star rounds.
 
 Defined results: null texts and texts without words have fingerprint 0 and are linked like any other; a text with
-fewer words than a shingle is one shingle; rows that repeat an id are rows of their own; an empty table gives an empty
-result; other columns are ignored.
+fewer words than a shingle is one shingle; a very long text is hashed whole, its bits summed in parts; rows that repeat an
+id are rows of their own; a row of null id has its fingerprint and component like any other, and a component in which no
+row has an id is null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, slices, staged
 from .components import connected_components
 
-SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER, LOWER)
 SEGMENTS, BITS = 8, 8
 #: Fingerprints of one block of a bucket.
 BLOCK = 2_000
+#: Rows of buckets that one task searches, about.
+TASK_ROWS = 8_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -151,8 +152,11 @@ def near_links(fps: DataFrame, *, distance: int = 3, block: int = BLOCK) -> Data
     filed = fps.select("fp").mapInArrow(file, "bucket long, fp long")
     # Buckets of one fingerprint end here: counts are pre-aggregated, and the counts of buckets of two and more are
     # joined back, a join whose skewed sides Spark can split.
-    counts = staged(spark, filed.groupBy("bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "simhash-buckets")
-    shared = filed.join(counts, "bucket")
+    counts = staged(spark, filed.groupBy("bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("rows", F.col("count") * F.col("blocks")).drop("count"), "simhash-buckets")
+    # Rows that meet are few bytes and much work: the number of tasks follows their count, which isn't merged afterwards.
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_ROWS))
+    shared = filed.join(counts.drop("rows"), "bucket")
     # Blocks i and j of a bucket meet under (i, j); a row goes to as many of these as there are blocks.
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     met = shared.select("bucket", "fp", "blocks", own.alias("own")).select(
@@ -166,7 +170,7 @@ def near_links(fps: DataFrame, *, distance: int = 3, block: int = BLOCK) -> Data
         columns = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table([pa.array(columns[:, 0]), pa.array(columns[:, 1])], schema=link_shape)
 
-    return met.groupBy("bucket", "pair").applyInArrow(link, "a long, b long")
+    return met.repartition(tasks, "bucket", "pair").groupBy("bucket", "pair").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
