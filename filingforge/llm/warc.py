@@ -3,11 +3,16 @@
 Headers (key, payload digest and size) are shuffled by digest, pre-aggregated to one row a digest; the revisits found
 there are joined back to their rows by key and digest, so that payloads move once, by an even key. Each task then
 writes gzipped archives of bounded size with fresh headers into the shared folder, and a manifest names the files of
-the tasks that succeeded; what a lost task left behind is in no manifest and is never read.
+the tasks that succeeded; what a lost task left behind is in no manifest and is never read. Archives are read back by as
+many tasks as there are archives.
 
-Defined results: a null payload is empty; rows that repeat the largest key of their payload are all responses; a row
-of null key revisits the largest key, and is a response where its payload has no key at all; a null URL is written
-as about:blank; an empty table gives an empty result; other columns are ignored.
+A record's id is made of its key and payload digest, so that a revisit can name its response; where rows repeat both, or
+have no key, the writing task and a count are added, and each id stays unique. All records carry the time of the write.
+
+Defined results: a null payload is empty; a very long payload is one record, in an archive of its own if need be; rows
+that repeat the largest key of their payload are all responses; a row of null key revisits the largest key, and is a
+response where its payload has no key at all; a null URL is written as about:blank; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +24,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, shared_dir, staged
+from .common import arrow_schema, scratch, staged
 
 #: Uncompressed bytes after which the next record starts a new archive.
 ARCHIVE_BYTES = 64 << 20
@@ -38,16 +44,17 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: int | None) -> str:
-    return f"<urn:x-page:{'null' if key is None else key}>"
+def record_id(key: int | None, digest: str, place: str = "") -> str:
+    """Of key and payload; place tells records apart that share both."""
+    return f"<urn:x-page:{'null' if key is None else key}:{digest}{place and ':' + place}>"
 
 
 def key_of(name: str) -> int | None:
-    value = name.removeprefix("<urn:x-page:").removesuffix(">")
+    value = name.removeprefix("<urn:x-page:").partition(":")[0]
     return None if value == "null" else int(value)
 
 
-def response_record(key: int | None, url: str | None, payload: bytes, date: str, refers_to: int | None) -> bytes:
+def response_record(key: int | None, url: str | None, payload: bytes, date: str, refers_to: int | None, place: str = "") -> bytes:
     """A response record, or a revisit of refers_to with the HTTP header alone."""
     digest = sha1_base32(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -57,14 +64,14 @@ def response_record(key: int | None, url: str | None, payload: bytes, date: str,
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(key)}",
+        f"WARC-Record-ID: {record_id(key, digest, place)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -85,20 +92,23 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def find_revisits(pages: DataFrame, key: str, min_bytes: int) -> DataFrame:
-    """(key, digest, refers_to) of the rows that revisit another; pages: key, digest, size."""
-    large = pages.where(F.col("size") >= min_bytes)
-    originals = large.groupBy("digest").agg(F.max(key).alias("refers_to"), F.min(key).alias("least"), F.count("*").alias("n"), F.count(key).alias("keyed"))
-    originals = staged(pages.sparkSession, originals.where((F.col("least") < F.col("refers_to")) | ((F.col("keyed") < F.col("n")) & (F.col("keyed") > 0))).select("digest", "refers_to"), "warc-originals")
-    return large.join(originals, "digest").where(F.col(key).isNull() | (F.col(key) < F.col("refers_to"))).select(key, "digest", "refers_to").distinct()
+    """(key, digest, refers_to, repeats) of the rows that revisit another, or that share key and digest; pages: key, digest, size."""
+    distinct = pages.groupBy("digest", key).agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    large = distinct.where(F.col("size") >= min_bytes)
+    originals = large.groupBy("digest").agg(F.max(key).alias("refers_to"), F.count("*").alias("keys"))
+    originals = staged(pages.sparkSession, originals.where((F.col("keys") > 1) & F.col("refers_to").isNotNull()), "warc-originals").drop("keys")
+    found = distinct.join(originals, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= min_bytes) & (F.col(key).isNull() | (F.col(key) < F.col("refers_to"))), F.col("refers_to")))
+    return found.where(F.col("refers_to").isNotNull() | (F.col("n") > 1)).select(key, "digest", "refers_to", (F.col("n") > 1).alias("repeats"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the rows as archives into folder; returns the manifest (file, records, bytes), already staged."""
+def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the rows as archives into folder; returns the manifest (file, records, bytes), already staged. date: now, if none."""
     spark = pages.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     revisits = find_revisits(rows.select("key", "digest", "size"), "key", min_bytes).withColumnsRenamed({"key": "rkey", "digest": "rdigest"})
-    decided = rows.join(revisits, F.col("key").eqNullSafe(F.col("rkey")) & (F.col("digest") == F.col("rdigest")), "left").select("key", "url", "payload", "refers_to")
+    decided = rows.join(revisits, F.col("key").eqNullSafe(F.col("rkey")) & (F.col("digest") == F.col("rdigest")), "left").select("key", "url", "payload", "refers_to", F.coalesce("repeats", F.col("key").isNull()).alias("repeats"))
     schema = "file string, records long, bytes long"
     shape = arrow_schema(schema)
 
@@ -106,7 +116,8 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        stem = f"part-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex[:12]}"
+        task, total = context.partitionId() if context else 0, 0
+        stem = f"part-{task:06d}-{uuid.uuid4().hex[:12]}"
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         sink = name = None
@@ -117,8 +128,9 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([size])], schema=shape)
 
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("key", "url", "payload", "refers_to")), strict=True):
-                record = response_record(row[0].as_py(), row[1].as_py(), row[2].as_py(), date, row[3].as_py())
+            for row in zip(*(batch.column(c) for c in ("key", "url", "payload", "refers_to", "repeats")), strict=True):
+                total += 1
+                record = response_record(row[0].as_py(), row[1].as_py(), row[2].as_py(), date, row[3].as_py(), f"{task}-{total}" if row[4].as_py() else "")
                 if sink is not None and size + len(record) > archive_bytes:
                     yield finish()
                     sink = None
@@ -156,12 +168,13 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
 
-    return manifest.select("file").repartition("file").mapInArrow(read, schema)
+    # File names are few bytes, archives are not: a task for each, which Spark won't merge.
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives and read back."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     if "://" not in folder and not folder.startswith("/"):
         folder = re.sub(r"^file:/*", "/", folder)
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
