@@ -7,7 +7,8 @@ the tasks that succeeded; what a lost task left behind is in no manifest and is
 many tasks as there are archives.
 
 A record's id is made of its key and payload digest, so that a revisit can name its response; where rows repeat both, or
-have no key, the writing task and a count are added, and each id stays unique. All records carry the time of the write.
+have no key, the writing task and a count are added, and each id stays unique (a revisit of a payload whose largest key
+repeats names key and digest alone). All records carry the time of the write.
 
 Defined results: a null payload is empty; a very long payload is one record, in an archive of its own if need be; rows
 that repeat the largest key of their payload are all responses; a row of null key revisits the largest key, and is a
