@@ -1,17 +1,18 @@
 """Packing of token ids into sequences of bounded length by Karmarkar-Karp multiway differencing.
 
 Each document becomes its token ids and one closing id. Pieces of a full sequence are cut from its front; what is left
-over, a tail, is cut into parts that wait in a pool. When the pool holds tokens for a given number of windows, they are
-spread over them: every part starts as a partial partition of windows with that part in one of them; the two partial partitions of
-the largest imbalance are merged again and again, the fullest windows of one with the emptiest of the other, until one
-partition is left, whose windows are near equal. If a window exceeds the capacity, the number of windows rises and the
-pool is packed again.
-
-A pool lives inside one partition of the input, so nothing is shuffled, a pool's memory is bounded, and a lost task
-repeats exactly its own sequences. Sequence ids are partition number * 2^40 + count.
-
-Defined results: a null or empty text has the closing id alone; repeated rows are packed each for itself; an empty
-table gives no pieces; columns beyond key and text are ignored.
+over, a tail, is cut into pieces that wait in a pool. When the pool holds tokens for a given number of windows, or very
+many pieces, they are spread over windows: small pieces are gathered into parts of some hundred tokens; every part starts
+as a partial partition of windows with that part in one of them; the two partial partitions of the largest imbalance are
+merged again and again, the fullest windows of one with the emptiest of the other, until one partition is left, whose
+windows are near equal. If a window exceeds the capacity, the number of windows rises and the pool is packed again.
+
+A pool lives inside one partition of the input, so nothing is shuffled, and a lost task repeats exactly its own
+sequences. Both its tokens and its pieces are bounded, and parts are gathered from pieces, so tables of empty or tiny
+texts need no more memory than others. Sequence ids are partition number * 2^40 + count.
+
+Defined results: a null or empty text has the closing id alone; a very long text is cut like any other; repeated rows are
+packed each for itself; an empty table gives no pieces; columns beyond key and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import arrow_schema, slices
 POOL_WINDOWS = 192
 #: Tokens of the parts that tails are cut into, so that differencing has several for each window.
 CUT = 256
+#: Pieces of a pool at most, and the part of a cut that small pieces are gathered to.
+POOL_PIECES, GATHER = 32_768, 0.25
 #: Entries of a worker's memory of words, characters of the longest of them (longer ones rarely come again), and unknown
 #: words after which a full memory starts anew.
 MEMORY, REMEMBERED, PATIENCE = 600_000, 12, 8_000_000
@@ -152,6 +155,18 @@ def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
     return out
 
 
+def gathered(sizes: np.ndarray, least: float) -> np.ndarray:
+    """The part of each size: neighbours that are smaller than `least` share one until together they are not."""
+    part, held, number = np.zeros(len(sizes), np.int64), 0.0, -1
+    for i, size in enumerate(sizes.tolist()):
+        if size >= least or held >= least or held == 0:
+            number, held = number + 1, 0.0 if size >= least else size
+        else:
+            held += size
+        part[i] = number
+    return part
+
+
 def pack_tails(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """The window of each size and the number of windows, of which none exceeds the capacity."""
     windows = max(1, -(-int(sizes.sum()) // capacity))
@@ -186,8 +201,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
             if not pool:
                 return
             pool.sort(key=lambda x: -x[2])
-            place, windows = pack_tails(np.array([x[2] for x in pool], dtype=np.int64), capacity)
-            at = [0] * windows
+            sizes = np.array([x[2] for x in pool], dtype=np.int64)
+            part = gathered(sizes, cut * GATHER)
+            of_part, windows = pack_tails(np.bincount(part, weights=sizes).astype(np.int64), capacity)
+            place, at = of_part[part], [0] * windows
             for piece, window in zip(pool, place.tolist(), strict=True):
                 rows.append((*piece, sequence + window, at[window]))
                 at[window] += piece[2]
@@ -211,12 +228,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
                         sequence += 1
                     for start in range(whole, total, cut):
                         length = min(cut, total - start)
-                        if pooled + length > fill:
+                        if pooled + length > fill or len(pool) >= POOL_PIECES:
                             close()
                         pool.append((name, start, length, ids[4 * start : 4 * (start + length)], total))
                         pooled += length
                     held += total
-                    if held > 1 << 20 and rows:
+                    if rows and (held > 1 << 20 or len(rows) >= POOL_PIECES):
                         yield emit()
                         held = 0
         close()
