@@ -1,18 +1,20 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows of equal text are one group and stay in one shard, unless the group alone weighs more than a quarter of a
-shard; such a group is cut into pieces by doc_id. There are fewer than 4 * shards such groups at any size of the
+shard; such a group is cut into pieces. There are fewer than 4 * shards such groups at any size of the
 input, because each holds more than 1 / (4 * shards) of some total. All other groups fall by the hash of their text
 into a fixed number of bundles. The driver packs bundles and pieces, a table whose size does not depend on the
 input: in order of falling weight, each goes to the shard where the dot product of its vector with the residual
-capacity is highest, among the shards whose remaining bytes hold it.
+capacity is highest, among the shards that hold it in every dimension, or else in bytes.
 
-Slots are numbered in parts of bounded size: each shard is cut into parts by the hash of doc_id, parts are counted,
-and a row's slot is its part's offset plus its rank in the part.
+Rows are numbered once, as they are written to the shared folder without their texts; that number, not doc_id, deals
+the rows of a heavy group to pieces and those of a shard to parts, so rows that share an id or have none are no hot key.
+Slots are numbered in parts of bounded size: parts are counted, and a row's slot is its part's offset plus its rank in
+the part.
 
-Defined results: a null text is an empty one, with no bytes, no tokens and CRC 0; repeated rows are rows of their own, in
-one shard unless their group is cut, with slots of their own; an empty table gives an empty result; other columns are
-ignored.
+Defined results: a null text is an empty one, with no bytes, no tokens and CRC 0; a very long text is a unit like any
+other, and no shard can be smaller than the largest; repeated rows are rows of their own, in one shard unless their group
+is cut, with slots of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ def pack_vectors(vectors: np.ndarray, shards: int, weights: np.ndarray = WEIGHTS
     """The shard of each row of vectors (units by bytes, tokens, rows).
 
     Each dimension is scaled so that a shard's fair share is 1. Units go by falling size; of the shards whose residual
-    bytes hold the unit (if none: of all) the one with the highest dot product takes it, ties to the lowest number.
+    holds the unit in all dimensions (if none: in bytes) the one with the highest dot product takes it, ties to the lowest
+    number; where none has the bytes, the one with the most bytes left takes it.
     """
     share = vectors.sum(axis=0) / shards
     scaled = vectors / np.where(share > 0, share, 1)
@@ -49,7 +52,9 @@ def pack_vectors(vectors: np.ndarray, shards: int, weights: np.ndarray = WEIGHTS
     placed = np.zeros(len(vectors), dtype=np.int64)
     for i in np.argsort(-(scaled * weights).sum(axis=1), kind="stable"):
         unit = scaled[i]
-        fits = residual[:, 0] >= unit[0]
+        fits = (residual >= unit).all(axis=1)
+        if not fits.any():
+            fits = residual[:, 0] >= unit[0]
         score = residual @ (unit * weights)
         placed[i] = best = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else residual[:, 0]))
         residual[best] -= unit
@@ -67,6 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
             F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1).otherwise(F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h1"),
+            F.monotonically_increasing_id().alias("__row"),
         ),
         "shard-rows",
     )
@@ -85,7 +91,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
     cut = spark.createDataFrame([(*k, i, n) for i, (k, n) in enumerate(sorted(pieces.items()))], cut_schema)
     units = (
         narrow.join(F.broadcast(cut), group, "left")
-        .withColumn("spread", F.xxhash64(F.col(key), F.lit(7)))
+        .withColumn("spread", F.xxhash64("__row", F.lit(7)))
         .withColumn("unit_piece", F.when(F.col("piece_of").isNotNull(), F.pmod("spread", F.col("pieces").cast("long")).cast("int")).otherwise(F.lit(-1)))
         .withColumn("unit", F.when(F.col("piece_of").isNotNull(), F.col("piece_of")).otherwise(F.pmod(F.xxhash64("h1"), F.lit(bundles)).cast("int")))
     )
@@ -95,7 +101,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
     parts = max(math.ceil(totals[2] / shards / SLOT_ROWS), min(MANY_PARTS, math.ceil(totals[2] / shards / 16)), 1)
     rows = units.join(F.broadcast(plan), ["unit", "unit_piece"]).withColumn("part", F.pmod("spread", F.lit(parts)).cast("int"))
     offsets = rows.groupBy("shard", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy(key, "size", "text_crc32", "h1"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("__row"))
     return (
         rows.withColumn("rank", rank)
         .join(offsets.select("shard", "part", "before"), ["shard", "part"])
