@@ -1,19 +1,23 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word is a run of ASCII letters and non-ASCII characters. Its features are byte n-grams of 2 to 4 with word edges,
+A word is a run of ASCII letters and non-ASCII characters; spaces and punctuation of the Unicode blocks U+0080 to U+00BF,
+U+2000 to U+206F, U+3000 to U+303F and U+FF00 to U+FF0F end words like those of ASCII. Its features are byte n-grams of 2 to 4 with word edges,
 prefixes and suffixes of 1 to 4, and membership in a lexicon of each language; transitions between languages are
 learned too. Forward-backward gives each word of a whole text its distribution over languages, also where the text
 switches between them; the text's language is the one with the most expected words, its score their share.
 
-Training reads a bounded sample of labelled rows: up to `sample_docs` documents of each language, of each a few
-segments from places all over the text. Segments of different languages are strung together, so that the chain sees
-switches. Statistics and predictions cover all rows and whole texts.
+Training reads a bounded sample of labelled rows: up to `sample_docs` documents of each language, whichever languages
+there are, of each a few segments from places all over the text. Rows are drawn within each language, so copies of one
+text can neither crowd out a language nor leave it out. Segments of different languages are strung together, so that the
+chain sees switches. Statistics and predictions cover all rows and whole texts. The model holds a weight for each hashed
+feature that training met and each language.
 
 Long texts are cut into blocks for speed alone: transfer matrices of blocks carry the messages of forward-backward from
 block to block, so the result is that of one chain.
 
 Defined results: a null text, and one without a letter, is `und` with score 0, as are all where no row is labelled; a
-null key is in training; rows that repeat are judged alike; other columns are ignored.
+null key is in training; rows that repeat are judged alike; a very long text or word is read whole; other columns are
+ignored, and carried ones may have any names but those of the result.
 """
 
 from __future__ import annotations
@@ -23,15 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, slices
-from .words import LOWER, M1, Words, mixed, split_words, word_hashes
+from .words import LOWER, M1, Words, mixed, split_words, text_bytes, word_hashes
 
-#: Documents of each language in training at most, segments of each, words of a segment, and languages.
-SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS, MOST_LANGUAGES = 400, 3, 24, 256
-#: Rows of the table of hashed feature weights.
+#: Documents of each language in training at most, segments of each, and words of a segment.
+SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 400, 3, 24
+#: Slots of hashed features.
 TABLE = 1 << 17
 #: Bytes of text that are worked on at once, about; working memory is some forty times that.
 SLICE_BYTES = 2 << 20
@@ -45,9 +49,10 @@ NOT_LETTER[[*range(0x61), *range(0x7B, 0x80)]] = True
 
 @dataclass
 class Model:
-    """Languages; weights of hashed features, of lexicons, of transitions and of first words; lexicons as sorted word hashes with language bits."""
+    """Languages; the row of weights of each feature slot (0: never met) and these weights; weights of lexicons, of transitions and of first words; lexicons as sorted word hashes with language bits."""
 
     languages: list[str]
+    slots: np.ndarray
     features: np.ndarray
     lexicon_weights: np.ndarray
     transitions: np.ndarray
@@ -56,6 +61,25 @@ class Model:
     lexicon_bits: np.ndarray
 
 
+def letter_words(column: pa.Array) -> Words:
+    """The words of every text of the column."""
+    content, offsets = text_bytes(column)
+    wide = content >= 0x80
+    if wide.any():
+        lead = np.concatenate([content, np.zeros(2, np.uint8)])
+        a, b, c = lead[:-2], lead[1:-1], lead[2:]
+        # Feminine and masculine ordinals and the micro sign are letters.
+        latin = (a == 0xC2) & ~np.isin(b, [0xAA, 0xB5, 0xBA])
+        three = ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80) & ~np.isin(c, [0x85, 0x86, 0x87])) | ((a == 0xEF) & (b == 0xBC) & (c < 0x90))
+        content = content.copy()
+        for start, length in ((latin, 2), (three, 3)):
+            at = np.flatnonzero(start)
+            for d in range(length):
+                content[np.minimum(at + d, len(content) - 1)] = 0x20
+        column = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(content))
+    return split_words(column, NOT_LETTER, lower=True)
+
+
 def unique_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the number of one occurrence of each, and each word's number among them."""
     return np.unique(word_hashes(words), return_index=True, return_inverse=True)
@@ -114,7 +138,7 @@ def emissions(model: Model, words: Words) -> np.ndarray:
     step = 1 << 15
     for i in range(0, len(one), step):
         rows, owners = word_features(words, one[i : i + step])
-        scores[i : i + step] = summed(model.features[rows], owners, len(one[i : i + step]))
+        scores[i : i + step] = summed(model.features[model.slots[rows]], owners, len(one[i : i + step]))
     scores += lexicon_membership(model, hashes) @ model.lexicon_weights
     return scores[inverse]
 
@@ -181,14 +205,14 @@ def train(samples: list[tuple[str, list[str]]], languages: list[str], *, rounds:
     random = np.random.default_rng(seed)
     samples = [samples[i] for i in random.permutation(len(samples))]
     text = [" ".join(w) for _, w in samples]
-    words = split_words(pa.array(text, pa.string()), NOT_LETTER, lower=True)
+    words = letter_words(pa.array(text, pa.string()))
     label = np.repeat([number[x] for x, _ in samples], words.counts())
     hashes, one, inverse = unique_words(words)
     # Lexicons from every other segment: the others show the model what a word outside of them looks like.
     learned = np.repeat(np.arange(len(samples)) % 2 == 0, words.counts())
     seen = np.stack([np.bincount(inverse[learned & (label == j)], minlength=len(hashes)) for j in range(states)], axis=1)
     known = seen.max(axis=1) >= 2
-    model = Model(languages, np.zeros((TABLE, states)), np.zeros((states, states)), np.zeros((states, states)), np.zeros(states), hashes[known], (seen[known] >= 2).astype(float))
+    model = Model(languages, np.zeros(TABLE, np.int32), np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, states)), np.zeros(states), hashes[known], (seen[known] >= 2).astype(float))
     rows, owners = word_features(words, one)
     used, slot = np.unique(rows, return_inverse=True)
     member = lexicon_membership(model, hashes)
@@ -232,27 +256,32 @@ def train(samples: list[tuple[str, list[str]]], languages: list[str], *, rounds:
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    model.features[used] = parameters[0]
-    model.features = model.features.astype(np.float32)
+    model.slots[used] = np.arange(1, len(used) + 1)
+    model.features = np.concatenate([np.zeros((1, states)), parameters[0]]).astype(np.float32)
     return model
 
 
-def training_samples(rows: DataFrame, *, text: str, lang: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[str, list[str]]]]:
-    """Languages and segments of a sample of labelled rows; both are bounded by the module's parameters."""
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
+def training_samples(rows: DataFrame, *, key: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[str, list[str]]]]:
+    """Languages and segments of a sample of labelled rows, at most `sample_docs` rows of each language."""
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text, F.lit(11)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row a language
     if not counts:
         return [], []
-    languages = sorted(r[lang] for r in counts)
-    # About sample_docs rows of each language by the hash of the text; the share is set from the count over all rows.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, sample_docs / r["count"]))])
-    draw = F.pmod(F.xxhash64(text, F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text, F.lit(12)).alias("h"))
+    languages = sorted(r["lang"] for r in counts)
+    # About twice as many rows as wanted pass by their own hash, and in any case the first of each language; of these,
+    # the first by hash are taken.
+    spark = rows.sparkSession
+    plan = spark.createDataFrame([(r["lang"], min(1.0, 2 * sample_docs / r["n"]), r["least"]) for r in counts], "lang string, share double, least long")
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / float(1 << 20)
+    drawn = rows.join(F.broadcast(plan), "lang").where((draw < F.col("share")) | (F.col("h") == F.col("least")))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = drawn.withColumn("number", number).where(F.col("number") <= sample_docs).select("lang", "text", (F.col("h") + F.col("number")).alias("h"))
     shape = arrow_schema("lang string, h long, segments array<string>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = split_words(part.column("text"), NOT_LETTER, lower=True)
+                words = letter_words(part.column("text"))
                 out = []
                 for i, h in enumerate(part.column("h").to_pylist()):
                     a, b = int(words.first[i]), int(words.first[i + 1])
@@ -260,11 +289,12 @@ def training_samples(rows: DataFrame, *, text: str, lang: str, sample_docs: int
                     for _ in range(SEGMENTS if b > a else 0):
                         at = a + int(random.integers(max(b - a - SEGMENT_WORDS, 0) + 1))
                         span = range(at, min(at + SEGMENT_WORDS, b))
-                        found.append(" ".join(words.data[words.starts[k] : words.starts[k] + min(words.lengths[k], 64)].tobytes().decode("utf-8", "ignore") for k in span))
+                        found.append(" ".join(words.data[words.starts[k] : words.starts[k] + words.lengths[k]].tobytes().decode() for k in span))
                     out.append(found)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(out, pa.list_(pa.string()))], schema=shape)
 
-    got = chosen.mapInArrow(cut, "lang string, h long, segments array<string>").orderBy("h").limit(2 * sample_docs * len(languages)).collect()
+    got = chosen.mapInArrow(cut, "lang string, h long, segments array<string>").collect()
+    got.sort(key=lambda r: (r["h"], r["lang"]))
     return languages, [(r["lang"], words) for r in got for s in r["segments"] if (words := s.split())]
 
 
@@ -275,8 +305,8 @@ def held_out_column(key: str = "doc_id") -> Column:
 
 def train_on(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """The model learned from labelled rows that aren't held out; None if there are none."""
-    rows = docs.where(~held_out_column(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    languages, samples = training_samples(rows, text="text", lang="lang", sample_docs=sample_docs)
+    rows = docs.where(~held_out_column(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    languages, samples = training_samples(rows, key="key", text="text", lang="lang", sample_docs=sample_docs)
     languages = sorted({x for x, _ in samples})
     return train(samples, languages) if samples else None
 
@@ -293,7 +323,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
         for batch in batches:
             for part in slices(batch, "__text", SLICE_BYTES):
                 n = part.num_rows
-                words = split_words(part.column("__text"), NOT_LETTER, lower=True)
+                words = letter_words(part.column("__text"))
                 states = len(model.languages) if model else 0
                 found = expected_words(emissions(model, words), words.first, model.transitions, model.first) if states else np.zeros((n, 0))
                 total = words.counts()
