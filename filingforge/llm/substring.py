@@ -13,12 +13,13 @@ own rows, and where it holds a hash twice it knows already that all of them are
 sends one row with that mark. Rows meet by hash; the answer (document, positions) goes back by document. So a passage
 that stands in a third of all documents sends one row a task.
 
-Hashes of windows have 80 bits, those of anchors 64; anchors that collide only leave more to compare. Documents are
-told apart by doc_id and 16 bits of the text's hash.
+Rows are sorted by hash in the JVM, which spills, and answered as they stream by, so a task's memory doesn't depend on
+its partition. Hashes of windows have 96 bits, those of anchors 64; anchors that collide only leave more to compare.
+Documents are told apart by 80 bits of a hash of doc_id and text, which also spreads rows that share an id.
 
-Defined results: a null or empty text has no words; a document shorter than a window keeps all its words; rows that
-repeat a document are documents of their own, whose windows therefore repeat; an empty table gives an empty result;
-other columns are ignored.
+Defined results: a null or empty text has no words; a very long text is read whole; a document shorter than a window
+keeps all its words; rows that repeat a document are documents of their own, whose windows therefore repeat; a null
+doc_id is a value like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from .words import WHITE_SPACE, Words, covered, expand, grams, joined, split_wor
 LENGTH = 35
 #: Rows that a task gathers before it looks for repeats among them and sends them on.
 GATHERED = 2_000_000
+#: Answers that are ordered by document before they are sent on.
+ANSWERED = 1 << 19
 REPLY = "id long, mark int, at int"
 
 
@@ -97,12 +100,11 @@ class Level:
         return self.gram if level == 0 and len(self.sizes) > 1 else grams(self.hashes, self.sizes[level])
 
 
-def _distinct_rows(hashes: np.ndarray, tails: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash, group starts and group sizes of equal (hash, high 16 bits of tail)."""
-    high = tails >> np.uint64(48)
-    order = np.lexsort((high, hashes))
-    h, t = hashes[order], high[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
+def _distinct_rows(hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, group starts and group sizes of equal (hash, more)."""
+    order = np.lexsort((more, hashes))
+    h, m = hashes[order], more[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])])) if len(h) else np.zeros(0, np.int64)
     return order, new, np.diff(np.concatenate([new, [len(h)]]))
 
 
@@ -122,21 +124,26 @@ def _packed(ids: np.ndarray, tails: np.ndarray) -> tuple[list, list, list]:
     return ids[cut].tolist(), mark[cut].tolist(), [at[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)]
 
 
-_ROW = "hash long, tail long, id long, twice boolean, at binary"
+_ROW = "hash long, tail long, more int, id long, twice boolean, at binary"
 
 
-def _question(shape: pa.Schema, hashes: np.ndarray, tails: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _extra(tails: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The hash bits beyond the first 64: 16 of the tail and 16 more."""
+    return (tails >> np.uint64(48) << np.uint64(16)) | more.astype(np.uint64)
+
+
+def _question(shape: pa.Schema, hashes: np.ndarray, tails: np.ndarray, more: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows to send: one for each hash; and the answers known already, under random hashes, with positions packed."""
-    order, new, count = _distinct_rows(hashes, tails, ids)
+    order, new, count = _distinct_rows(hashes, _extra(tails, more))
     lead = order[new]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(hashes[lead].view(np.int64)), pa.array(tails[lead].view(np.int64)), pa.array(ids[lead]), pa.array(count > 1), pa.nulls(len(lead), pa.binary())], schema=shape
+        [pa.array(hashes[lead].view(np.int64)), pa.array(tails[lead].view(np.int64)), pa.array(more[lead]), pa.array(ids[lead]), pa.array(count > 1), pa.nulls(len(lead), pa.binary())], schema=shape
     )
     rest = np.delete(order, new)
     if len(rest):
         who, mark, at = _packed(ids[rest], tails[rest])
         spread = joined(np.array(who, np.int64).view(np.uint64), np.array(mark, np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.array(mark, np.int64) << 32), pa.array(who, pa.int64()), pa.array(np.ones(len(who), bool)), pa.array(at, pa.binary())], schema=shape)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.array(mark, np.int64) << 32), pa.array(np.zeros(len(who), np.int32)), pa.array(who, pa.int64()), pa.array(np.ones(len(who), bool)), pa.array(at, pa.binary())], schema=shape)
 
 
 def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
@@ -148,7 +155,7 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
     last = level == len(levels_of(length)) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        gathered: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -167,10 +174,9 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
                 ids = np.array(part.column("id"), dtype=np.int64)[doc]
                 mark = np.array(part.column("mark"), dtype=np.int64)[doc].astype(np.uint64)
                 value = state.values(level)[place]
-                more = joined(value, state.hashes[place]) if not last else grams(word_hashes(words, 77), length)[place]
-                extra = (more >> np.uint64(48)) if last else np.zeros(len(place), np.uint64)
-                tail = (extra << np.uint64(48)) | (mark << np.uint64(32)) | (place - words.first[doc]).astype(np.uint64)
-                gathered.append((value, tail, ids))
+                second = grams(word_hashes(words, 77), length)[place] if last else np.zeros(len(place), np.uint64)
+                tail = (second >> np.uint64(48) << np.uint64(48)) | (mark << np.uint64(32)) | (place - words.first[doc]).astype(np.uint64)
+                gathered.append((value, tail, (second & np.uint64(0xFFFF)).astype(np.int32), ids))
                 held += len(place)
                 if held >= GATHERED:
                     yield from _question(row_shape, *(np.concatenate(x) for x in zip(*gathered, strict=True)))
@@ -178,8 +184,28 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
         if held:
             yield from _question(row_shape, *(np.concatenate(x) for x in zip(*gathered, strict=True)))
 
+    def reply(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """A row a position: as many whatever the number of tasks. By document, so that the next step combines them well."""
+        tails, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((tails & np.uint64(0xFFFFFFFFFFFF), ids))
+        mark = ((tails[order] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(mark), pa.array((tails[order] & np.uint64(0xFFFFFFFF)).astype(np.int32))], schema=reply_shape)
+
+    def repeated(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Tails and ids of the rows whose hash isn't alone."""
+        hashes, tails, more, ids, twice = rows
+        order, new, count = _distinct_rows(hashes, _extra(tails.view(np.uint64), more))
+        if not len(order):
+            return tails.view(np.uint64), ids
+        again = (count > 1) | np.logical_or.reduceat(twice[order], new)
+        found = order[np.repeat(again, count)]
+        return tails[found].view(np.uint64), ids[found]
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
+        """Rows come sorted by hash; those of the last hash of a batch wait for the next one."""
+        waiting: tuple[np.ndarray, ...] | None = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             known = batch.filter(batch.column("at").is_valid())
             if known.num_rows:
@@ -187,28 +213,26 @@ def ask(docs: DataFrame, level: int, length: int) -> DataFrame:
                 mark = (np.array(known.column("tail"), dtype=np.int64) >> 32).astype(np.int32)
                 at = np.frombuffer(b"".join(known.column("at").to_pylist()), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(known.column("id")), sizes)), pa.array(np.repeat(mark, sizes)), pa.array(at)], schema=reply_shape)
-            open_ = batch.filter(batch.column("at").is_null())
-            kept.append(tuple(np.array(open_.column(c)) for c in ("hash", "tail", "id", "twice")))
-        if not kept:
-            return
-        hashes, tails, ids, twice = (np.concatenate(x) for x in zip(*kept, strict=True))
-        if not len(hashes):
-            return
-        hashes, tails = hashes.view(np.uint64), tails.view(np.uint64)
-        order, new, count = _distinct_rows(hashes, tails, ids)
-        group = np.repeat(np.arange(len(new)), count)
-        repeated = (count > 1) | np.logical_or.reduceat(twice[order], new)
-        found = order[repeated[group]]
-        # A row a position: as many whatever the number of tasks. By document, so that the next step combines them well.
-        found = found[np.lexsort((tails[found] & np.uint64(0xFFFFFFFFFFFF), ids[found]))]
-        for i in range(0, len(found), 1 << 18):
-            f = found[i : i + (1 << 18)]
-            mark = ((tails[f] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)
-            at = (tails[f] & np.uint64(0xFFFFFFFF)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(mark), pa.array(at)], schema=reply_shape)
+                batch = batch.filter(batch.column("at").is_null())
+            if not batch.num_rows:
+                continue
+            rows = tuple(np.array(batch.column(c)) for c in ("hash", "tail", "more", "id", "twice"))
+            if waiting is not None:
+                rows = tuple(np.concatenate(x) for x in zip(waiting, rows, strict=True))
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            waiting = tuple(x[cut:] for x in rows)
+            found.append(repeated(tuple(x[:cut] for x in rows)))
+            held += len(found[-1][1])
+            if held >= ANSWERED:
+                yield reply(found)
+                found, held = [], 0
+        if waiting is not None:
+            found.append(repeated(waiting))
+        if any(len(ids) for _, ids in found):
+            yield reply(found)
 
     asked = docs.mapInArrow(emit, _ROW)
-    return asked.repartition(F.col("hash")).mapInArrow(answer, REPLY)
+    return asked.repartition(F.col("hash")).sortWithinPartitions("hash").mapInArrow(answer, REPLY)
 
 
 def gathered_by_document(replies: DataFrame) -> DataFrame:
@@ -217,12 +241,13 @@ def gathered_by_document(replies: DataFrame) -> DataFrame:
 
 
 def with_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, mark, text: the key (or for a null key the text's hash), 16 bits of the text's hash, the text.
+    """key, id, mark, text; id and mark: 64 and 16 bits of hashes of key and text.
 
     id and mark can't be null, so inner and outer joins on them share one exchange of the texts.
     """
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), digest).alias("id"), digest.bitwiseAND(F.lit(65535)).cast("int").alias("mark"), F.col(text).alias("text"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    own = F.xxhash64(F.col(key), whole, F.col(text).isNull())
+    return docs.select(F.col(key).alias("key"), own.alias("id"), F.xxhash64(whole, F.lit(78)).bitwiseAND(F.lit(65535)).cast("int").alias("mark"), F.col(text).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
