@@ -4,19 +4,22 @@ Equal shingle sets are one class. Two similar sets of n and m shingles differ in
 come from three places:
 
 * SimHash links of operator 3 (pigeonring over the bits of fingerprints);
-* for sets of 64 shingles and more, the same principle over the sets themselves: a set is dealt to one more segment
-  than may differ, by the hash of each shingle, and filed under the hash of each segment's content; sizes are cut into
-  classes, and similar sets are of one class or of neighbours, so a set is filed by its own class and, where a partner
-  can be there, by the next. One segment at least is untouched by the differences. A passage that many texts share is
-  spread over all segments, so these texts don't meet;
-* for smaller sets, whose segments could be empty, their prefixes: in one order of all shingles, two similar sets have
-  at least `wanted` shingles in common among their first `prefix` ones. Shingles that many texts of a sample share stand
-  last in the order; any order gives the same links, this one the fewest meetings.
+* the same principle over the sets themselves: a set is dealt to one more segment than may differ, by the hash of each
+  shingle, and filed under the hash of each segment's content. One segment at least is untouched by the differences. Sizes
+  are cut into classes, and similar sets are of one class or of neighbours, so a set is filed by its own class and, where
+  a partner can be there, by the next. A passage that many texts share is spread over all segments, so these texts rarely
+  meet;
+* sets of fewer than 14 shingles, which differ in two at most, are filed under what is left without any two, one or none.
+
+A segment can be empty, and is then no key. Sets of fewer than 64 shingles are dealt twice, so that some untouched segment
+isn't; what remains is a chance of less than one in a thousand to miss a pair of 14 shingles just at the limit, and of
+less than one in a million from 40 shingles on.
 
 Candidates are pruned by the parities of 512 buckets of shingles, which differ at most as often as the sets do, and then
 checked by their whole shingle sets, in two rounds. The first takes SimHash links and, in each bucket, neighbours by
-size: a large group becomes one component with few pairs. The second takes every two classes of a bucket that are still
-in different components. Texts of candidates are found by a bitmap of fixed size.
+size: a large group becomes one component with few pairs. The second searches each bucket whose classes are still in
+different components for pairs of near parities; a bucket that many share is dealt out in blocks, each two of which meet
+in one task, and only pairs that pass are sent on. Texts of candidates are found by a bitmap of fixed size.
 
 Defined results: those of operator 3 (null texts and texts without words are one class; a text with fewer words than a
 shingle is one shingle; rows that repeat a key are rows of their own; an empty table gives an empty result).
@@ -36,52 +39,34 @@ from .components import connected_components
 from .simhash import near_links
 from .words import M1, WHITE_SPACE, expand, grams, mixed, split_words, word_hashes
 
-#: Texts of the sample for frequent shingles, and how many of them share a frequent one.
-SAMPLE, FREQUENT = 5_000, 3
 #: Bits of the bitmap of candidates' texts, and texts or classes that a task remembers so as to send them once.
 BITMAP, REMEMBERED = 1 << 24, 1_000_000
-#: Most shingles that two similar sets must share in their prefixes.
-MOST = 8
-#: Least size of sets that are filed by segments.
-RING = 64
+#: Least size of sets that are filed by segments, and below which they are dealt twice.
+RING, TWICE = 14, 64
 #: 64-bit words of the parities.
 SKETCH = 8
 #: Bytes of text worked on at once.
 SLICE = 2 << 20
+#: Classes of one block of a bucket, and rows of buckets that one task searches, about.
+BLOCK, TASK_ROWS = 2_000, 20_000
 
 
 def _class_bounds() -> np.ndarray:
-    bounds = [1]
+    bounds = [RING]
     while bounds[-1] < 1 << 40:
-        bounds.append(bounds[-1] * 5 // 4 + 1)
+        bounds.append(bounds[-1] * 25 // 16 + 1)
     return np.array(bounds)
 
 
-#: Least size of each size class; the next class starts above 5/4 of it.
+#: Least size of each size class.
 BOUNDS = _class_bounds()
 
 
-def wanted(n: int | Column) -> int | Column:
-    """Shingles that prefixes have in common, by the size of the smaller set."""
-    return F.least(F.lit(MOST), 1 + F.floor(n / 10)) if isinstance(n, Column) else min(MOST, 1 + n // 10)
-
-
-def prefix(n: int) -> int:
-    """Shingles that a set of n is filed under: all but the ceil(0.8 n) that it shares at least, and those wanted."""
-    return min(n, n - (4 * n + 4) // 5 + wanted(n))
-
-
 def similar(common: Column, n: Column, m: Column) -> Column:
     """Whether sets of n and m shingles with that many in common have a Jaccard similarity of 0.8 or more."""
     return common * 9 >= (n + m) * 4
 
 
-def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The sorted distinct hashes, frequent ones last."""
-    late = np.isin(hashes, frequent)
-    return np.concatenate([hashes[~late], hashes[late]]) if late.any() else hashes
-
-
 def shingle_runs(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of every text in order, repeats included, and the number of each text's first one."""
     words = split_words(column, WHITE_SPACE, lower=True)
@@ -141,29 +126,44 @@ def parities(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def ring_keys(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the segments of each set of RING shingles and more, and the set of each key."""
+    """Keys of the segments of each set, and the set of each key."""
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for step in (0, 1):
+    for step, seed in ((0, 0), (1, 0), (0, 1), (1, 1)):
         number = np.searchsorted(BOUNDS, sizes, "right") - 1 + step
-        use = (sizes >= RING) & (5 * sizes >= 4 * BOUNDS[np.maximum(number, 0)])
+        at = np.maximum(number, 0)
+        use = (number >= 0) & (5 * sizes >= 4 * BOUNDS[at]) & ((seed == 0) | (BOUNDS[at] < TWICE))
         if not use.any():
             continue
-        segments = np.where(use, 2 * (BOUNDS[np.maximum(number, 0) + 1] - 1) // 9 + 1, 0)
+        segments = np.where(use, 2 * (BOUNDS[at + 1] - 1) // 9 + 1, 0)
         base = np.cumsum(segments) - segments
         inside = use[owner]
         own, value = owner[inside], hashes[inside]
-        dealt = mixed(value ^ (number[own].astype(np.uint64) * M1)) % segments[own].astype(np.uint64)
+        salt = (2 * number + seed).astype(np.uint64)
+        dealt = mixed(value ^ ((salt[own] + np.uint64(1)) * M1)) % segments[own].astype(np.uint64)
         slot = base[own] + dealt.astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot, own, value = slot[order], own[order], value[order]
         starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         content = np.add.reduceat(mixed(value + M1), starts)
-        place = (slot[starts] - base[own[starts]]).astype(np.uint64) * np.uint64(512) + number[own[starts]].astype(np.uint64)
+        place = (slot[starts] - base[own[starts]]).astype(np.uint64) * np.uint64(512) + salt[own[starts]]
         keys.append(mixed(content ^ mixed(place + np.uint64(1))))
         owners.append(own[starts])
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def small_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set of fewer than RING shingles: what is left without none, one or two of them, where that many may differ."""
+    values = mixed(hashes + M1)
+    whole, n = values.sum(dtype=np.uint64), len(values)
+    keys = [np.array([whole])] if n >= 4 else []
+    if n >= 5:
+        keys.append(whole - values)
+    if n >= 10:
+        i, j = np.triu_indices(n, 1)
+        keys.append(whole - values[i] - values[j])
+    return mixed(np.concatenate(keys) ^ M1) if keys else np.zeros(0, np.uint64)
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
     """A row for each row of docs (key, text): key, at (of the text), class, fp, n (shingles), sketch."""
     source = docs.select("key", F.xxhash64("text").alias("at"), "text")
@@ -185,12 +185,9 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def filed(docs: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
-    """(bucket, class, n, weight) of each class: its segments and prefixes; weights of meetings add up to `wanted`.
-
-    A task files a class once, so copies don't fill buckets.
-    """
-    schema = "bucket long, class long, n long, weight long"
+def filed(docs: DataFrame, width: int) -> DataFrame:
+    """(bucket, class, n) of each class. A task files a class once, so copies don't fill buckets."""
+    schema = "bucket long, class long, n long"
     shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +208,11 @@ def filed(docs: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
                 hashes, owner = hashes[inside], owner[inside]
                 keys, owners = ring_keys(hashes, owner, np.where(fresh, sizes, 0))
                 begins = np.searchsorted(owner, np.arange(len(sizes) + 1))
-                small = np.flatnonzero(fresh & (4 * sizes < 5 * RING))
-                heads = [ordered(hashes[begins[i] : begins[i + 1]], frequent)[: prefix(int(sizes[i]))] for i in small.tolist()]
-                lengths = np.array([len(h) for h in heads], np.int64)
-                bucket = np.concatenate([keys, *[mixed(h ^ M1) for h in heads]])
-                who = np.concatenate([owners, np.repeat(small, lengths)])
-                weight = np.concatenate([np.full(len(keys), MOST), np.ones(int(lengths.sum()), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(classes[who].view(np.int64)), pa.array(sizes[who]), pa.array(weight)], schema=shape)
+                small = np.flatnonzero(fresh & (sizes < RING))
+                few = [small_keys(hashes[begins[i] : begins[i + 1]]) for i in small.tolist()]
+                bucket = np.concatenate([keys, *few])
+                who = np.concatenate([owners, np.repeat(small, [len(x) for x in few])])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(classes[who].view(np.int64)), pa.array(sizes[who])], schema=shape)
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -236,14 +231,6 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several texts of a sample share, sorted."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.xxhash64("text").alias("class"), "text").dropDuplicates(["class"])
-    found = shingle_sets(sample, width).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array(found.select("s").toArrow().column("s"), np.int64).view(np.uint64))
-
-
 def among(docs: DataFrame, ats: DataFrame) -> DataFrame:
     """Rows of docs (at, text) whose `at` is in ats, and a few more: a bitmap of fixed size decides. A task sends a text once."""
     words = ats.select(F.pmod("at", F.lit(BITMAP)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).toArrow()
@@ -283,6 +270,38 @@ def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     return staged(spark, both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar-links")
 
 
+def near_pairs(placed: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket and different parts whose parities are near. placed: bucket, class, part, n, sketch."""
+    spark = placed.sparkSession
+    counts = placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    counts = staged(spark, counts.select("bucket", "rows", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "similar-mixed")
+    tasks = max(1, -(-(counts.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0) // TASK_ROWS))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int")
+    met = placed.join(counts.drop("rows"), "bucket").withColumn("own", own).select(
+        "bucket", "class", "part", "n", "sketch",
+        F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE transform(sequence(0, blocks - 1), j -> least(own, j) * blocks + greatest(own, j)) END")).alias("pair"),
+    )
+    shape = arrow_schema("a long, b long")
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        cls, part, n = (np.array(table.column(c), dtype=np.int64) for c in ("class", "part", "n"))
+        sketch = np.array(table.column("sketch").combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(cls), SKETCH)
+        order = np.lexsort((cls, n))
+        cls, part, n, sketch = cls[order], part[order], n[order], sketch[order]
+        most = np.searchsorted(n, n * 5 // 4, "right")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(cls) - 1):
+            others = np.flatnonzero(part[i + 1 : most[i]] != part[i]) + i + 1
+            if len(others):
+                apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                near = others[apart * 9 <= n[others] + n[i]]
+                a.append(np.full(len(near), cls[i]))
+                b.append(cls[near])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=shape)
+
+    return met.repartition(tasks, "bucket", "pair").groupBy("bucket", "pair").applyInArrow(search, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
     """A row for each row of docs: key, component: the least key reachable over pairs of a similarity of 0.8 or more."""
     spark = docs.sparkSession
@@ -292,29 +311,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = staged(spark, classes.select("class", "least", "first.*"), "similar-classes")
 
     by_size = Window.partitionBy("bucket").orderBy("n", "class")
-    met = filed(source, width, frequent_shingles(source, width)).withColumns({"before": F.lag("class").over(by_size), "before_n": F.lag("n").over(by_size), "after": F.lead("class").over(by_size)})
+    met = filed(source, width).withColumns({"before": F.lag("class").over(by_size), "before_n": F.lag("n").over(by_size), "after": F.lead("class").over(by_size)})
     shared = staged(spark, met.where("before <> class OR after <> class").drop("after"), "similar-buckets")
-
-    def often(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b; the lesser size n) that meet as often as similar ones do."""
-        return pairs.groupBy("a", "b").agg(F.sum("weight").alias("common"), F.first("n").alias("n")).where(F.col("common") >= wanted(F.col("n"))).select("a", "b")
-
-    neighbours = often(shared.where("before <> class AND before_n * 5 >= n * 4").select(F.col("before").alias("a"), F.col("class").alias("b"), F.col("before_n").alias("n"), "weight"))
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    neighbours = shared.where("before <> class AND before_n * 5 >= n * 4").select(F.col("before").alias("a"), F.col("class").alias("b"))
     by_fp = staged(spark, classes.groupBy("fp").agg(F.min("class").alias("class")), "similar-fps")
     end = lambda name: by_fp.select(F.col("fp").alias(f"fp_{name}"), F.col("class").alias(name))
     near = near_links(by_fp, distance=distance).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
     same = classes.select("fp", F.col("class").alias("b")).join(end("a"), F.col("fp") == F.col("fp_a")).select("a", "b")
-    tried = staged(spark, neighbours.union(near).union(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-tried")
-    links = checked(tried, source, classes, width)
+    links = checked(neighbours.union(near).union(same).select(*pair).distinct(), source, classes, width)
 
     parts = staged(spark, connected_components(links).withColumnsRenamed({"node": "class", "component": "part"}), "similar-parts")
-    placed = staged(spark, shared.select("bucket", "class", "n", "weight").distinct().join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "similar-placed")
-    mixed_up = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed_up, "bucket")
-    x, y = placed.alias("x"), placed.alias("y")
-    rule = "x.bucket = y.bucket AND x.part <> y.part AND x.n * 5 >= y.n * 4 AND (x.n < y.n OR x.n = y.n AND x.class < y.class)"
-    open_pairs = often(x.join(y, F.expr(rule)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n"), F.col("x.weight").alias("weight")))
-    more = checked(open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), source, classes, width)
+    mixed_up = shared.select("bucket", "class").distinct().join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    open_buckets = mixed_up.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
+    placed = staged(spark, mixed_up.join(open_buckets, "bucket").join(classes.select("class", "n", "sketch"), "class"), "similar-placed")
+    more = checked(near_pairs(placed).select(*pair).distinct(), source, classes, width)
 
     parts = connected_components(links.union(more)).withColumnRenamed("node", "class")
     named = staged(spark, classes.select("class", "least").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class")), "similar-named")

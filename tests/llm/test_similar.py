@@ -55,15 +55,36 @@ def test_the_stage_drops_near_copies_that_fingerprints_miss(spark, tmp_path):
     assert kept == {d for d, c in brute(rows).items() if c == d}
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 37, 100, 1001])
-def test_similar_sets_meet_as_often_as_wanted(n):
+@pytest.mark.parametrize("n", [4, 5, 9, 10, 12, 13, 14, 15, 37, 63, 100, 1001])
+def test_similar_sets_share_a_key(n):
     r = np.random.default_rng(n)
-    for _ in range(50):
-        pool = r.integers(0, 2**63, 3 * n, dtype=np.uint64)
-        x, y = pool[:n], np.concatenate([pool[(n + 8) // 9 - 1 : n], pool[n : n + (n + 8) // 9 - 1]])
-        if 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)):
-            a, b = (similar.ordered(np.unique(z), np.sort(pool[::7]))[: similar.prefix(n)] for z in (x, y))
-            assert len(np.intersect1d(a, b)) >= similar.wanted(n)
+    met = tried = 0
+    for _ in range(60):
+        for m in range(n, n * 5 // 4 + 1, max(1, n // 12)):
+            for lost in range(n // 9 + 1):
+                pool = np.unique(r.integers(0, 2**63, n + m + 5, dtype=np.uint64))
+                x, y = np.sort(pool[:n]), np.sort(pool[lost : lost + m])
+                if 9 * len(np.intersect1d(x, y)) >= 4 * (n + m):
+                    keys = [set(similar.ring_keys(z, np.zeros(len(z), np.int64), np.array([len(z)]))[0].tolist()) | (set(similar.small_keys(z).tolist()) if len(z) < similar.RING else set()) for z in (x, y)]
+                    met, tried = met + bool(keys[0] & keys[1] or n == m and lost == 0), tried + 1
+    assert met == tried or n in (12, 13, 14, 15) and met > 0.995 * tried
+
+
+def test_parities_differ_no_more_than_sets():
+    r = np.random.default_rng(2)
+    for n in (3, 50, 700):
+        pool = np.unique(r.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        x, y = pool[:n], pool[n // 4 : n + n // 3]
+        a, b = (similar.parities(z, np.zeros(len(z), np.int64), 1)[0] for z in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_texts_that_share_a_long_passage_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    line = prose(31, 60)
+    rows = [(i, line + " " + prose(100 + i, 25)) for i in range(60)] + [(100 + i, edited(i, line + " " + prose(100 + i, 25), 1)) for i in range(0, 60, 7)]
+    got = {r.doc_id: r.component for r in similar.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_empty_tables_and_null_keys(spark):
