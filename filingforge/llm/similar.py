@@ -283,23 +283,40 @@ def near_pairs(placed: DataFrame, *, block: int = BLOCK) -> DataFrame:
     )
     shape = arrow_schema("a long, b long")
 
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        cls, part, n = (np.array(table.column(c), dtype=np.int64) for c in ("class", "part", "n"))
-        sketch = np.array(table.column("sketch").combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(cls), SKETCH)
-        order = np.lexsort((cls, n))
-        cls, part, n, sketch = cls[order], part[order], n[order], sketch[order]
-        most = np.searchsorted(n, n * 5 // 4, "right")
+    def pairs_of(group: np.ndarray, cls: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        """Near pairs of rows that lie in the same group; rows are sorted by group and n. Each step compares rows farther apart."""
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(cls) - 1):
-            others = np.flatnonzero(part[i + 1 : most[i]] != part[i]) + i + 1
-            if len(others):
-                apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                near = others[apart * 9 <= n[others] + n[i]]
-                a.append(np.full(len(near), cls[i]))
-                b.append(cls[near])
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=shape)
-
-    return met.repartition(tasks, "bucket", "pair").groupBy("bucket", "pair").applyInArrow(search, "a long, b long")
+        at, step = np.arange(len(cls)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(cls)]
+            at = at[(group[at] == group[at + step]) & (n[at] * 5 >= n[at + step] * 4)]
+            two = at[part[at] != part[at + step]]
+            apart = np.bitwise_count(sketch[two] ^ sketch[two + step]).sum(axis=1, dtype=np.int64)
+            two = two[apart * 9 <= n[two] + n[two + step]]
+            a.append(cls[two])
+            b.append(cls[two + step])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=shape)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; those of the last group of a batch wait for the next one."""
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = np.array(batch.column("sketch").flatten(), dtype=np.int64).view(np.uint64).reshape(batch.num_rows, SKETCH)
+            rows = [*(np.array(batch.column(c), dtype=np.int64) for c in ("bucket", "pair", "class", "part", "n")), sketch]
+            if waiting is not None:
+                rows = [np.concatenate(x) for x in zip(waiting, rows, strict=True)]
+            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            cut = int(np.flatnonzero(new)[-1])
+            waiting = [x[cut:] for x in rows]
+            if cut:
+                yield pairs_of(np.cumsum(new)[:cut], *(x[:cut] for x in rows[2:]))
+        if waiting is not None:
+            yield pairs_of(np.zeros(len(waiting[0]), np.int64), *waiting[2:])
+
+    return met.repartition(tasks, "bucket", "pair").sortWithinPartitions("bucket", "pair", "n", "class").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
