@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingforge.functions.term_packs import FLAG_PATTERNS
+from filingforge.operators.validation import ranked_in_group
 
 # Tiers of flags.
 SERIOUS = ("material_weakness_flag", "restatement_flag", "non_reliance_flag", "going_concern_flag", "covenant_breach_flag", "cybersecurity_incident_flag")
@@ -68,12 +69,14 @@ def panel(requests: DataFrame, scores: DataFrame, *, key: str = "filing_id") ->
 
 
 def corpus_context(scores: DataFrame, score: str, group: list[str]) -> DataFrame:
-    """Adds n, median and strict percentile (half-even) of each score in its cohort."""
-    w = Window.partitionBy(*group)
-    below = F.rank().over(w.orderBy(score)) - 1
-    good = scores.where(F.col(score).isNotNull())
-    stats = good.groupBy(*group).agg(F.count("*").alias("cohort_n"), F.round(F.median(score), 1).alias("cohort_median"))
-    return good.withColumn("_below", below).join(stats, group).withColumn("percentile", F.bround(F.col("_below") * 100 / F.col("cohort_n"), 0).cast("int")).drop("_below")
+    """Adds n, median and strict percentile (half-even) of each score in its cohort, by global ranks."""
+    good = ranked_in_group(scores.where(F.col(score).isNotNull()), group, score)
+    below = good.groupBy(*group, score).agg(F.min("_rank").alias("_below"))
+    n = F.col("_n")
+    middle = good.where((F.col("_rank") == F.floor((n - 1) / 2)) | (F.col("_rank") == F.floor(n / 2)))
+    median = middle.groupBy(*group).agg(F.round(F.avg(score), 1).alias("cohort_median"))
+    out = good.join(below, [*group, score]).join(median, group).withColumn("percentile", F.bround(F.col("_below") * 100 / n, 0).cast("int"))
+    return out.withColumnRenamed("_n", "cohort_n").drop("_below", "_rank")
 
 
 def preset(scores: DataFrame, keys: list[str], tier: str) -> DataFrame:

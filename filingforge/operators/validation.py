@@ -7,22 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingforge.staging import staged
+
+#: Row numbers within a partition take the low bits of monotonically_increasing_id().
+ROW_BITS = 33
+
 
 def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def ranked(rows: DataFrame, value: str, tie: str, name: str = "rank0") -> DataFrame:
-    """Adds the global rank from 0 by value, then tie, in range partitions.
+def ranked(rows: DataFrame, value: str | Sequence[str], tie: str | None = None, name: str = "rank0") -> DataFrame:
+    """Adds the global rank from 0 by the value or values, then tie (nulls first).
 
-    Rows are dealt by ranges of the value, ranked in their range and shifted by the number of rows before it, so no
-    task sees them all.
+    Rows are dealt by ranges of all these columns and sorted; each row's place, a partition and a number in it, is written
+    with the row to the shared folder, so that counts and rows can't disagree however partitions are merged. A rank is
+    that number behind the rows of all partitions before it: no task sees more than its range, and one row a partition
+    is broadcast.
     """
-    dealt = rows.repartitionByRange(F.col(value), F.col(tie)).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(value, tie)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # one row a partition
+    order = [*([value] if isinstance(value, str) else value), *([tie] if tie else [])]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    kept = staged(rows.sparkSession, placed, "ranked").withColumn("_part", F.shiftright("_place", ROW_BITS))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
+    return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).drop("_part", "_place", "_before")
+
+
+def ranked_in_group(rows: DataFrame, group: Sequence[str], value: str, tie: str | None = None) -> DataFrame:
+    """Adds _rank, the rank from 0 in the row's group, and _n, the group's size, from one global rank; null groups are left out."""
+    r = ranked(rows, [*group, value], tie, "_rank0")
+    stats = r.groupBy(*group).agg(F.min("_rank0").alias("_first"), F.count("*").alias("_n"))
+    return r.join(stats, list(group)).withColumn("_rank", F.col("_rank0") - F.col("_first")).drop("_rank0", "_first")
 
 
 def with_quintiles(rows: DataFrame, value: str, tie: str) -> DataFrame:
@@ -72,10 +87,12 @@ def annualised_volatility(value: str = "log_return", least: int = 20, days: int
 def realised_volatility(filings: DataFrame, bars: DataFrame, *, key: str = "ticker", days: int = 90, least: int = 20) -> DataFrame:
     """key, filing_date, trading_days, realized_vol over bars from the day after filing to `days` days after it.
 
-    A range join on an equality key; returns start inside the window.
+    A filing stands for each day of its window and meets bars by ticker and day, so it meets none outside of it, and a
+    ticker with many bars is no single key. Returns start inside the window.
     """
     f = filings.select(key, "filing_date").distinct()
-    inside = f.join(bars, key).where((F.col("date") > F.col("filing_date")) & (F.col("date") <= F.date_add("filing_date", days)))
+    window = f.select(key, "filing_date", F.explode(F.sequence(F.date_add("filing_date", 1), F.date_add("filing_date", days))).alias("date"))
+    inside = window.join(bars, [key, "date"])
     before = F.lag("close").over(Window.partitionBy(key, "filing_date").orderBy("date"))
     returns = inside.withColumn("log_return", F.when((before > 0) & (F.col("close") > 0), F.ln(F.col("close") / before)))
     return returns.groupBy(key, "filing_date").agg(F.count("*").alias("trading_days"), annualised_volatility(least=least).alias("realized_vol"))
@@ -94,10 +111,12 @@ def first_after(filings: DataFrame, events: DataFrame, *, key: str = "ticker", d
     return found.where("_kind = 0").select("_row.*", F.col("_next._date").alias("next_event_date"), F.col("_next._value").alias("next_event_value"))
 
 
-def upper_median(c: str | Column) -> Column:
-    """The element at n div 2 of the sorted values, as an aggregate."""
-    values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, (F.size(values) / 2).cast("int") + 1)
+def medians(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """group, n, median (the mean of the two middle values) and upper_median (the value at n div 2), by global ranks."""
+    r = ranked_in_group(rows.where(F.col(value).isNotNull()), group, value)
+    low, high, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2), F.floor(F.col("_n") / 2)
+    middle = r.where((F.col("_rank") == low) | (F.col("_rank") == high))
+    return middle.groupBy(*group).agg(F.max("_n").alias("n"), F.avg(value).alias("median"), F.max(F.when(F.col("_rank") == upper, F.col(value))).alias("upper_median"))
 
 
 def gate(name: str, value: Column, threshold: float, n: Column, *, at_least: bool = True) -> Column:
@@ -121,7 +140,13 @@ def filter_reasons(rows: DataFrame, checks: Sequence[tuple[str, Column]]) -> Dat
 
 
 def best_weights(rows: DataFrame, a: str, b: str, target: str, tie: str, weights: Sequence[float] = (0.5, 0.6, 0.7)) -> DataFrame:
-    """weight, rho of w * a + (1 - w) * b against the target, best first; ranks run for all weights at once."""
-    grid = rows.where(finite(a) & finite(b) & finite(target)).select(tie, target, F.explode(F.array(*[F.struct(F.lit(float(w)).alias("weight"), (F.col(a) * w + F.col(b) * (1 - w)).alias("mix")) for w in weights])).alias("g")).select(tie, target, "g.*")
-    rank = lambda c: F.row_number().over(Window.partitionBy("weight").orderBy(c, tie))
-    return grid.withColumns({"rx": rank("mix"), "ry": rank(target)}).groupBy("weight").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).orderBy(F.desc("rho"), "weight")
+    """weight, n, rho of w * a + (1 - w) * b against the target, best first.
+
+    The target is ranked once, the mixes of all weights in one global order by weight; what that adds to a weight's ranks
+    is taken off.
+    """
+    good = ranked(rows.where(finite(a) & finite(b) & finite(target)).select(tie, a, b, target), target, tie, "ry")
+    mixes = F.array(*[F.struct(F.lit(float(w)).alias("weight"), (F.col(a) * w + F.col(b) * (1 - w)).alias("mix")) for w in weights])
+    grid = good.select(tie, "ry", F.inline(mixes))
+    both = ranked_in_group(grid, ["weight"], "mix", tie)
+    return both.groupBy("weight").agg(F.count("*").alias("n"), F.corr("_rank", "ry").alias("rho")).orderBy(F.desc("rho"), "weight")

@@ -182,7 +182,8 @@ def calibration_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True and upper medians of suppliers' balances by nation."""
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.median("s_acctbal"), 6).alias("median"), validation.upper_median("s_acctbal").alias("upper_median"))
+    out = validation.medians(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_acctbal")
+    return out.select("s_nationkey", F.round("median", 6).alias("median"), "upper_median")
 
 
 QUERIES = {f.__name__: f for f in (html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
