@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_RUN = r"([\p{L}\p{N}_]+)"
+#: A run of word characters that are all a-z.
+PLAIN_WORD = r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"
 SENTENCE_BREAK = r"[.!?]+\s+"
 #: Money, counts and percentages, then written dates, then years: the order decides.
 NUMBER = r"(?i)((?:\$)?\d[\d,]*(?:\.\d+)?%?|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}\b)"
@@ -29,8 +31,8 @@ def stripped(text: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased ASCII words."""
-    return F.filter(F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD_RUN), F.lit(1)), lambda w: w.rlike("^[a-z]+$"))
+    """Lower-cased ASCII words, found in one pass."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(PLAIN_WORD), F.lit(0))
 
 
 def word_runs(text: Column | str) -> Column:
@@ -58,14 +60,14 @@ def phrase_hits(lower: Column | str, phrases: Iterable[str]) -> Column:
     """Occurrences of all phrases, each counted by itself; texts with none are passed over in one search."""
     phrases = list(phrases)
     total = sum((F.regexp_count(_col(lower), F.lit(phrase_pattern(p))) for p in phrases), F.lit(0))
-    return F.when(_col(lower).rlike(any_pattern(phrases)), total).otherwise(F.lit(0))
+    return F.when(may_hold(lower, phrases) & _col(lower).rlike(any_pattern(phrases)), total).otherwise(F.lit(0))
 
 
 def phrases_present(lower: Column | str, phrases: Iterable[str]) -> Column:
     """How many of the phrases occur."""
     phrases = list(phrases)
-    total = sum((_col(lower).rlike(phrase_pattern(p)).cast("int") for p in phrases), F.lit(0))
-    return F.when(_col(lower).rlike(any_pattern(phrases)), total).otherwise(F.lit(0))
+    held = lambda p: F.contains(_col(lower), F.lit(anchors([p])[0])) & _col(lower).rlike(phrase_pattern(p))
+    return sum((held(p).cast("int") for p in phrases), F.lit(0))
 
 
 def sentence_phrase_hits(sentence_array: Column | str, phrases: Iterable[str]) -> Column:
@@ -108,6 +110,30 @@ def topic_intensity(text: Column | str, token_array: Column | str, keywords: Ite
     return F.when(F.lower(_col(text)).rlike(any_pattern(keywords)), value).otherwise(F.lit(0.0))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns (or replaces those of the same name) that are computed once a row, however often later steps read them.
+
+    Projections are merged by the optimiser, which would copy these expressions to each place of use; the one-row
+    generator between them isn't.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(f"_once_{name}") for name, c in columns.items()])))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select("*", made).select(*kept, *[F.col(f"_once_{name}").alias(name) for name in columns])
+
+
+def anchors(phrases: Iterable[str]) -> list[str]:
+    """The longest word of each phrase: a text that holds none of them holds no phrase."""
+    return sorted({max(re.split(r"[\s-]+", p.lower()), key=len) for p in phrases})
+
+
+def may_hold(lower: Column | str, phrases: Iterable[str]) -> Column:
+    """Whether the text holds an anchor of any phrase: plain searches, so that patterns run on few texts."""
+    out = F.lit(False)
+    for word in anchors(phrases):
+        out = out | F.contains(_col(lower), F.lit(word))
+    return out
+
+
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     """Null stays null."""
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))

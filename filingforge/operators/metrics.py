@@ -24,9 +24,9 @@ BOILERPLATE_BLEND = (0.4, 0.6)
 
 
 def with_text_parts(sections: DataFrame, text: str = "text") -> DataFrame:
-    """Adds tokens, sentences and lower, which everything else reads."""
+    """Adds tokens, sentences and lower, which everything else reads; each text is taken apart once."""
     safe = F.coalesce(F.col(text), F.lit(""))
-    return sections.withColumns({text: safe, "tokens": T.tokens(safe), "sentences": T.sentences(safe), "lower": F.lower(safe)})
+    return T.once(sections, {text: safe, "tokens": T.tokens(safe), "sentences": T.sentences(safe), "lower": F.lower(safe)})
 
 
 def section_metrics(sections: DataFrame, packs: TermPacks | None = None, *, text: str = "text") -> DataFrame:
@@ -35,16 +35,19 @@ def section_metrics(sections: DataFrame, packs: TermPacks | None = None, *, text
     A column boilerplate_cross_firm_ratio is used if there is one and counts as 0 where it is missing or null.
     """
     packs = packs or TermPacks()
-    df = sections.withColumns({
+    listed = {name: getattr(packs, pack) for name, pack in RATIO_PACKS.items()}
+    # The few tokens that are in any pack, and then the packs of each.
+    df = T.once(sections, {"_listed": F.filter("tokens", lambda t: t.isin(sorted({w for words in listed.values() for w in words})))})
+    df = T.once(df, {
         "word_count": F.size("tokens"),
         "sentence_count": F.size("sentences"),
         "_numbers": F.regexp_count(F.col(text), F.lit(r"(?<![\p{L}\p{N}_])\d+(?:[.,]\d+)?(?![\p{L}\p{N}_])")),
-        "_capitals": F.size(F.filter(T.word_runs(text), lambda w: w.rlike("^[A-Z][a-z]+$"))),
+        "_capitals": F.regexp_count(F.col(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]++(?![\p{L}\p{N}_])")),
         "_named": T.phrases_present("lower", packs.geography) + T.phrases_present("lower", packs.segment),
         "_long": F.size(F.filter("tokens", lambda w: F.length(w) > 6)),
-        "_boilerplate": T.sentence_phrase_hits("sentences", packs.boilerplate),
+        "_boilerplate": F.when(T.may_hold("lower", packs.boilerplate) & F.col("lower").rlike(T.any_pattern(packs.boilerplate)), T.sentence_phrase_hits("sentences", packs.boilerplate)).otherwise(F.lit(0)),
         "_legal": T.phrase_hits("lower", packs.legal),
-        **{f"_{name}": T.tokens_in("tokens", getattr(packs, pack)) for name, pack in RATIO_PACKS.items()},
+        **{f"_{name}": T.tokens_in("_listed", words) for name, words in listed.items()},
     })
     words, n_sentences = F.col("word_count"), F.col("sentence_count")
     cross = F.coalesce(F.col("boilerplate_cross_firm_ratio"), F.lit(0.0)) if "boilerplate_cross_firm_ratio" in sections.columns else F.lit(0.0)
@@ -94,20 +97,21 @@ def flag_column(flag: str, packs: TermPacks, section: Column | str = "section")
         return low.rlike(patterns) & ~low.rlike(T.any_pattern(muted)) if muted else low.rlike(patterns)
 
     section = F.col(section) if isinstance(section, str) else section
-    return F.when(section.isin(list(scope)) & F.col("lower").rlike(patterns), F.exists("sentences", fires)).otherwise(F.lit(False))
+    found = T.may_hold("lower", packs.flag_patterns[flag]) & F.col("lower").rlike(patterns)
+    return F.when(section.isin(list(scope)) & found, F.exists("sentences", fires)).otherwise(F.lit(False))
 
 
 def section_flags(sections: DataFrame, packs: TermPacks | None = None) -> DataFrame:
     """Adds a boolean column for each flag; sections come from with_text_parts()."""
     packs = packs or TermPacks()
-    return sections.withColumns({flag: flag_column(flag, packs) for flag in packs.flag_patterns})
+    return T.once(sections, {flag: flag_column(flag, packs) for flag in packs.flag_patterns})
 
 
 def section_densities(sections: DataFrame, packs: TermPacks | None = None, mdna: tuple[str, ...] = MDNA_SECTIONS) -> DataFrame:
     """Adds term hits for each thousand words, at most 100; 0 outside of management's discussion."""
     packs = packs or TermPacks()
     words = F.greatest(F.size("tokens"), F.lit(1))
-    return sections.withColumns({
+    return T.once(sections, {
         name: F.when(F.col("section").isin(list(mdna)), F.round(F.least(F.lit(100.0), T.phrase_hits("lower", terms) / words * 1000), 6)).otherwise(F.lit(0.0))
         for name, terms in packs.densities.items()
     })

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingforge.session import table
+from filingforge.session import spread, table
 
 #: One of these is appended to each document, by doc_id modulo their number.
 SEEDS = (
@@ -45,7 +45,7 @@ WHERE c.text IS NOT NULL
 
 def frame(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """The SQL over the driver's tables, which are passed by name and not registered anywhere."""
-    return spark.sql(" ".join(sql.split("\n")).replace("{", "{{").replace("}", "}}") if not names else _bind(sql, names), **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(" ".join(sql.split("\n")).replace("{", "{{").replace("}", "}}") if not names else _bind(sql, names), **{n: spread(table(spark, sf_dir, n)) for n in names})
 
 
 def _bind(sql: str, names: tuple[str, ...]) -> str:

@@ -27,3 +27,12 @@ def local_session(cores: int | str = 8, *, shuffle_partitions: int = 8, memory:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, by any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew where it comes in fewer pieces than there are cores: for steps whose work outweighs their bytes.
+
+    Large tables come in many pieces and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
