@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingforge.operators.diff import prior_targets
+
 TIER_POINTS, ORIGINAL_POINTS, HTML_POINTS = 1e9, 1e5, 5e8
 
 
@@ -44,16 +46,27 @@ def period_fits(form: Column, quarter: Column, period: Column) -> Column:
     return F.when(form == "10-Q", p == F.upper(F.coalesce(quarter, F.lit("")))).when(form == "10-K", p.isin("", "FY")).otherwise(F.lit(True))
 
 
+def html_score(fiscal_year: Column, quarter: Column) -> Column:
+    """Points of a row whose metadata don't fit, but whose page names the year (html_fiscal_year) and period (html_period)."""
+    own = (F.col("html_fiscal_year") == fiscal_year) & period_fits(F.col("form_type"), quarter, F.col("html_period"))
+    return F.when(own, F.lit(HTML_POINTS) + F.when(is_amendment(F.col("form")), F.lit(0.0)).otherwise(F.lit(ORIGINAL_POINTS)) + day_number(F.col("filing_date")))
+
+
 def resolve(submissions: DataFrame, targets: DataFrame, *, ties: int = 3) -> DataFrame:
     """Targets left-joined with their best submission: accession, score, and up to `ties` accessions that tie with it.
 
     submissions: cik, accession, form, filing_date, report_date, dei_fiscal_year, dei_period; targets: target_id, cik,
-    form_type, fiscal_year, quarter. A target without a row that fits keeps nulls.
+    form_type, fiscal_year, quarter. A target without a row that fits keeps nulls. With columns html_fiscal_year and
+    html_period, tags of landed pages, a row that its metadata rule out can still fit by these, below all others; an
+    annual filing whose page names a quarter is no candidate.
     """
     rows = submissions.withColumn("_form", normal_form(F.col("form")))
     fits = targets.join(rows.withColumnRenamed("cik", "_cik"), (F.col("cik") == F.col("_cik")) & (F.col("form_type") == F.col("_form")))
-    fits = fits.where(period_fits(F.col("form_type"), F.col("quarter"), F.col("dei_period")))
-    scored = fits.withColumn("score", row_score(F.col("fiscal_year"))).where(F.col("score").isNotNull())
+    points = F.when(period_fits(F.col("form_type"), F.col("quarter"), F.col("dei_period")), row_score(F.col("fiscal_year")))
+    if "html_fiscal_year" in submissions.columns:
+        fits = fits.where(~F.coalesce((F.col("form_type") == "10-K") & F.col("html_period").isin("Q1", "Q2", "Q3", "Q4"), F.lit(False)))
+        points = F.coalesce(points, html_score(F.col("fiscal_year"), F.col("quarter")))
+    scored = fits.withColumn("score", points).where(F.col("score").isNotNull())
     w = Window.partitionBy("target_id").orderBy(F.desc("score"), F.abs(F.coalesce(year_of(F.col("report_date")), F.lit(0)) - F.col("fiscal_year")), F.desc("report_date"), F.desc("filing_date"), "accession")
     best = scored.withColumns({"_n": F.row_number().over(w), "_top": F.max("score").over(Window.partitionBy("target_id"))})
     tied = best.where((F.col("score") == F.col("_top")) & (F.col("_n") <= ties))
@@ -61,6 +74,37 @@ def resolve(submissions: DataFrame, targets: DataFrame, *, ties: int = 3) -> Dat
     return targets.join(found, "target_id", "left")
 
 
+def resolve_with_prior(submissions: DataFrame, targets: DataFrame, *, required: bool = False) -> DataFrame:
+    """Targets with their own filing and that of the period before: accession, prior_accession, and unresolved.
+
+    A prior that isn't there is null. required: a target without a filing of its own raises when it is read.
+    """
+    own = resolve(submissions, targets)
+    before = prior_targets(targets).select("target_id", "cik", "form_type", F.col("prior_year").alias("fiscal_year"), F.col("prior_quarter").alias("quarter"))
+    prior = resolve(submissions, before).select("target_id", F.col("accession").alias("prior_accession"))
+    out = own.join(prior, "target_id").withColumn("unresolved", F.col("accession").isNull())
+    if required:
+        missing = F.raise_error(F.concat(F.lit("no filing for target "), F.col("target_id").cast("string"))).cast("string")
+        out = out.withColumn("accession", F.when(F.col("unresolved"), missing).otherwise(F.col("accession")))
+    return out
+
+
+def bundles(resolved: DataFrame, pages: DataFrame) -> DataFrame:
+    """Targets with html and prior_html of landed pages (accession, html); a prior page that isn't there leaves no prior."""
+    own = pages.select(F.col("accession").alias("_a"), "html")
+    prior = pages.select(F.col("accession").alias("_p"), F.col("html").alias("prior_html"))
+    out = resolved.join(own, F.col("accession") == F.col("_a"), "left").join(prior, F.col("prior_accession") == F.col("_p"), "left").drop("_a", "_p")
+    return out.withColumns({"has_prior": F.col("prior_html").isNotNull(), "prior_accession": F.when(F.col("prior_html").isNotNull(), F.col("prior_accession"))})
+
+
+def all_pages(pages: list[DataFrame]) -> DataFrame:
+    """Submission rows of several pages, each once; columns that a page lacks are null."""
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page, allowMissingColumns=True)
+    return out.dropDuplicates(["cik", "accession"])
+
+
 def best_listing(submissions: DataFrame) -> DataFrame:
     """The best row of each (cik, form, period): an amendment counts 100 less than an original filed the same day."""
     points = F.when(is_amendment(F.col("form")), F.lit(0.0)).otherwise(F.lit(100.0)) + day_number(F.col("filing_date"))

@@ -138,6 +138,39 @@ def percentile_rank(value: Column, references: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), (below + equal * 0.5) * 100 / len(references))
 
 
+def lookup_baseline(rows: DataFrame, baselines: DataFrame, *, metric: str = "metric") -> DataFrame:
+    """rows (metric, form_type, sector, fiscal_year) left-joined with the closest cohort: references, cohort, mean, std, n.
+
+    baselines: metric, form_type, sector and fiscal_year (null: any), references (array). A cohort of sector, form and
+    year comes before sector and form, then form and year, then the form; the table is a row a cohort and metric.
+    """
+    levels = (("sector", "fiscal_year"), ("sector",), ("fiscal_year",), ())
+    out = rows.withColumn("_sector", F.lower(F.trim("sector")))
+    for i, used in enumerate(levels):
+        own = baselines.where(F.col("sector").isNotNull() if "sector" in used else F.col("sector").isNull()).where(F.col("fiscal_year").isNotNull() if "fiscal_year" in used else F.col("fiscal_year").isNull())
+        own = own.select(F.col("metric").alias("_m"), F.col("form_type").alias("_f"), F.lower("sector").alias("_s"), F.col("fiscal_year").alias("_y"), F.col("references").alias(f"_refs{i}"))
+        on = (F.col(metric) == F.col("_m")) & (F.coalesce("form_type", F.lit("10-K")) == F.col("_f"))
+        if "sector" in used:
+            on = on & (F.col("_sector") == F.col("_s"))
+        if "fiscal_year" in used:
+            on = on & (F.col("fiscal_year") == F.col("_y"))
+        out = out.join(own, on, "left").drop("_m", "_f", "_s", "_y")
+    form = F.coalesce("form_type", F.lit("10-K"))
+    year = F.col("fiscal_year").cast("string")
+    names = (F.concat_ws(":", "_sector", form, year), F.concat_ws(":", "_sector", form), F.concat_ws(":", form, year), form)
+    cohort = F.coalesce(*[F.when(F.col(f"_refs{i}").isNotNull(), names[i]) for i in range(4)])
+    out = out.withColumns({"references": F.coalesce(*[F.col(f"_refs{i}") for i in range(4)]), "cohort": cohort}).drop("_sector", *[f"_refs{i}" for i in range(4)])
+    return out.withColumns(reference_stats(F.col("references")))
+
+
+def reference_stats(references: Column) -> dict[str, Column]:
+    """n, mean and sample deviation of an array of references; null where there are too few."""
+    n = F.size(references)
+    mean = F.aggregate(references, F.lit(0.0), lambda acc, x: acc + x) / n
+    squares = F.aggregate(F.transform(references, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda acc, x: acc + x)
+    return {"n": F.when(references.isNotNull(), n), "mean": F.when(n > 0, mean), "std": F.when(n > 1, F.sqrt(squares / (n - 1)))}
+
+
 def calibrated(metric: str, value: Column, config: ScoringConfig) -> Column:
     """The percentile in the cohort: sector and form, else form; without one, ratios count in hundredths."""
     references = DECILES.get((config.sector.lower(), config.form_type, metric)) or DECILES.get(("", config.form_type, metric))

@@ -28,6 +28,11 @@ def plain_lines(html: Column) -> Column:
     return F.filter(lines, lambda s: s != "")
 
 
+def normal_whitespace(text: Column) -> Column:
+    """Spaces and tabs collapsed in lines, and more than one blank line to one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
 def distinct_lines(lines: Column, least: int = 40) -> Column:
     """Lines without those shorter than `least` that came before.
 
@@ -53,7 +58,10 @@ def heading_candidates(filings: DataFrame, form_type: str, *, key: str = "filing
     for section, pattern in FORM_PATTERNS[form_base(form_type)].items():
         guarded = rf"(?<![a-z0-9]){pattern}"
         gaps, found = F.split(low, guarded, -1), F.regexp_extract_all(low, F.lit(guarded), F.lit(0))
-        ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.length(x)))  # noqa: B023
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+        # One pass: the list of starts so far and the place behind the last match.
+        walked = F.aggregate(steps, F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at")), lambda acc, x: F.struct(F.array_append(acc["starts"], (acc["at"] + x["g"]).cast("int")).alias("starts"), (acc["at"] + x["g"] + x["m"]).cast("int").alias("at")))
+        ends = walked["starts"]
         rows.append(F.when(F.size(found) > 0, F.transform(ends, lambda e: F.struct(F.lit(section).alias("section"), e.alias("start")))).otherwise(F.array().cast("array<struct<section:string,start:int>>")))  # noqa: B023
     out = filings.select(key, text, F.inline(F.flatten(F.array(*rows))))
     window = F.substring(F.col(text), F.col("start") + 1, F.lit(200))
@@ -61,8 +69,8 @@ def heading_candidates(filings: DataFrame, form_type: str, *, key: str = "filing
     return out.withColumn("toc_like", toc).drop(text)
 
 
-def extract_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "text") -> DataFrame:
-    """key, section, section_ord, text, word_count, sentence_count, text_hash, extraction_confidence, warnings."""
+def extract_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "text", offsets: bool = False) -> DataFrame:
+    """key, section, section_ord, text, word_count, sentence_count, text_hash, extraction_confidence, warnings; start_offset and end_offset where asked for."""
     places = heading_candidates(filings, form_type, key=key, text=text)
     by_filing = Window.partitionBy(key).orderBy("start", "section")
     own = Window.partitionBy(key, "section")
@@ -81,6 +89,7 @@ def extract_sections(filings: DataFrame, form_type: str, *, key: str = "filing_i
     return spans.select(
         key, "section", F.row_number().over(by_filing).alias("section_ord"), F.col("_body").alias("text"), "word_count", F.greatest(F.size(T.sentences("_body")), F.when(F.col("_body") != "", F.lit(1)).otherwise(F.lit(0))).alias("sentence_count"),
         F.sha2("_body", 256).alias("text_hash"), F.round(value, 2).alias("extraction_confidence"), warnings.alias("warnings"),
+        *([F.col("start").cast("int").alias("start_offset"), F.coalesce("_next", F.length(text)).cast("int").alias("end_offset")] if offsets else []),
     )
 
 

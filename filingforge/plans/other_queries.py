@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingforge.operators import products, resolution, scoring, sections, validation
-from filingforge.session import table
+from filingforge.operators import blocks, products, reports, resolution, scoring, sections, shaping, validation
+from filingforge.session import spread, table
 
 from .corpus import frame
 
@@ -186,7 +186,59 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_nationkey", F.round("median", 6).alias("median"), "upper_median")
 
 
-QUERIES = {f.__name__: f for f in (html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+#: Pages whose body holds item headings between their own text: filing_id, html.
+PAGES_SQL = """SELECT page_id AS filing_id, '<p>Table of contents Item 1A. Risk Factors ..... 3 Item 7. Management ..... 9</p><h2>Item 1A. Risk Factors</h2><div>' || coalesce(html, '')
+  || '</div><h2>Item 3. Legal Proceedings</h2><p>None.</p><h2>Item 7. Management discussion</h2><p>' || url || '</p>' AS html FROM pages"""
+
+
+def block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of headed pages by typed blocks."""
+    out = blocks.extract(frame(spark, sf_dir, PAGES_SQL, "pages"), "10-K")
+    return out.select("filing_id", "section", "section_ord", F.col("word_count").cast("long"), "extraction_confidence", "extraction_method", F.array_join("warnings", ",").alias("warnings"))
+
+
+def edgar_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 to E5 of customers as an analysed universe, their balance as confidence."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").withColumn("extraction_confidence", F.col("c_acctbal") / 10000)
+    n = table(spark, sf_dir, "customer").count()
+    return reports.edgar_gates(c, universe_expected=n, n_input=n)
+
+
+def matrix_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of a corpus whose filings are orders, whose sections are their lines, and whose scores are customers' balances."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.lit("10-Q").alias("form_type"), F.element_at(F.array(*map(F.lit, ("item_1a_risk_factors", "item_2_mdna", "item_4_controls", "other"))), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("section"), F.when(F.col("l_quantity") > 5, F.lit("x")).alias("text"), (1 - F.col("l_discount")).alias("extraction_confidence"))
+    scores = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("a"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("b"))
+    return reports.matrix_gates(s, scores, components=("a", "b"))
+
+
+def universe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customers have orders."""
+    have, want = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("ticker")), table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("ticker"))
+    return reports.coverage(have, want).select("expected", "present", "n_missing", F.array_join("missing", ",").alias("missing"))
+
+
+def outcomes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether expensive parts are larger, as a report of outcomes; no change scores."""
+    p = table(spark, sf_dir, "part")
+    scores = p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("ticker"), F.col("p_retailprice").alias("overall_disclosure_risk_score"), F.lit(None).cast("double").alias("disclosure_change_score"))
+    results = p.select(F.concat(F.lit("P"), F.col("p_partkey")).alias("ticker"), F.col("p_size").cast("double").alias("realized_vol_90d"), F.lit(1.0).alias("earnings_surprise_abs"))
+    out = reports.outcomes_report(reports.with_outcomes(results, scores))
+    return out.select("name", "n", "q1_n", "q5_n", F.round("q1_mean", 6).alias("q1_mean"), F.round("q5_mean", 6).alias("q5_mean"), "status")
+
+
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents' texts by lines."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", shaping.chunks(F.coalesce("text", F.lit("")), 500).alias("c"))
+    return d.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.length(F.array_join("c", "")).cast("long").alias("n_chars"))
+
+
+def published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices times discounts, rounded by their exact binary value."""
+    v = F.col("l_extendedprice") * F.col("l_discount") / 100
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shaping.round_exact(v, 2).alias("two"), shaping.round_exact(v, 4).alias("four"))
+
+
+QUERIES = {f.__name__: f for f in (block_extraction, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
 
 _Q = "least(5, floor((row_number() OVER (ORDER BY {v}, {k}) - 1) * 5 / count(*) OVER ()) + 1)"
 _STRIP = "html"
@@ -227,5 +279,15 @@ ORACLES = {
     "upper_medians": "SELECT s_nationkey, round(median(s_acctbal), 6) AS median, list_sort(list(s_acctbal))[len(list(s_acctbal)) // 2 + 1] AS upper_median FROM supplier GROUP BY s_nationkey",
     "required_sections": "SELECT doc_id AS filing_id, true AS required_sections_present, '' AS missing FROM documents",
 }
+ORACLES |= {
+    "edgar_gates": "WITH a AS (SELECT count(*) AS n, median(c_acctbal / 10000) AS m, (SELECT count(*) FROM customer) AS u FROM customer WHERE c_acctbal > 0) SELECT name, round(CAST(v AS DOUBLE), 4) AS value, CAST(t AS DOUBLE) AS threshold, CASE WHEN v >= t THEN 'pass' ELSE 'fail' END AS status FROM (SELECT unnest(['E1_fetch_rate', 'E2_analysis_rate', 'E3_filter_retention', 'E4_median_confidence', 'E5_min_analysis_n']) AS name, unnest([1.0, n / u, n / u, m, n]) AS v, unnest([0.9, 0.85, 0.85, 0.75, 80.0]) AS t FROM a)",
+    "matrix_gates": """WITH s AS (SELECT l_orderkey AS f, l_linenumber % 4 < 3 AND l_quantity > 5 AS hit, 1 - l_discount AS c FROM lineitem), f AS (SELECT sum(CAST(hit AS INT)) AS hits, count(DISTINCT f) AS n FROM s),
+        m AS (SELECT c FROM (SELECT c, row_number() OVER (ORDER BY c) - 1 AS r, count(*) OVER () AS n FROM s WHERE hit) WHERE r = n // 2), k AS (SELECT (avg(CAST(c_acctbal > 0 AS INT)) + avg(CAST(c_custkey % 3 = 0 AS INT))) / 2 AS v FROM customer)
+        SELECT 'non_empty_corpus' AS name, CAST(n AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS threshold, 'pass' AS status FROM f UNION ALL SELECT 'required_section_extraction_rate', round(hits / (4 * n), 4), 0.5, CASE WHEN hits / (4 * n) >= 0.5 THEN 'pass' ELSE 'fail' END FROM f
+        UNION ALL SELECT 'median_extraction_confidence', round(c, 4), 0.6, CASE WHEN c >= 0.6 THEN 'pass' ELSE 'fail' END FROM m UNION ALL SELECT 'component_coverage', round(v, 4), 0.4, CASE WHEN v >= 0.4 THEN 'pass' ELSE 'fail' END FROM k""",
+    "universe_coverage": "WITH m AS (SELECT 'C' || c_custkey AS t, c_custkey IN (SELECT o_custkey FROM orders) AS here FROM customer) SELECT count(*) AS expected, CAST(sum(CAST(here AS INT)) AS BIGINT) AS present, CAST(sum(CAST(NOT here AS INT)) AS BIGINT) AS n_missing, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT t FROM m WHERE NOT here ORDER BY t LIMIT 50)), '') AS missing FROM m",
+    "outcomes_report": f"WITH q AS (SELECT p_size AS s, {_Q.format(v='p_retailprice', k=chr(39) + 'P' + chr(39) + ' || p_partkey')} AS q FROM part), a AS (SELECT count(*) AS n, count(*) FILTER (q = 1) AS q1_n, count(*) FILTER (q = 5) AS q5_n, avg(s) FILTER (q = 1) AS a, avg(s) FILTER (q = 5) AS b FROM q)"
+    + " SELECT 'volatility_vs_overall' AS name, n, q1_n, q5_n, round(a, 6) AS q1_mean, round(b, 6) AS q5_mean, CASE WHEN n < 50 OR q1_n < 5 OR q5_n < 5 THEN 'insufficient' WHEN b > a THEN 'pass' ELSE 'fail' END AS status FROM a UNION ALL SELECT 'earnings_surprise_vs_change', 0, 0, 0, NULL, NULL, 'skipped'",
+}
 #: Whole tables: the same SQL without its limits.
 ORACLES |= {"panel_all": ORACLES["panel"].replace(" WHERE c_custkey < 40", ""), "calibration_all": ORACLES["calibration"].replace(" WHERE l_orderkey <= 2000", "")}
