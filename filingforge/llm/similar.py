@@ -15,8 +15,8 @@ A segment can be empty, and is then no key. Sets of fewer than 64 shingles are d
 isn't; what remains is a chance of less than one in a thousand to miss a pair of 14 shingles just at the limit, and of
 less than one in a million from 40 shingles on.
 
-Candidates are pruned by the parities of 512 buckets of shingles, which differ at most as often as the sets do, and then
-checked by their whole shingle sets, in two rounds. The first takes SimHash links and, in each bucket, neighbours by
+Candidates are pruned by the parities of 512 buckets of shingles, which differ at most as often as the sets do, then by
+those of 8,192 (long texts fill the narrower ones), and then checked by their whole shingle sets, in two rounds. The first takes SimHash links and, in each bucket, neighbours by
 size: a large group becomes one component with few pairs. The second searches each bucket whose classes are still in
 different components for pairs of near parities; a bucket that many share is dealt out in blocks, each two of which meet
 in one task, and only pairs that pass are sent on. Texts of candidates are found by a bitmap of fixed size.
@@ -43,8 +43,8 @@ from .words import M1, WHITE_SPACE, expand, grams, mixed, split_words, word_hash
 BITMAP, REMEMBERED = 1 << 24, 1_000_000
 #: Least size of sets that are filed by segments, and below which they are dealt twice.
 RING, TWICE = 14, 64
-#: 64-bit words of the parities.
-SKETCH = 8
+#: 64-bit words of the parities, and of the wider ones that candidates get.
+SKETCH, WIDE = 8, 128
 #: Bytes of text worked on at once.
 SLICE = 2 << 20
 #: Classes of one block of a bucket, and rows of buckets that one task searches, about.
@@ -118,9 +118,9 @@ def run_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """For each set, the parities of its shingles in 64 * SKETCH buckets, as words; sets differ in no fewer shingles."""
-    bits = 64 * SKETCH
+def parities(hashes: np.ndarray, owner: np.ndarray, n: int, words: int = SKETCH) -> np.ndarray:
+    """For each set, the parities of its shingles in 64 * words buckets, as words; sets differ in no fewer shingles."""
+    bits = 64 * words
     counts = np.bincount(owner * bits + (hashes >> np.uint64(40)).astype(np.int64) % bits, minlength=n * bits)
     return np.packbits((counts & 1).astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<u8")
 
@@ -178,8 +178,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 n = part.num_rows
                 sizes = np.bincount(owner, minlength=n)
                 signed = [pa.array(x.view(np.int64)) for x in (class_ids(hashes, owner, sizes), run_fingerprints(runs, first))]
-                ends = pa.array(np.arange(0, SKETCH * (n + 1), SKETCH, dtype=np.int32))
-                sketch = pa.ListArray.from_arrays(ends, pa.array(parities(hashes, owner, n).view(np.int64).ravel())).cast(shape.field("sketch").type)
+                sketch = list_column(parities(hashes, owner, n).ravel(), np.arange(n + 1) * SKETCH, shape.field("sketch"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("at"), *signed, pa.array(sizes), sketch], schema=shape)
 
     return source.mapInArrow(run, schema)
@@ -217,22 +216,32 @@ def filed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
+def list_column(values: np.ndarray, ends: np.ndarray, field: pa.Field) -> pa.Array:
+    """A list column of longs; ends: 0 and where each list ends."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64))).cast(field.type)
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """class and shingles, the distinct hashes, of rows class and text."""
-    shape = arrow_schema("class long, shingles array<long>")
+    """class, n, wide (parities) and shingles, the distinct hashes, of rows class and text."""
+    schema = "class long, n long, wide array<long>, shingles array<long>"
+    shape = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                hashes, owner = distinct_runs(*shingle_runs(part.column("text"), width))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))).cast(shape.field("shingles").type)], schema=shape)
+                for at in range(0, part.num_rows, 500):  # parities are counted in a table of 64 * WIDE numbers a text
+                    piece = part.slice(at, 500)
+                    hashes, owner = distinct_runs(*shingle_runs(piece.column("text"), width))
+                    sizes = np.bincount(owner, minlength=piece.num_rows)
+                    wide = list_column(parities(hashes, owner, piece.num_rows, WIDE).ravel(), np.arange(piece.num_rows + 1) * WIDE, shape.field("wide"))
+                    sets = list_column(hashes, np.concatenate([[0], np.cumsum(sizes)]), shape.field("shingles"))
+                    yield pa.RecordBatch.from_arrays([piece.column("class"), pa.array(sizes), wide, sets], schema=shape)
 
-    return texts.select("class", "text").mapInArrow(run, "class long, shingles array<long>")
+    return texts.select("class", "text").mapInArrow(run, schema)
 
 
 def among(docs: DataFrame, ats: DataFrame) -> DataFrame:
-    """Rows of docs (at, text) whose `at` is in ats, and a few more: a bitmap of fixed size decides. A task sends a text once."""
+    """Rows of docs (at, ...) whose `at` is in ats, and a few more: a bitmap of fixed size decides. A task sends an `at` once."""
     words = ats.select(F.pmod("at", F.lit(BITMAP)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
     bitmap[np.array(words.column("word"), np.int64)] = np.array(words.column("bits"), np.int64).view(np.uint64)
@@ -255,17 +264,23 @@ def among(docs: DataFrame, ats: DataFrame) -> DataFrame:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose shingle sets are similar."""
+    """Those of the distinct pairs (a, b) of classes whose shingle sets are similar."""
     spark = docs.sparkSession
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda name: classes.select(F.col("class").alias(name), F.struct("n", "sketch").alias(f"of_{name}"))
-    apart = F.expr("aggregate(zip_with(of_a.sketch, of_b.sketch, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * 9 <= F.col("of_a.n") + F.col("of_b.n"))
-    pairs = staged(spark, near.select("a", "b"), "similar-pairs")
+    pairs = pairs.where("a <> b")
+
+    def near(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """Pairs whose parities differ no more than similar sets may."""
+        side = lambda name: table.select(F.col("class").alias(name), F.struct("n", F.col(column).alias("bits")).alias(f"of_{name}"))
+        apart = F.expr("aggregate(zip_with(of_a.bits, of_b.bits, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(apart * 9 <= F.col("of_a.n") + F.col("of_b.n")).select("a", "b")
+
+    pairs = staged(spark, near(pairs, classes, "sketch"), "similar-pairs")
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     ats = staged(spark, classes.join(involved, "class").select("class", "at"), "similar-texts")
     texts = among(docs.select(F.xxhash64("text").alias("at"), "text"), ats).join(ats, "at").dropDuplicates(["class"])
     sets = staged(spark, shingle_sets(texts, width), "similar-sets")
+    pairs = staged(spark, near(pairs, sets, "wide"), "similar-nearer")  # long texts fill the narrow parities; whole sets move for few
+    sets = among(sets.select(F.col("class").alias("at"), "shingles"), pairs.select(F.col("a").alias("at")).union(pairs.select("b"))).withColumnRenamed("at", "class")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
     return staged(spark, both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar-links")
 
