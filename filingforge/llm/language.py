@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filingforge.session import spread
+
 from .common import arrow_schema, slices
 from .words import LOWER, M1, Words, mixed, split_words, text_bytes, word_hashes
 
@@ -346,5 +348,5 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return predict(docs, train_on(docs), carry=["doc_id"]).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from filingforge.session import spread
+
 from .common import arrow_schema, slices
 
 #: Windows that a pool is packed into.
@@ -257,5 +259,5 @@ def default_vocabulary() -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    pieces = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())
+    pieces = pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), default_vocabulary())
     return with_digests(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingforge.session import spread
+
 #: Fixed patterns, in the order in which spans at one place are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -203,7 +205,7 @@ def redacted(text: str, spans: str, mark: str = MARK) -> Column:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = scan_secrets(docs, train_markov(labelled_samples(docs)), carry=["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     return found.select(
