@@ -135,9 +135,11 @@ def _extra(tails: np.ndarray, more: np.ndarray) -> np.ndarray:
 def _question(shape: pa.Schema, hashes: np.ndarray, tails: np.ndarray, more: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows to send: one for each hash; and the answers known already, under random hashes, with positions packed."""
     order, new, count = _distinct_rows(hashes, _extra(tails, more))
-    lead = order[new]
+    lead = np.sort(order[new])  # in the order of documents, whose ids then repeat and take little room in the shuffle
+    repeated = np.zeros(len(hashes), bool)
+    repeated[order[new]] = count > 1
     yield pa.RecordBatch.from_arrays(
-        [pa.array(hashes[lead].view(np.int64)), pa.array(tails[lead].view(np.int64)), pa.array(more[lead]), pa.array(ids[lead]), pa.array(count > 1), pa.nulls(len(lead), pa.binary())], schema=shape
+        [pa.array(hashes[lead].view(np.int64)), pa.array(tails[lead].view(np.int64)), pa.array(more[lead]), pa.array(ids[lead]), pa.array(repeated[lead]), pa.nulls(len(lead), pa.binary())], schema=shape
     )
     rest = np.delete(order, new)
     if len(rest):
