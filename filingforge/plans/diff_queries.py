@@ -9,7 +9,7 @@ from filingforge.functions import term_packs as P
 from filingforge.functions import text as T
 from filingforge.operators import diff, metrics, products, scoring
 
-from .corpus import FILINGS_SQL, SECTION_NAMES, TURNS_SQL, frame
+from .corpus import FILINGS_SQL, TURNS_SQL, frame
 from .metric_queries import DOUBLED, SENTENCES, TOKENS, any_of
 
 NUMBER_SQL = r"(?i)(?:\$)?\d[\d,]*(?:\.\d+)?%?|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}\b"
@@ -85,8 +85,8 @@ def filings_with_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of prior_pairs_all that the SQL of this name covers."""
-    return prior_pairs_all(spark, sf_dir).where(f"floor(doc_id / {len(SECTION_NAMES)}) % 7 <> 3")
+    """prior_pairs_all under its first name."""
+    return prior_pairs_all(spark, sf_dir)
 
 
 def prior_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +153,10 @@ ORACLES = {
         for name, pack in diff.DELTAS.items()
     )
     + " FROM k",
-    "prior_pairs": f"WITH f AS (SELECT doc_id, filing_id, filing_id % 6 AS e, floor(filing_id / 6) AS y, section, text FROM ({FILINGS_SQL}) AS s WHERE filing_id % 7 <> 3)"
-    + " SELECT a.doc_id, b.doc_id AS prior_doc_id, length(b.text) AS prior_length FROM f a LEFT JOIN f b ON a.e = b.e AND b.y = a.y - 1 AND a.section = b.section",
 }
 #: All filings; a year is put off as in the query.
 ORACLES |= {
     "prior_pairs_all": f"WITH f AS (SELECT doc_id, filing_id % 6 AS e, floor(filing_id / 6) + CASE WHEN filing_id % 7 = 3 THEN {FAR_YEARS} ELSE 0 END AS y, section, text FROM ({FILINGS_SQL}) AS s)"
     + " SELECT a.doc_id, b.doc_id AS prior_doc_id, length(b.text) AS prior_length FROM f a LEFT JOIN f b ON a.e = b.e AND b.y = a.y - 1 AND a.section = b.section",
 }
+ORACLES["prior_pairs"] = ORACLES["prior_pairs_all"]
