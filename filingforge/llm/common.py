@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from filingforge.staging import drop_staged, scratch, shared_dir, staged
 
-__all__ = ["arrow_schema", "ascii_lower", "drop_staged", "scratch", "shared_dir", "slices", "staged"]
+__all__ = ["arrow_schema", "ascii_lower", "drop_staged", "scratch", "shared_dir", "slices", "small_batches", "staged"]
+
+#: Rows of an Arrow batch where the session doesn't name a number: texts are long, and Spark's own default is 10,000.
+BATCH_ROWS = 2_000
 
 
 def arrow_schema(df_schema: str | object) -> pa.Schema:
@@ -21,6 +25,13 @@ def arrow_schema(df_schema: str | object) -> pa.Schema:
     return to_arrow_schema(df_schema if isinstance(df_schema, StructType) else _parse_datatype_string(df_schema))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batch that hold about `limit` bytes of the column each, one row at least: this bounds working memory."""
     if not batch.num_rows:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from filingforge.session import spread
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, slices, small_batches
 from .words import LOWER, M1, Words, mixed, split_words, text_bytes, word_hashes
 
 #: Documents of each language in training at most, segments of each, and words of a segment.
@@ -40,7 +40,7 @@ SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 400, 3, 24
 #: Slots of hashed features.
 TABLE = 1 << 17
 #: Bytes of text that are worked on at once, about; working memory is some forty times that.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Words of a block of forward-backward.
 BLOCK = 32
 
@@ -315,6 +315,7 @@ def train_on(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry: list[str]) -> DataFrame:
     """The columns to carry, lang_pred, score, and n_words by language (in the order of the model's languages)."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.struct(*carry).alias("__row"), F.col(text).alias("__text"))
     full = source.select("__row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<double>").alias("words_by_language")).schema
     shape = arrow_schema(full)

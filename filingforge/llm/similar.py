@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, staged
+from .common import arrow_schema, drop_staged, slices, small_batches, staged
 from .components import connected_components
 from .simhash import near_links
 from .words import M1, WHITE_SPACE, expand, grams, mixed, split_words, word_hashes
@@ -45,8 +45,8 @@ BITMAP, REMEMBERED = 1 << 24, 1_000_000
 RING, TWICE = 14, 64
 #: 64-bit words of the parities, and of the wider ones that candidates get.
 SKETCH, WIDE = 8, 128
-#: Bytes of text worked on at once.
-SLICE = 2 << 20
+#: Bytes of text worked on at once, and texts whose wide parities are counted at once (in 64 * WIDE numbers each).
+SLICE, WIDE_TEXTS = 1 << 19, 100
 #: Classes of one block of a bucket, and rows of buckets that one task searches, about.
 BLOCK, TASK_ROWS = 2_000, 20_000
 
@@ -229,8 +229,8 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                for at in range(0, part.num_rows, 500):  # parities are counted in a table of 64 * WIDE numbers a text
-                    piece = part.slice(at, 500)
+                for at in range(0, part.num_rows, WIDE_TEXTS):
+                    piece = part.slice(at, WIDE_TEXTS)
                     hashes, owner = distinct_runs(*shingle_runs(piece.column("text"), width))
                     sizes = np.bincount(owner, minlength=piece.num_rows)
                     wide = list_column(parities(hashes, owner, piece.num_rows, WIDE).ravel(), np.arange(piece.num_rows + 1) * WIDE, shape.field("wide"))
@@ -278,11 +278,14 @@ def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     ats = staged(spark, classes.join(involved, "class").select("class", "at"), "similar-texts")
     texts = among(docs.select(F.xxhash64("text").alias("at"), "text"), ats).join(ats, "at").dropDuplicates(["class"])
-    sets = staged(spark, shingle_sets(texts, width), "similar-sets")
-    pairs = staged(spark, near(pairs, sets, "wide"), "similar-nearer")  # long texts fill the narrow parities; whole sets move for few
-    sets = among(sets.select(F.col("class").alias("at"), "shingles"), pairs.select(F.col("a").alias("at")).union(pairs.select("b"))).withColumnRenamed("at", "class")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
-    return staged(spark, both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar-links")
+    all_sets = staged(spark, shingle_sets(texts, width), "similar-sets")
+    nearer = staged(spark, near(pairs, all_sets, "wide"), "similar-nearer")  # long texts fill the narrow parities; whole sets move for few
+    sets = among(all_sets.select(F.col("class").alias("at"), "shingles"), nearer.select(F.col("a").alias("at")).union(nearer.select("b"))).withColumnRenamed("at", "class")
+    both = nearer.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    links = staged(spark, both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar-links")
+    for table in (pairs, ats, all_sets, nearer):  # the sets are about as large as the texts
+        drop_staged(spark, table)
+    return links
 
 
 def near_pairs(placed: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -337,6 +340,7 @@ def near_pairs(placed: DataFrame, *, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, distance: int = 3) -> DataFrame:
     """A row for each row of docs: key, component: the least key reachable over pairs of a similarity of 0.8 or more."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = staged(spark, described(source, width), "similar-rows")
     classes = rows.groupBy("class").agg(F.min("key").alias("least"), F.min(F.struct("at", "fp", "n", "sketch")).alias("first"))
