@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, secrets, sharding, simhash, substring, topk, url_filter, warc
+from . import decontaminate, language, packing, pieces, secrets, sharding, simhash, substring, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_substring": substring.op8_substring,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_warc": warc.op10_warc,
+        "op12_sentencepiece": pieces.op12_sentencepiece,
     }
 
 
