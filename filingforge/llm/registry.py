@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, pieces, secrets, sharding, simhash, substring, topk, url_filter, warc
+from . import decontaminate, language, merkle, packing, pieces, secrets, sharding, simhash, substring, topk, trie, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,9 @@ def queries() -> dict[str, Query]:
         "op8_substring": substring.op8_substring,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_warc": warc.op10_warc,
+        "op11_trie": trie.op11_trie,
         "op12_sentencepiece": pieces.op12_sentencepiece,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -42,4 +44,6 @@ def oracles() -> dict[str, str]:
         "op8_substring": substring.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
+        "op11_trie": trie.ORACLE_SQL,
+        "op13_merkle": merkle.ORACLE_SQL,
     }
