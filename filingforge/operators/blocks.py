@@ -1,21 +1,23 @@
 """Sections from typed blocks: every mention of an item is a candidate, scored by where and how it stands.
 
-A page becomes rows of blocks (paragraphs, titles, tables) with offsets into their joined text. Neighbours that a score
-looks at come from windows over a filing's blocks, so all steps share one partitioning by filing. Candidates that score
-enough bound the sections; short sections are repaired from the next strong candidate or the second-best one; the result
-is merged with the plain heading search and with the best match of Item 1A.
+A page is parsed once (markup.parsed) and stays in its row: flags, neighbours, candidates, boundaries and repairs are array
+expressions over its blocks, and sections are cut where the page is. Nothing is shuffled: only finished sections leave a
+row. Candidates that score enough bound the sections; short sections are repaired from the next strong candidate or the
+second-best one; the result is merged with the plain heading search and with the best match of Item 1A.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingforge.functions import markup
 from filingforge.functions import text as T
 from filingforge.functions.term_packs import FORM_PATTERNS, HEADINGS, form_base
 from filingforge.operators import sections as S
+from filingforge.operators.sections import let
 
 RISKS = "item_1a_risk_factors"
 #: Points of a candidate, and the score from which it counts.
@@ -27,54 +29,37 @@ BODY_WORDS, BODY_BLOCKS, EXTEND, USABLE = 50, 5, 200, 200
 #: Where Item 1A ends.
 RISKS_END = r"(?i)(?<![a-z])item\s*(?:1b|2\.?(?![a-z0-9])|2\s)"
 ITEM_MENTION = r"item\s+\d+[a-z]?(?:\.\d+)?\.?"
-SEPARATOR, TITLED = "\x1e", "\x1d"
+SECTION_TYPE = "struct<section:string,text:string,word_count:int,start_offset:int,end_offset:int,warnings:array<string>,extraction_confidence:double,sentence_count:int,text_hash:string,extraction_method:string>"
+NO_SECTIONS = f"array<{SECTION_TYPE}>"
 
 
-def normal_block(text: Column) -> Column:
-    """Entities resolved, hard spaces and white space collapsed, trimmed."""
-    for name, char in S.ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.translate(text, " ", " "), r"\s+", " "))
+def with_blocks(filings: DataFrame, *, key: str = "filing_id", html: str = "html") -> DataFrame:
+    """key, blocks, full_text, clean_text, parse_warning and marks, the blocks with what candidates look at."""
+    return T.once(markup.parsed(filings, key=key, html=html), {"marks": marked(F.col("blocks"))})
 
 
-def block_array(html: Column) -> Column:
-    """array<struct<type, text>> of a page: tables whole, titles (h1 to h6, or all in bold), and all else by block tags."""
-    page = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|title)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    parts = F.split(page, r"(?i)(?=<table\b)|(?<=</table>)", -1)
-    plain = lambda x: normal_block(F.regexp_replace(F.regexp_replace(x, rf"[{TITLED}]", ""), r"(?s)<[!/?a-zA-Z][^>]*>", " "))
+def marked(blocks: Column) -> Column:
+    """Of each block: index, type, text, start, is_toc, is_table, is_title, words, prior_text (its end), words_after (of the next blocks)."""
+    counted = F.transform(blocks, lambda b: b.withField("words", S.word_count(b["text"])))
+    first_title = F.array_position(F.transform(blocks, lambda b: b["type"]), F.lit("title"))
 
-    def pieces(part: Column) -> Column:
-        marked = F.regexp_replace(part, r"(?is)<h[1-6]\b[^>]*>|<(?:p|div|li)\b[^>]*>\s*(?=<(?:b|strong)\b[^>]*>(?:(?!</?(?:p|div|li|b|strong)\b).)*</(?:b|strong)>\s*</(?:p|div|li)>)", SEPARATOR + TITLED)
-        marked = F.regexp_replace(marked, r"(?i)</?(?:p|div|li|ul|ol|br|hr|section|article|header|footer|body|html|head|blockquote|h[1-6]|tr)\b[^>]*>", SEPARATOR)
-        return F.transform(F.split(marked, SEPARATOR, -1), lambda x: F.struct(F.when(F.startswith(x, F.lit(TITLED)), F.lit("title")).otherwise(F.lit("text")).alias("type"), plain(x).alias("text")))
+    def mark(all_blocks: Column, b: Column, i: Column) -> Column:
+        low = F.lower(b["text"])
+        introductory = i + 1 < first_title
+        listed = introductory & (F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){ITEM_MENTION}")) >= 3)
+        return F.struct(
+            i.cast("int").alias("index"), b["type"].alias("type"), b["text"].alias("text"), b["start"].alias("start"),
+            (listed | F.contains(F.substring(low, 1, 80), F.lit("table of contents"))).alias("is_toc"), (b["type"] == "table").alias("is_table"), (b["type"] == "title").alias("is_title"), b["words"].alias("words"),
+            F.when(i > 0, F.right(F.get(all_blocks, i - 1)["text"], F.lit(BACK_BEFORE))).alias("prior_text"),
+            F.aggregate(F.slice(all_blocks, i + 2, F.lit(BODY_BLOCKS - 1)), F.lit(0), lambda n, x: n + x["words"]).alias("words_after"),
+        )
 
-    table = lambda part: F.array(F.struct(F.lit("table").alias("type"), plain(F.regexp_replace(part, r"(?i)</?t[drh]\b[^>]*>", " ")).alias("text")))
-    return F.filter(F.flatten(F.transform(parts, lambda p: F.when(p.rlike(r"(?i)^<table\b"), table(p)).otherwise(pieces(p)))), lambda b: b["text"] != "")
-
-
-def with_blocks(filings: DataFrame, *, html: str = "html") -> DataFrame:
-    """Adds blocks and full_text, the blocks' texts with a blank line between; both are made once."""
-    df = T.once(filings, {"blocks": block_array(F.col(html))})
-    return T.once(df, {"full_text": F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")})
+    return let(counted, lambda all_blocks: F.transform(all_blocks, lambda b, i: mark(all_blocks, b, i)))
 
 
 def block_rows(filings: DataFrame, *, key: str = "filing_id") -> DataFrame:
-    """key, index, type, text, start, is_toc, is_table, is_title, words, prior_text, words_after (of the next blocks)."""
-    by = Window.partitionBy(key).orderBy("index")
-    rows = filings.select(key, F.posexplode("blocks").alias("index", "b")).select(key, "index", "b.type", "b.text")
-    low = F.lower("text")
-    first_title = F.min(F.when(F.col("type") == "title", F.col("index"))).over(Window.partitionBy(key))
-    introductory = F.coalesce(F.col("index") < first_title, F.lit(False))
-    return rows.withColumns({
-        "start": F.coalesce(F.sum(F.length("text") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"),
-        "words": S.word_count(F.col("text")),
-        "is_table": F.col("type") == "table",
-        "is_title": F.col("type") == "title",
-        "is_toc": (introductory & (F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){ITEM_MENTION}")) >= 3)) | F.contains(F.substring(low, 1, 80), F.lit("table of contents")),
-    }).withColumns({
-        "prior_text": F.lag("text").over(by),
-        "words_after": F.coalesce(F.sum("words").over(by.rowsBetween(1, BODY_BLOCKS - 1)), F.lit(0)),
-    })
+    """A row for each block of with_blocks() rows."""
+    return filings.select(key, F.inline("marks"))
 
 
 def heading_pattern(section: str) -> str:
@@ -87,133 +72,197 @@ def heading_pattern(section: str) -> str:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<at, found>>: all matches and their places (from 0) in a block's text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("found")))
-    empty = F.array().cast("array<struct<at:int,found:string>>")
-    walked = F.aggregate(steps, F.struct(empty.alias("out"), F.lit(0).alias("at")), _walk)
-    return F.when(text.rlike(pattern), walked["out"]).otherwise(empty)
+    """array<struct<at, found>>: all matches and their places (from 0) in a text."""
+    return S.places(text, pattern)
+
+
+def candidates_of(block: Column, form_type: str) -> Column:
+    """array<struct<section, start, end, score, warnings>> of a marked block."""
+    text, none = block["text"], F.array().cast("array<struct<section:string,start:int,end:int,score:int,warnings:array<string>>>")
+    of = lambda s: F.transform(matches(text, heading_pattern(s)), lambda m: _candidate(block, m, s))
+    found = F.flatten(F.array(*map(of, FORM_PATTERNS[form_base(form_type)])))
+    return F.when(text.rlike(r"(?i)item\s*\d"), found).otherwise(none)
+
+
+def _candidate(block: Column, match: Column, section: str) -> Column:
+    text, at, stop, title = block["text"], match["at"], match["at"] + F.length(match["found"]), HEADINGS[section][1]
+    back = F.substring(text, F.greatest(at - BACK, F.lit(0)) + 1, F.least(at, F.lit(BACK)))
+    context = F.when(block["index"] > 0, F.concat(block["prior_text"], F.lit(" "), back)).otherwise(back)
+    window = F.substring(text, at + 1, F.length(match["found"]) + AHEAD)
+    toc = block["is_toc"] | block["is_table"] | window.rlike(r"\.{3,}") | window.rlike(r"(?i)(?<![a-z0-9_])\d+\s*(?:item\s+\d|part\s+[ivx])")
+    body = S.word_count(F.substring(text, stop + 1, F.length(text))) + block["words_after"]
+    at_start, transition = at <= 5, context.rlike(rf"(?i){ITEM_MENTION}")
+    inline = ~at_start & ~transition & ~block["is_title"]
+    early = (block["start"] < START) & ~block["is_title"]
+    points = lambda test, n: F.when(test, F.lit(n)).otherwise(F.lit(0))
+    score = (
+        F.lit(ITEM) + (points(F.contains(F.lower(match["found"]), F.lit(title)), TITLE) if title else F.lit(0)) + points(block["is_title"], TITLE_BLOCK)
+        + F.when(at_start, F.lit(BLOCK_START)).when(transition, F.lit(TRANSITION)).when(inline, F.lit(INLINE)).otherwise(F.lit(0))
+        + points(body >= BODY_WORDS, BODY) + points(toc, TOC) + points(early, EARLY)
+    )
+    named = [F.when(test, F.lit(name)) for test, name in ((inline, "inline_reference"), (toc, "toc_suppressed"), (early, "early_candidate"))]
+    start = block["start"]
+    return let(score, lambda s: F.struct(F.lit(section).alias("section"), (start + at).cast("int").alias("start"), (start + stop).cast("int").alias("end"), s.alias("score"), F.array_compact(F.array(*named, F.when(s < STRONG, F.lit("low_candidate_score")))).alias("warnings")))
 
 
-def _walk(acc: Column, x: Column) -> Column:
-    at = acc["at"] + x["gap"]
-    return F.struct(F.array_append(acc["out"], F.struct(at.cast("int").alias("at"), x["found"].alias("found"))).alias("out"), (at + F.length(x["found"])).cast("int").alias("at"))
+def heading_candidates(blocks: DataFrame, form_type: str, *, key: str = "filing_id") -> DataFrame:
+    """key, section, start, end, score, warnings of every place where a section's heading matches; of block_rows()."""
+    return blocks.select(key, F.inline(candidates_of(F.struct(*[c for c in blocks.columns if c != key]), form_type)))
 
 
-def _named(section: str):
-    item, title = HEADINGS[section]
-    return lambda m: F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), F.lit(title).alias("title"), m["at"].alias("at"), m["found"].alias("found"))
+def section_of(name: Column, text: Column, start: Column, stop: Column, score: Column, warnings: Column, method: str, eof_warning: str = "open_ended_boundary") -> Column:
+    """The section of a text from start to stop, with its counts, warnings and confidence."""
 
+    def made(body: Column, words: Column) -> Column:
+        eof, short = stop >= F.length(text), words < S.SHORT
+        listed = F.array_distinct(F.concat(warnings, F.array_compact(F.array(F.when(short, F.lit("short_section")), F.when(eof, F.lit(eof_warning))))))
+        base = F.greatest(F.lit(0.4), F.least(F.lit(0.95), score / 100))
+        value = F.when(eof, F.least(base, F.lit(0.75))).otherwise(base)
+        value = F.when(words >= S.LONG, F.greatest(value, F.lit(0.85))).when(words >= S.FULL, F.greatest(value, F.lit(0.76))).otherwise(value)
+        value = F.when(short, F.least(base, F.lit(0.35))).otherwise(value)
+        sentences = F.greatest(F.size(T.sentences(body)), F.when(body != "", F.lit(1)).otherwise(F.lit(0)))
+        fields = {"section": name, "text": body, "word_count": words, "start_offset": start.cast("int"), "end_offset": stop.cast("int"), "warnings": listed, "extraction_confidence": F.round(value, 2), "sentence_count": sentences, "text_hash": F.sha2(body, 256), "extraction_method": F.lit(method)}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-def heading_candidates(blocks: DataFrame, form_type: str, *, key: str = "filing_id") -> DataFrame:
-    """key, section, start, end, score, warnings of every place where a section's heading matches."""
+    body = S.normal_whitespace(F.substring(text, start + 1, stop - start))
+    return let(body, lambda b: let(S.word_count(b), lambda w: made(b, w)))
+
+
+def primary_sections(filings: DataFrame, form_type: str) -> DataFrame:
+    """Adds primary: the sections of with_blocks() rows by their candidates."""
     names = list(FORM_PATTERNS[form_base(form_type)])
-    rows = [F.transform(matches(F.col("text"), heading_pattern(s)), _named(s)) for s in names]
-    df = blocks.select("*", F.inline(F.flatten(F.array(*rows))))
-    stop = F.col("at") + F.length("found")
-    back = F.substring(F.col("text"), F.greatest(F.col("at") - BACK, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BACK)))
-    context = F.when(F.col("index") > 0, F.concat(F.right("prior_text", F.lit(BACK_BEFORE)), F.lit(" "), back)).otherwise(back)
-    window = F.substring(F.col("text"), F.col("at") + 1, F.length("found") + AHEAD)
-    toc = F.col("is_toc") | F.col("is_table") | window.rlike(r"\.{3,}") | window.rlike(r"(?i)(?<![a-z0-9_])\d+\s*(?:item\s+\d|part\s+[ivx])")
-    body = S.word_count(F.substring(F.col("text"), stop + 1, F.length("text"))) + F.col("words_after")
-    at_start, transition = F.col("at") <= 5, context.rlike(rf"(?i){ITEM_MENTION}")
-    inline = ~at_start & ~transition & ~F.col("is_title")
-    early = (F.col("start") < START) & ~F.col("is_title")
-    points = lambda test, n: F.when(test, F.lit(n)).otherwise(F.lit(0))
-    score = (
-        F.lit(ITEM) + points((F.col("title") != "") & F.contains(F.lower("found"), F.col("title")), TITLE) + points(F.col("is_title"), TITLE_BLOCK)
-        + F.when(at_start, F.lit(BLOCK_START)).when(transition, F.lit(TRANSITION)).when(inline, F.lit(INLINE)).otherwise(F.lit(0))
-        + points(body >= BODY_WORDS, BODY) + points(toc, TOC) + points(early, EARLY)
-    )
-    out = df.withColumns({"score": score, "_inline": inline, "_toc": toc, "_early": early})
-    named = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in (("_inline", "inline_reference"), ("_toc", "toc_suppressed"), ("_early", "early_candidate"))], F.when(F.col("score") < STRONG, F.lit("low_candidate_score"))))
-    return out.select(key, "section", (F.col("start") + F.col("at")).cast("int").alias("start"), (F.col("start") + stop).cast("int").alias("end"), "score", named.alias("warnings"))
-
-
-def _cut(df: DataFrame, start: str, end: str, score: Column, warnings: Column, name: str) -> DataFrame:
-    """Adds the struct `name`: a section's text from start to end with its counts, warnings and confidence."""
-    body = S.normal_whitespace(F.trim(F.substring(F.col("full_text"), F.col(start) + 1, F.col(end) - F.col(start))))
-    df = df.withColumn("_body", body).withColumn("_words", S.word_count(F.col("_body")))
-    eof = F.col(end) >= F.length("full_text")
-    short = F.col("_words") < S.SHORT
-    listed = F.array_distinct(F.concat(warnings, F.array_compact(F.array(F.when(short, F.lit("short_section")), F.when(eof, F.lit("open_ended_boundary"))))))
-    base = F.greatest(F.lit(0.4), F.least(F.lit(0.95), score / 100))
-    value = F.when(eof, F.least(base, F.lit(0.75))).otherwise(base)
-    value = F.when(F.col("_words") >= S.LONG, F.greatest(value, F.lit(0.85))).when(F.col("_words") >= S.FULL, F.greatest(value, F.lit(0.76))).otherwise(value)
-    value = F.when(short, F.least(base, F.lit(0.35))).otherwise(value)
-    made = F.struct(F.col("_body").alias("text"), F.col("_words").alias("word_count"), F.col(start).alias("start_offset"), F.col(end).alias("end_offset"), listed.alias("warnings"), F.round(value, 2).alias("extraction_confidence"))
-    return df.withColumn(name, made).drop("_body", "_words")
+    df = T.once(filings, {"_strong": F.filter(F.flatten(F.transform("marks", lambda b: candidates_of(b, form_type))), lambda c: c["score"] >= STRONG)})
+    order = lambda c: F.struct((-c["score"]).alias("low"), c["start"].alias("start"), c["score"].alias("score"), c["warnings"].alias("warnings"))
+    best = lambda s: let(F.array_sort(F.transform(F.filter("_strong", lambda c: c["section"] == s), order)), lambda x: F.struct(F.get(x, F.lit(0))["start"].alias("start"), F.lit(s).alias("section"), F.get(x, F.lit(0)).alias("one"), F.get(x, F.lit(1)).alias("two")))
+    picks = F.array_sort(F.filter(F.array(*map(best, names)), lambda p: p["start"].isNotNull()))
+    bounds = F.array_sort(F.transform("_strong", lambda c: F.struct(c["start"].alias("start"), c["section"].alias("section"))))
+    df = T.once(df, {"_picks": picks, "_bounds": bounds})
+    text = F.col("full_text")
+
+    def cut(pick: Column, start: Column, stop: Column, one: Column, *more: str) -> Column:
+        return section_of(pick["section"], text, start, stop, one["score"], F.concat(one["warnings"], F.array(*map(F.lit, more)).cast("array<string>")), "block_sequence")
+
+    def repaired(pick: Column, stop: Column) -> Column:
+        later = F.filter("_bounds", lambda b: (b["start"] >= pick["start"] + EXTEND) & (b["section"] != pick["section"]))
+        longer = F.get(later, F.lit(0))["start"]
+
+        def extended(first: Column) -> Column:
+            return F.when((first["word_count"] < BODY_WORDS) & (longer > stop), cut(pick, pick["start"], longer, pick["one"], "boundary_extended")).otherwise(first)
+
+        def alternated(now: Column) -> Column:
+            weak = (now["word_count"] < USABLE) & (F.array_contains(now["warnings"], "short_section") | F.array_contains(now["warnings"], "early_candidate"))
+            other = F.when(weak & pick["two"].isNotNull(), cut(pick, pick["two"]["start"], stop, pick["two"], "alternate_candidate"))
+            return let(other, lambda o: F.when(o["word_count"] > now["word_count"], o).otherwise(now))
+
+        return let(let(cut(pick, pick["start"], stop, pick["one"]), extended), alternated)
+
+    found = F.transform("_picks", lambda p, i: repaired(p, F.coalesce(F.get("_picks", i + 1)["start"], F.length(text))))
+    return T.once(df, {"primary": found}).drop("_strong", "_picks", "_bounds")
 
 
 def block_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id") -> DataFrame:
     """Sections of with_blocks() rows: key, section, text, counts, offsets, confidence, method and warnings."""
-    found = heading_candidates(block_rows(filings, key=key), form_type, key=key)
-    strong = found.where(F.col("score") >= STRONG).withColumn("_n", F.row_number().over(Window.partitionBy(key, "section").orderBy(F.desc("score"), "start"))).where("_n <= 2")
-    second = strong.where("_n = 2").select(key, "section", F.struct(F.col("start"), F.col("score"), F.col("warnings")).alias("second"))
-    best = strong.where("_n = 1").withColumn("_next", F.lead("start").over(Window.partitionBy(key).orderBy("start", "section")))
-    # The strong candidates of a filing are few (two a section were kept above for repairs, here all bounds count).
-    bounds = found.where(F.col("score") >= STRONG).groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "section"))).alias("bounds"))
-    df = best.join(second, [key, "section"], "left").join(bounds, key).join(filings.select(key, "full_text"), key)
-    df = df.withColumn("stop", F.coalesce("_next", F.length("full_text")))
-    later = F.filter("bounds", lambda b: (b["start"] >= F.col("start") + EXTEND) & (b["section"] != F.col("section")))
-    df = df.withColumns({"longer": F.try_element_at(later, F.lit(1))["start"], "alt": F.col("second.start")})
-    df = _cut(df, "start", "stop", F.col("score"), F.col("warnings"), "first")
-    df = _cut(df, "start", "longer", F.col("score"), F.concat("warnings", F.array(F.lit("boundary_extended"))), "extended")
-    df = df.withColumn("now", F.when((F.col("first.word_count") < BODY_WORDS) & (F.col("longer") > F.col("stop")), F.col("extended")).otherwise(F.col("first")))
-    df = _cut(df, "alt", "stop", F.col("second.score"), F.concat("second.warnings", F.array(F.lit("alternate_candidate"))), "other")
-    weak = (F.col("now.word_count") < USABLE) & (F.array_contains("now.warnings", "short_section") | F.array_contains("now.warnings", "early_candidate"))
-    df = df.withColumn("now", F.when(weak & (F.col("other.word_count") > F.col("now.word_count")), F.col("other")).otherwise(F.col("now")))
-    return df.select(key, "section", "now.*").withColumns(_hashed("block_sequence"))
-
-
-def _hashed(method: str) -> dict[str, Column]:
-    sentences = F.greatest(F.size(T.sentences("text")), F.when(F.col("text") != "", F.lit(1)).otherwise(F.lit(0)))
-    return {"sentence_count": sentences, "text_hash": F.sha2("text", 256), "extraction_method": F.lit(method)}
+    return primary_sections(filings, form_type).select(key, F.inline("primary")).select(*block_columns(key))
 
 
-def best_item_1a(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "full_text") -> DataFrame:
-    """The longest text from any mention of Item 1A to the next Item 1B or 2, of BODY_WORDS words at least; annual and quarterly forms."""
+def risk_places(text: Column, form_type: str) -> Column:
+    """The mentions of Item 1A in a text, by its heading or by a shorter one."""
+    return matches(text, rf"(?i)(?:{FORM_PATTERNS[form_base(form_type)][RISKS]}|(?:item\s*)?1a\.?[^a-z]{{0,60}}risk)")
+
+
+def risk_section(text: Column, place: Column, score: int, method: str, *warnings: str) -> Column:
+    """From a mention of Item 1A to the next Item 1B or 2."""
+    stop = place["at"] + F.length(place["found"])
+    rest = F.substring(text, stop + 1, F.length(text))
+    end = stop + F.length(F.element_at(F.split(rest, RISKS_END, 2), 1))
+    return section_of(F.lit(RISKS), text, place["at"], end, F.lit(score), F.array(*map(F.lit, warnings)).cast("array<string>"), method)
+
+
+def item_1a(filings: DataFrame, form_type: str, text: str) -> DataFrame:
+    """Adds risks: Item 1A by its best match, a text of BODY_WORDS words at least, or, where none has them, by its first match."""
     if form_base(form_type) not in ("10-K", "10-Q"):
-        return block_sections(filings.limit(0), form_type, key=key)
-    pattern = rf"(?i)(?:{FORM_PATTERNS[form_base(form_type)][RISKS]}|(?:item\s*)?1a\.?[^a-z]{{0,60}}risk)"
-    places = filings.select(key, text, F.inline(matches(F.col(text), pattern))).withColumn("_stop", F.col("at") + F.length("found"))
-    rest = F.substring(F.col(text), F.col("_stop") + 1, F.length(text))
-    gap = F.length(F.element_at(F.split(rest, RISKS_END, 2), 1))
-    df = places.withColumns({"start": F.col("at"), "stop": (F.col("_stop") + gap).cast("int"), "full_text": F.col(text)})
-    df = _cut(df, "start", "stop", F.lit(76), F.array().cast("array<string>"), "now").select(key, "now.*").where(F.col("word_count") >= BODY_WORDS)
-    best = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("word_count"), "start_offset"))).where("_n = 1").drop("_n")
-    return best.withColumn("section", F.lit(RISKS)).withColumns(_hashed("best_match")).select(*block_columns(key))
+        return filings.withColumn("risks", F.lit(None).cast(SECTION_TYPE))
+    df = T.once(filings, {"_places": risk_places(F.col(text), form_type)})
+    df = T.once(df, {"_cuts": F.transform("_places", lambda p: risk_section(F.col(text), p, 76, "best_match"))})
+    usable = F.array_sort(F.transform(F.filter("_cuts", lambda c: c["word_count"] >= BODY_WORDS), lambda c: F.struct((-c["word_count"]).alias("low"), c["start_offset"].alias("at"), c.alias("cut"))), _shorter)
+    last_resort = F.when(F.size("_places") > 0, risk_section(F.col(text), F.get("_places", F.lit(0)), 70, "last_resort", "last_resort_extraction"))
+    return T.once(df, {"risks": F.coalesce(F.get(usable, F.lit(0))["cut"], last_resort)}).drop("_places", "_cuts")
+
+
+def _shorter(a: Column, b: Column) -> Column:
+    left, right = F.struct(a["low"], a["at"]), F.struct(b["low"], b["at"])
+    return F.when(left < right, F.lit(-1)).when(left > right, F.lit(1)).otherwise(F.lit(0))
+
+
+def best_item_1a(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "full_text") -> DataFrame:
+    """The longest text from any mention of Item 1A to the next Item 1B or 2; annual and quarterly forms."""
+    return item_1a(filings, form_type, text).where(F.col("risks").isNotNull()).select(key, "risks.*").select(*block_columns(key))
 
 
 def block_columns(key: str) -> list[str]:
     return [key, "section", "text", "word_count", "start_offset", "end_offset", "warnings", "extraction_confidence", "sentence_count", "text_hash", "extraction_method"]
 
 
-def with_item_1a(found: DataFrame, best: DataFrame, *, key: str = "filing_id") -> DataFrame:
-    """Item 1A is the best match where it is missing, or where that is longer and usable or twice as long; else it stays."""
-    own = found.where(F.col("section") == RISKS)
-    merged = own.select(key, F.struct(*[c for c in own.columns if c != key]).alias("_a")).join(best.select(key, F.struct(*[c for c in own.columns if c != key]).alias("_b")), key, "full_outer")
-    a, b = F.col("_a.word_count"), F.col("_b.word_count")
-    use = F.coalesce((b > a) & ((b >= USABLE) | (b > 2 * a)), F.col("_a").isNull())
-    renewed = F.col("_b").withField("warnings", F.array_distinct(F.concat("_a.warnings", "_b.warnings", F.array(F.lit("item1a_resliced")))))
-    picked = merged.select(key, F.when(F.col("_a").isNull(), F.col("_b")).when(use, renewed).otherwise(F.col("_a")).alias("_x")).select(key, "_x.*")
-    return found.where(F.col("section") != RISKS).unionByName(picked)
+def merged_sections(form_type: str) -> Column:
+    """primary and fallback by section: the fallback counts where the primary is missing, or short and clearly shorter."""
+    own = lambda name, s: F.get(F.filter(name, lambda x: x["section"] == s), F.lit(0))
+
+    def pick(s: str) -> Column:
+        a, b = own("primary", s), own("fallback", s)
+        clear = (a["word_count"] < S.FULL) & ((b["word_count"] >= S.FULL) | (b["word_count"] > 2 * a["word_count"]))
+        renewed = b.withField("warnings", F.array_distinct(F.concat(a["warnings"], b["warnings"], F.array(F.lit("merged_from_fallback"))))).withField("extraction_method", F.concat(b["extraction_method"], F.lit("_merged")))
+        return F.when(a.isNull(), b).when(F.coalesce(clear, F.lit(False)), renewed).otherwise(a)
+
+    return F.array_compact(F.array(*map(pick, FORM_PATTERNS[form_base(form_type)])))
+
+
+def with_item_1a(found: Column, risks: Column) -> Column:
+    """Item 1A is the other match where it is missing, or where that is longer and usable or twice as long; else it stays."""
+
+    def chosen(own: Column) -> Column:
+        b = risks["word_count"]
+        use = (b > own["word_count"]) & ((b >= USABLE) | (b > 2 * own["word_count"]))
+        renewed = risks.withField("warnings", F.array_distinct(F.concat(own["warnings"], risks["warnings"], F.array(F.lit("item1a_resliced")))))
+        return F.when(F.coalesce(use, F.lit(False)), renewed).otherwise(own)
+
+    has = F.exists(found, lambda x: x["section"] == RISKS)
+    replaced = F.transform(found, lambda x: F.when(x["section"] == RISKS, chosen(x)).otherwise(x))
+    return F.when(risks.isNull(), found).when(has, replaced).otherwise(F.array_append(found, risks))
+
+
+def tagged_sections(found: Column, parse_warning: Column) -> Column:
+    """In the order of their starts, with section_ord; a short Item 1A is suspect, the first section has the parser's warning."""
+    by_start = F.array_sort(F.transform(found, lambda x: F.struct(x["start_offset"].alias("at"), x["section"].alias("name"), x.alias("x"))), _by_start)
+
+    def tags(x: Column, i: Column) -> Column:
+        more = F.array_compact(F.array(F.when((x["section"] == RISKS) & (x["word_count"] < USABLE), F.lit("extraction_suspect")), F.when(i == 0, parse_warning)))
+        return x.withField("warnings", F.array_union(x["warnings"], more)).withField("section_ord", (i + 1).cast("int"))
+
+    return F.transform(by_start, lambda o, i: tags(o["x"], i))
+
+
+def _by_start(a: Column, b: Column) -> Column:
+    left, right = F.struct(a["at"], a["name"]), F.struct(b["at"], b["name"])
+    return F.when(left < right, F.lit(-1)).when(left > right, F.lit(1)).otherwise(F.lit(0))
 
 
 def tagged(found: DataFrame, *, key: str = "filing_id", parse_warning: Column | None = None) -> DataFrame:
-    """Marks a short Item 1A as suspect, and the first section of a filing with the parser's warning, if there is one."""
-    suspect = (F.col("section") == RISKS) & (F.col("word_count") < USABLE)
-    out = found.withColumn("warnings", F.when(suspect, F.array_union("warnings", F.array(F.lit("extraction_suspect")))).otherwise(F.col("warnings")))
-    out = out.withColumn("section_ord", F.row_number().over(Window.partitionBy(key).orderBy("start_offset", "section")))
-    if parse_warning is not None:
-        out = out.withColumn("warnings", F.when((F.col("section_ord") == 1) & parse_warning.isNotNull(), F.array_union("warnings", F.array(parse_warning))).otherwise(F.col("warnings")))
-    return out
-
-
-def extract(filings: DataFrame, form_type: str, *, key: str = "filing_id", html: str = "html") -> DataFrame:
-    """All sections of pages: blocks first, the plain heading search where they have none or far less, Item 1A by its best match."""
-    ready = with_blocks(filings.select(key, html), html=html)
-    primary = block_sections(ready, form_type, key=key).select(*block_columns(key))
-    plain = S.extract_sections(ready.select(key, "full_text"), form_type, key=key, text="full_text", offsets=True).withColumn("extraction_method", F.lit("heading_search")).select(*block_columns(key))
-    merged = S.merge_fallback(primary, plain, key=key)
-    return tagged(with_item_1a(merged, best_item_1a(ready, form_type, key=key), key=key), key=key)
+    """tagged_sections() of section rows, which are gathered by filing."""
+    warning = F.lit(None).cast("string") if parse_warning is None else parse_warning
+    rows = found.groupBy(key).agg(F.collect_list(F.struct(*block_columns(key)[1:])).alias("found"))
+    return rows.select(key, F.inline(tagged_sections(F.col("found"), warning)))
+
+
+def extract(filings: DataFrame, form_type: str, *, key: str = "filing_id", html: str = "html", errors: bool = False) -> DataFrame:
+    """All sections of pages: blocks first, the plain heading search where they have none or far less, Item 1A by its best match.
+
+    With errors, a page that can't be read is one row of its key and parse_error, which is null in all others; without,
+    such pages have no rows. No page fails the query.
+    """
+    ready = primary_sections(with_blocks(filings.select(key, html), key=key, html=html), form_type).drop("marks", "blocks", "full_text")
+    ready = S.heading_sections(ready, form_type, text="clean_text", made=section_of).withColumnRenamed("headings", "fallback")
+    ready = T.once(item_1a(ready, form_type, "clean_text"), {"found": merged_sections(form_type)})
+    final = ready.select(key, "parse_warning", tagged_sections(with_item_1a(F.col("found"), F.col("risks")), F.lit(None).cast("string")).alias("found"))
+    if not errors:
+        return final.select(key, F.inline("found"))
+    return final.select(key, F.col("parse_warning").alias("parse_error"), F.when(F.col("parse_warning").isNotNull(), F.array(F.lit(None))).otherwise(F.col("found")).alias("found")).select(key, "parse_error", F.inline("found"))

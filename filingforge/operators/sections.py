@@ -1,13 +1,14 @@
 """Filing HTML to text and sections.
 
-Cleaning and heading search are column expressions. Headings are found by one pattern a section; a heading's text runs
-to the next heading kept, candidates that look like a table of contents are passed over where another is left, and
-among those left the one with the most words wins.
+Cleaning and heading search are column expressions over the row that holds the text; nothing is shuffled. Headings are
+found by one pattern a section; candidates that look like a table of contents are passed over where another is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingforge.functions import text as T
@@ -29,8 +30,8 @@ def plain_lines(html: Column) -> Column:
 
 
 def normal_whitespace(text: Column) -> Column:
-    """Spaces and tabs collapsed in lines, and more than one blank line to one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Every run of white space is one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def distinct_lines(lines: Column, least: int = 40) -> Column:
@@ -51,55 +52,73 @@ def word_count(text: Column) -> Column:
     return F.size(T.word_runs(text))
 
 
-def heading_candidates(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "text") -> DataFrame:
-    """key, section, start (from 0), toc_like: every place where a section's pattern matches the lower-cased text."""
-    low = F.lower(F.col(text))
-    rows = []
-    for section, pattern in FORM_PATTERNS[form_base(form_type)].items():
-        guarded = rf"(?<![a-z0-9]){pattern}"
-        gaps, found = F.split(low, guarded, -1), F.regexp_extract_all(low, F.lit(guarded), F.lit(0))
-        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-        # One pass: the list of starts so far and the place behind the last match.
-        walked = F.aggregate(steps, F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at")), lambda acc, x: F.struct(F.array_append(acc["starts"], (acc["at"] + x["g"]).cast("int")).alias("starts"), (acc["at"] + x["g"] + x["m"]).cast("int").alias("at")))
-        ends = walked["starts"]
-        rows.append(F.when(F.size(found) > 0, F.transform(ends, lambda e: F.struct(F.lit(section).alias("section"), e.alias("start")))).otherwise(F.array().cast("array<struct<section:string,start:int>>")))  # noqa: B023
-    out = filings.select(key, text, F.inline(F.flatten(F.array(*rows))))
-    window = F.substring(F.col(text), F.col("start") + 1, F.lit(200))
-    toc = window.rlike(r"\.{4,}|\t\s*\d+|…") | (F.regexp_count(F.lower(window), F.lit(r"item\s*\d")) >= 3)
-    return out.withColumn("toc_like", toc).drop(text)
-
-
-def extract_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """key, section, section_ord, text, word_count, sentence_count, text_hash, extraction_confidence, warnings; start_offset and end_offset where asked for."""
-    places = heading_candidates(filings, form_type, key=key, text=text)
-    by_filing = Window.partitionBy(key).orderBy("start", "section")
-    own = Window.partitionBy(key, "section")
-    usable = places.withColumn("_clean", F.count_if(~F.col("toc_like")).over(own)).withColumn("_last", F.max("start").over(own))
-    usable = usable.where(~F.col("toc_like") | ((F.col("_clean") == 0) & (F.col("start") == F.col("_last"))))
-    spans = usable.withColumn("_next", F.lead("start").over(by_filing)).join(filings.select(key, text), key)
-    body = F.trim(F.substring(F.col(text), F.col("start") + 1, F.coalesce(F.col("_next"), F.length(text)) - F.col("start")))
-    spans = spans.withColumns({"_body": body}).withColumn("word_count", word_count(F.col("_body"))).withColumn("_many", F.count("*").over(own))
-    spans = spans.withColumn("_rank", F.row_number().over(own.orderBy(F.desc("word_count"), "start"))).where("_rank = 1")
-    base = F.when(F.col("toc_like"), 0.4).when(F.col("_many") == 1, 0.9).otherwise(0.75)
-    value = F.greatest(F.lit(0.4), F.least(F.lit(0.95), base))
-    value = F.when(F.col("_next").isNull(), F.least(value, F.lit(0.75))).otherwise(value)
-    value = F.when(F.col("word_count") >= LONG, F.greatest(value, F.lit(0.85))).when(F.col("word_count") >= FULL, F.greatest(value, F.lit(0.76))).otherwise(value)
-    value = F.when(F.col("word_count") < SHORT, F.least(value, F.lit(0.35))).otherwise(value)
-    warnings = F.array_compact(F.array(F.when(F.col("word_count") < SHORT, F.lit("short_section")), F.when(F.col("toc_like"), F.lit("toc_like")), F.when(F.col("_next").isNull(), F.lit("end_of_document"))))
-    return spans.select(
-        key, "section", F.row_number().over(by_filing).alias("section_ord"), F.col("_body").alias("text"), "word_count", F.greatest(F.size(T.sentences("_body")), F.when(F.col("_body") != "", F.lit(1)).otherwise(F.lit(0))).alias("sentence_count"),
-        F.sha2("_body", 256).alias("text_hash"), F.round(value, 2).alias("extraction_confidence"), warnings.alias("warnings"),
-        *([F.col("start").cast("int").alias("start_offset"), F.coalesce("_next", F.length(text)).cast("int").alias("end_offset")] if offsets else []),
-    )
-
-
-def merge_fallback(primary: DataFrame, fallback: DataFrame, *, key: str = "filing_id") -> DataFrame:
-    """Full outer join by section: the fallback counts where the primary is missing, or short and clearly shorter."""
-    p, f = primary.select(key, "section", F.struct("*").alias("_p")), fallback.select(key, "section", F.struct("*").alias("_f"))
-    both = p.join(f, [key, "section"], "full_outer")
-    a, b = F.col("_p.word_count"), F.col("_f.word_count")
-    use = F.col("_p").isNull() | (F.coalesce(a < FULL, F.lit(False)) & F.coalesce((b >= FULL) | (b > 2 * a), F.lit(False)))
-    return both.select(F.when(use, F.col("_f")).otherwise(F.col("_p")).alias("_x")).select("_x.*")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<at, found>>: all matches of a pattern and their places (from 0)."""
+    empty = F.array().cast("array<struct<at:int,found:string>>")
+
+    def walked(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("found")))
+        # One pass: the matches so far and the place behind the last one.
+        return F.when(F.size(found) > 0, F.aggregate(steps, F.struct(empty.alias("out"), F.lit(0).alias("at")), _walk)["out"]).otherwise(empty)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
+
+
+def _walk(acc: Column, x: Column) -> Column:
+    at = acc["at"] + x["gap"]
+    return F.struct(F.array_append(acc["out"], F.struct(at.cast("int").alias("at"), x["found"].alias("found"))).alias("out"), (at + F.length(x["found"])).cast("int").alias("at"))
+
+
+def toc_like(window: Column, heading: Column) -> Column:
+    """Whether a heading stands in a table of contents: dots or a tab and a page number behind it, or just a number where it is short."""
+    return window.rlike(r"\.\.\.|\t\d+\s*$") | ((F.length(heading) < 10) & window.rlike(r"\d+\s*$"))
+
+
+def heading_sections(filings: DataFrame, form_type: str, *, text: str, made: Callable[..., Column]) -> DataFrame:
+    """Adds headings, an array of sections by their headings in the text; made (see blocks.section_of) cuts one.
+
+    Of a section's headings that don't look like a table of contents (if all do, of its last one) that with the most words
+    up to the next heading of any section counts, of equal ones the first. A section runs to the start of the next one.
+    """
+    body, low = F.col(text), F.col("_low")
+    patterns = {s: rf"(?<![a-z0-9]){p}" for s, p in FORM_PATTERNS[form_base(form_type)].items()}
+    spot = lambda s, m: F.struct(m["at"].alias("at"), F.lit(s).alias("section"), toc_like(F.substring(body, m["at"] + 1, F.lit(200)), m["found"]).alias("toc"))
+    spots = lambda s: F.transform(places(low, patterns[s]), lambda m: spot(s, m))
+    df = T.once(filings, {"_low": F.lower(body)})
+    df = T.once(df, {"_spots": F.flatten(F.array(*map(spots, patterns)))})
+    df = T.once(df, {"_starts": F.array_sort(F.array_distinct(F.transform("_spots", lambda x: x["at"])))})
+
+    def words(at: Column) -> Column:
+        following = F.get(F.filter("_starts", lambda x: x > at), F.lit(0))
+        return word_count(F.substring(body, at + 1, F.coalesce(following, F.length(body)) - at))
+
+    def chosen(s: str) -> Column:
+        own = F.filter("_spots", lambda x: x["section"] == s)
+        clean = F.filter(own, lambda x: ~x["toc"])
+        viable = F.when(F.size(clean) > 0, clean).otherwise(F.slice(own, F.size(own), F.lit(1)))
+        ranked = F.array_sort(F.transform(viable, lambda x: F.struct((-words(x["at"])).alias("low"), x["at"].alias("at"), x["toc"].alias("toc"))))
+        best = F.get(ranked, F.lit(0))
+        score = F.when(best["toc"], F.lit(40)).when(F.size(viable) == 1, F.lit(90)).otherwise(F.lit(75))
+        return F.when(F.size(own) > 0, F.struct(best["at"].alias("at"), F.lit(s).alias("section"), score.alias("score"), best["toc"].alias("toc")))
+
+    df = T.once(df, {"_chosen": F.array_sort(F.array_compact(F.array(*map(chosen, patterns))))})
+    none = F.array().cast("array<string>")
+    found = F.transform("_chosen", lambda c, i: made(c["section"], body, c["at"], F.coalesce(F.get("_chosen", i + 1)["at"], F.length(body)), c["score"], F.when(c["toc"], F.array(F.lit("toc_like"))).otherwise(none), "heading_search", "end_of_document"))
+    return T.once(df, {"headings": found}).drop("_low", "_spots", "_starts", "_chosen")
+
+
+def extract_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "text") -> DataFrame:
+    """key, section, section_ord, text, word_count, sentence_count, text_hash, extraction_confidence, warnings, start_offset, end_offset."""
+    from filingforge.operators.blocks import section_of
+
+    found = heading_sections(filings.select(key, text), form_type, text=text, made=section_of)
+    rows = found.select(key, F.posexplode("headings").alias("at", "x"))
+    return rows.select(key, (F.col("at") + 1).alias("section_ord"), "x.*").drop("extraction_method")
 
 
 def required_present(sections: DataFrame, form_type: str, *, key: str = "filing_id") -> DataFrame:

@@ -197,6 +197,20 @@ def block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filing_id", "section", "section_ord", F.col("word_count").cast("long"), "extraction_confidence", "extraction_method", F.array_join("warnings", ",").alias("warnings"))
 
 
+#: Words that make every section long enough to need no repair.
+LONG_BODY = "lorem ipsum dolor sit amet " * 42
+#: Pages of three known sections around documents' texts, with a contents table and a mention that don't count: filing_id, html.
+KNOWN_PAGES_SQL = f"""SELECT doc_id AS filing_id, '<table><tr><td>Item 1A. Risk Factors</td><td>3</td></tr><tr><td><table><tr><td>Item 7. Management</td></tr></table></td></tr></table><h2>Item 1A. <i>Risk Factors</i></h2><p>'
+  || replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;') || ' {LONG_BODY}<p>See <b>Item 3. Legal Proceedings</b> below.<p><b>Item 3. Legal</b> <b>Proceedings</b></p><div>{LONG_BODY}</div><h3>Item 7. Management&#39;s discussion</h3><ul><li>'
+  || coalesce(lang, '') || ' {LONG_BODY}</ul>' AS html FROM documents"""
+
+
+def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages whose sections are known, by typed blocks alone."""
+    out = blocks.block_sections(blocks.with_blocks(frame(spark, sf_dir, KNOWN_PAGES_SQL, "documents")), "10-K")
+    return out.select("filing_id", "section", F.col("word_count").cast("long"), F.sha2("text", 256).alias("digest"), "start_offset", "extraction_confidence", F.array_join("warnings", ",").alias("warnings"))
+
+
 def edgar_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 to E5 of customers as an analysed universe, their balance as confidence."""
     c = table(spark, sf_dir, "customer").where("c_acctbal > 0").withColumn("extraction_confidence", F.col("c_acctbal") / 10000)
@@ -238,7 +252,22 @@ def published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shaping.round_exact(v, 2).alias("two"), shaping.round_exact(v, 4).alias("four"))
 
 
-QUERIES = {f.__name__: f for f in (block_extraction, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+
+_SPACED = r"trim(regexp_replace({t}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f\v]+', ' ', 'g'))"
+#: The sections of KNOWN_PAGES_SQL: their texts by name, each scored as a title at the start of a block with a body.
+_KNOWN = f"""
+WITH t AS (
+  SELECT doc_id AS filing_id, 'Item 1A. Risk Factors' || chr(10) || chr(10) || {_SPACED.format(t=f"coalesce(text, '') || ' {LONG_BODY}'")} || chr(10) || chr(10) || 'See Item 3. Legal Proceedings below.' AS a,
+    'Item 3. Legal Proceedings' || chr(10) || chr(10) || trim('{LONG_BODY}') AS b, 'Item 7. Management''s discussion' || chr(10) || chr(10) || trim(coalesce(lang, '') || ' {LONG_BODY}') AS c
+  FROM documents
+), s AS (
+  SELECT filing_id, 'item_1a_risk_factors' AS section, a AS text, 44 AS start_offset, 0.95 AS base, '' AS warnings FROM t
+  UNION ALL SELECT filing_id, 'item_3_legal_proceedings', b, 44 + length(a) + 2, 0.95, '' FROM t
+  UNION ALL SELECT filing_id, 'item_7_mdna', c, 44 + length(a) + 2 + length(b) + 2, 0.76, 'open_ended_boundary' FROM t
+)
+SELECT filing_id, section, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS word_count, sha256(replace(text, chr(10) || chr(10), ' ')) AS digest, CAST(start_offset AS INT) AS start_offset, CAST(base AS DOUBLE) AS extraction_confidence, warnings FROM s
+"""
 
 _Q = "least(5, floor((row_number() OVER (ORDER BY {v}, {k}) - 1) * 5 / count(*) OVER ()) + 1)"
 _STRIP = "html"
@@ -252,6 +281,7 @@ _RULE = " ".join(f"WHEN {e} THEN '{n}'" for n, e in CHECKS)
 _BAND = "CASE WHEN {s} IS NULL THEN 'missing' WHEN {s} <= 25 THEN 'low' WHEN {s} <= 50 THEN 'moderate' WHEN {s} <= 75 THEN 'elevated' ELSE 'high' END"
 
 ORACLES = {
+    "block_sections": _KNOWN,
     "html_text": rf"""WITH l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array({_STRIP}, '\r?\n'), lambda s: trim(regexp_replace(s, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+', ' ', 'g'))), lambda s: s <> '') AS x FROM pages),
         k AS (SELECT page_id, array_to_string(list_filter(x, lambda s, i: length(s) >= 40 OR list_position(x, s) = i), chr(10) || chr(10)) AS t FROM l) SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM k""",
     "quintiles": f"SELECT CAST(q AS INT) AS quintile, count(*) AS n, round(avg(c_acctbal), 6) AS mean_balance, min(c_custkey) AS least_key FROM (SELECT *, {_Q.format(v='c_acctbal', k='c_custkey')} AS q FROM customer) GROUP BY q",
