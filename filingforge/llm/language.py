@@ -7,7 +7,7 @@ learned too. Forward-backward gives each word of a whole text its distribution o
 switches between them; the text's language is the one with the most expected words, its score their share.
 
 Training reads a bounded sample of labelled rows: up to `sample_docs` documents of each language, whichever languages
-there are, of each a few segments from places all over the text. Rows are drawn within each language, so copies of one
+there are (fewer of each where there are more than 22), of each a few segments from places all over the text. Rows are drawn within each language, so copies of one
 text can neither crowd out a language nor leave it out. Segments of different languages are strung together, so that the
 chain sees switches. Statistics and predictions cover all rows and whole texts. The model holds a weight for each hashed
 feature that training met and each language.
@@ -37,6 +37,11 @@ from .words import LOWER, M1, Words, mixed, split_words, text_bytes, word_hashes
 
 #: Documents of each language in training at most, segments of each, and words of a segment.
 SAMPLE_DOCS, SEGMENTS, SEGMENT_WORDS = 400, 3, 24
+#: Where there are many languages, a language's share of the sample shrinks with their number squared: words times
+#: languages, which training holds, stay bounded. 22 languages still get SAMPLE_DOCS each, 60 get 55.
+SHARED_DOCS = 200_000
+#: Numbers that a step of training works on at once.
+TRAIN_CELLS = 1 << 21
 #: Slots of hashed features.
 TABLE = 1 << 17
 #: Bytes of text that are worked on at once, about; working memory is some forty times that.
@@ -197,6 +202,44 @@ def expected_words(scores: np.ndarray, first: np.ndarray, transitions: np.ndarra
     return out
 
 
+class Groups:
+    """Sums of rows by group, a bounded number of rows at a time. rows: the row of each entry; every group has entries."""
+
+    def __init__(self, groups: np.ndarray, rows: np.ndarray, n: int):
+        order = np.argsort(groups, kind="stable")
+        self.rows, self.n = rows[order], n
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        out, at, limit = np.empty((self.n, values.shape[1]), np.float32), 0, max(1, TRAIN_CELLS // values.shape[1])
+        while at < self.n:
+            stop = max(at + 1, int(np.searchsorted(self.edges, self.edges[at] + limit, side="right")) - 1)
+            low, high = self.edges[at], self.edges[stop]
+            out[at:stop] = np.add.reduceat(values[self.rows[low:high]], self.edges[at:stop] - low, axis=0)
+            at = stop
+        return out
+
+
+def expectations(x: np.ndarray, real: np.ndarray, a: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of padded chains of word scores: the distribution of each word, and the expected moves between languages over all chains.
+
+    Moves are added up step by step, so memory is that of the words, however many languages there are.
+    """
+    width = x.shape[1]
+    forward, back = np.empty_like(x), np.ones_like(x)
+    forward[:, 0] = _scaled(s * x[:, 0], 1)
+    for t in range(1, width):
+        forward[:, t] = np.where(real[:, t, None], _scaled((forward[:, t - 1] @ a) * x[:, t], 1), forward[:, t - 1])
+    pair = np.zeros_like(a)
+    for t in range(width - 2, -1, -1):
+        ahead = x[:, t + 1] * back[:, t + 1]
+        back[:, t] = np.where(real[:, t + 1, None], _scaled(ahead @ a.T, 1), back[:, t + 1])
+        weight = ((forward[:, t] @ a) * ahead).sum(axis=1)
+        pair += (forward[:, t] * (real[:, t + 1] / np.maximum(weight, 1e-300))[:, None]).T @ ahead
+    node = forward * back
+    return node / np.maximum(node.sum(axis=2, keepdims=True), 1e-300) * real[:, :, None], pair * a
+
+
 def train(samples: list[tuple[str, list[str]]], languages: list[str], *, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, seed: int = 7) -> Model:
     """The model that maximises the likelihood of the segments' labels. samples: (language, words), all words non-empty.
 
@@ -217,47 +260,40 @@ def train(samples: list[tuple[str, list[str]]], languages: list[str], *, rounds:
     model = Model(languages, np.zeros(TABLE, np.int32), np.zeros((1, states)), np.zeros((states, states)), np.zeros((states, states)), np.zeros(states), hashes[known], (seen[known] >= 2).astype(float))
     rows, owners = word_features(words, one)
     used, slot = np.unique(rows, return_inverse=True)
-    member = lexicon_membership(model, hashes)
-    # Chains of three segments as a padded matrix of word numbers.
+    member = lexicon_membership(model, hashes).astype(np.float32)
+    # Chains of three segments; a step works on a block of them, padded to the longest.
     chain = np.repeat(np.arange(len(samples)) // 3, words.counts())
     sizes = np.bincount(chain, minlength=-(-len(samples) // 3))
     begin = np.cumsum(sizes) - sizes
     width = int(sizes.max(initial=0))
-    place = begin[:, None] + np.arange(width)[None, :]
-    real = np.arange(width)[None, :] < sizes[:, None]
-    place = np.minimum(place, len(label) - 1)
-    target = np.eye(states)[label[place]] * real[:, :, None]
-    total = max(int(real.sum()), 1)
-    parameters = [np.zeros((len(used), states)), model.lexicon_weights, model.transitions, model.first]
+    block = max(1, TRAIN_CELLS // max(1, width * states))
+    parts = [(begin[i : i + block], sizes[i : i + block]) for i in range(0, len(sizes), block)]
+    of_word, of_slot, of_place = Groups(owners, slot, len(one)), Groups(slot, owners, len(used)), Groups(inverse, np.arange(len(inverse)), len(one))
+    parameters = [np.zeros((len(used), states), np.float32), model.lexicon_weights, model.transitions, model.first]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+    off, total = np.empty((len(label), states), np.float32), max(len(label), 1)
     for step in range(1, rounds + 1):
         weights, lexicon, transitions, first = parameters
-        scores = (summed(weights[slot], owners, len(one)) + member @ lexicon)[inverse]
-        x = np.exp(scores - scores.max(axis=1, keepdims=True))[place]
-        a, s = np.exp(transitions), np.exp(first)
-        forward, back = np.empty_like(x), np.ones_like(x)
-        forward[:, 0] = _scaled(s * x[:, 0], 1)
-        for t in range(1, width):
-            forward[:, t] = np.where(real[:, t, None], _scaled((forward[:, t - 1] @ a) * x[:, t], 1), forward[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            back[:, t] = np.where(real[:, t + 1, None], _scaled((x[:, t + 1] * back[:, t + 1]) @ a.T, 1), back[:, t + 1])
-        node = forward * back
-        node = node / np.maximum(node.sum(axis=2, keepdims=True), 1e-300) * real[:, :, None]
-        pair = forward[:, :-1, :, None] * a * (x[:, 1:] * back[:, 1:])[:, :, None, :]
-        pair = pair / np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300) * real[:, 1:, None, None]
-        off = node - target
-        by_word = summed(off[real], inverse, len(one))  # words lie in the order of chains
-        slopes = [
-            summed(by_word[owners], slot, len(used)),
-            member.T @ by_word,
-            pair.sum(axis=(0, 1)) - np.einsum("sti,stj->ij", target[:, :-1], target[:, 1:]),
-            off[:, 0].sum(axis=0),
-        ]
+        scores = of_word.sums(weights) + (member @ lexicon).astype(np.float32)
+        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+        pairs, opening = np.zeros((states, states)), np.zeros(states)
+        for starts, lengths in parts:
+            place = np.minimum(starts[:, None] + np.arange(width)[None, :], len(label) - 1)
+            real = np.arange(width)[None, :] < lengths[:, None]
+            node, pair = expectations(scores[inverse[place]].astype(float), real, np.exp(transitions), np.exp(first))
+            k, t = np.nonzero(real)
+            node[k, t, label[place[k, t]]] -= 1
+            off[place[k, t]] = node[k, t]
+            opening += node[:, 0].sum(axis=0)
+            k, t = np.nonzero(real[:, 1:])
+            pairs += pair - np.bincount(label[place[k, t]] * states + label[place[k, t + 1]], minlength=states * states).reshape(states, states)
+        by_word = of_place.sums(off)
+        slopes = [of_slot.sums(by_word), member.T @ by_word, pairs, opening]
         for p, g, (m, v) in zip(parameters, slopes, moments, strict=True):
             g = g / total * 100 + decay * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(p.dtype)
     model.slots[used] = np.arange(1, len(used) + 1)
     model.features = np.concatenate([np.zeros((1, states)), parameters[0]]).astype(np.float32)
     return model
@@ -270,6 +306,7 @@ def training_samples(rows: DataFrame, *, key: str, text: str, lang: str, sample_
     if not counts:
         return [], []
     languages = sorted(r["lang"] for r in counts)
+    sample_docs = max(1, min(sample_docs, SHARED_DOCS // len(languages) ** 2))
     # About twice as many rows as wanted pass by their own hash, and in any case the first of each language; of these,
     # the first by hash are taken.
     spark = rows.sparkSession

@@ -79,3 +79,63 @@ def test_the_held_out_rule(spark):
 
     got = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", language.held_out_column().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def brute_expectations(x, real, a, s):
+    """By all paths of a chain."""
+    from itertools import product
+
+    node, pair = np.zeros_like(x), np.zeros_like(a)
+    for k, chain in enumerate(x):
+        n, paths = int(real[k].sum()), {}
+        for path in product(range(len(s)), repeat=n):
+            paths[path] = s[path[0]] * np.prod([chain[t, j] for t, j in enumerate(path)]) * np.prod([a[i, j] for i, j in zip(path, path[1:])])
+        z = sum(paths.values())
+        for path, p in paths.items():
+            for t, j in enumerate(path):
+                node[k, t, j] += p / z
+            for i, j in zip(path, path[1:]):
+                pair[i, j] += p / z
+    return node, pair
+
+
+def test_training_expects_like_brute_force():
+    r = np.random.default_rng(5)
+    x, real = np.exp(r.normal(size=(6, 5, 3))), np.arange(5)[None, :] < np.array([5, 4, 3, 1, 2, 5])[:, None]
+    a, s = np.exp(r.normal(size=(3, 3))), np.exp(r.normal(size=3))
+    for got, want in zip(language.expectations(x, real, a, s), brute_expectations(x, real, a, s)):
+        assert np.allclose(got, want)
+
+
+def test_sums_of_groups(monkeypatch):
+    r = np.random.default_rng(6)
+    groups, values = np.concatenate([np.arange(40), r.integers(0, 40, 500)]), r.normal(size=(90, 4)).astype(np.float32)
+    rows = r.integers(0, 90, len(groups))
+    want = np.stack([values[rows[groups == g]].sum(axis=0) for g in range(40)])
+    for cells in (1, 50, 1 << 20):
+        monkeypatch.setattr(language, "TRAIN_CELLS", cells)
+        assert np.allclose(language.Groups(groups, rows, 40).sums(values), want, atol=1e-4)
+
+
+def many_languages(n, docs, seed=9):
+    r = np.random.default_rng(seed)
+    packs = ["".join(c) for c in r.choice(list("abcdefghijklmnopqrstuvwxyzäöüéñçøß"), size=(n * 40, 6))]
+    return {f"l{i:02d}": [" ".join(r.choice(packs[40 * i : 40 * i + 40], 60)) for _ in range(docs)] for i in range(n)}
+
+
+def test_sixty_languages_in_bounded_memory_and_time(spark):
+    """Languages by the dozen, and one whose rows are copies of one text."""
+    import time
+    import tracemalloc
+
+    texts = many_languages(60, 70)
+    rows = [(10_000 + 100 * i + k, t, lang) for i, (lang, found) in enumerate(texts.items()) for k, t in enumerate(found)] + [(50_000 + k, "hot copy wörter immer gleich " * 5, "copies") for k in range(500)]
+    docs = documents(spark, rows)
+    tracemalloc.start()
+    began = time.perf_counter()
+    model = language.train_on(docs)
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 61 and peak < 1 << 30 and took < 240  # traced, about twice as slow as untraced
+    got = language.predict(docs, model, carry=["doc_id", "lang"]).where(language.held_out_column()).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) > 1000
