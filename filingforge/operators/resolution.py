@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingforge.operators.diff import prior_targets
+from filingforge.staging import staged
 
 TIER_POINTS, ORIGINAL_POINTS, HTML_POINTS = 1e9, 1e5, 5e8
 
@@ -74,6 +75,83 @@ def resolve(submissions: DataFrame, targets: DataFrame, *, ties: int = 3) -> Dat
     return targets.join(found, "target_id", "left")
 
 
+#: Candidates of a target whose pages are read, and years by which a date may miss the target's to be a hint.
+MOST_PAGES, HINT_YEARS = 3, 1
+QUARTERS = ("Q1", "Q2", "Q3", "Q4")
+#: Pages to be looked up that are broadcast to where pages lie; more are joined by shuffling their names.
+BROADCAST_NAMES = 200_000
+
+
+def year_distance(fiscal_year: Column) -> Column:
+    """How far the nearer of a row's report and filing year is from the target's; null without dates."""
+    return F.least(*[F.abs(year_of(F.col(c)) - fiscal_year) for c in ("report_date", "filing_date")])
+
+
+def page_candidates(submissions: DataFrame, targets: DataFrame, *, most: int = MOST_PAGES) -> DataFrame:
+    """What metadata leave of each target: its rows (rank from 1), decided or not; no page is read.
+
+    target_id and the target's columns, accession, form, report_date, filing_date, top (the best score by metadata, null where
+    no row fits), rank, open. A target is open where several rows share its top, whose rows it keeps then, or where none
+    fits, and then it keeps rows dated within HINT_YEARS of its year, nearest first. At most `most` rows are kept.
+    """
+    own = {c: F.col(c) if c in submissions.columns else F.lit(None).cast(t) for c, t in (("dei_fiscal_year", "int"), ("dei_period", "string"))}
+    rows = submissions.withColumns(own).withColumn("_form", normal_form(F.col("form"))).withColumnRenamed("cik", "_cik")
+    fits = targets.join(rows, (F.col("cik") == F.col("_cik")) & (F.col("form_type") == F.col("_form"))).drop("_cik", "_form")
+    year = F.col("fiscal_year")
+    scored = fits.withColumn("score", F.when(period_fits(F.col("form_type"), F.col("quarter"), F.col("dei_period")), row_score(year)))
+    by = Window.partitionBy("target_id")
+    known = scored.withColumns({"top": F.max("score").over(by), "distance": year_distance(year)})
+    kept = known.where((F.col("score") == F.col("top")) | (F.col("top").isNull() & (F.col("distance") <= HINT_YEARS)))
+    missed = F.col("top").isNull()
+    order = [F.when(missed, F.col("distance")), F.when(missed, F.coalesce("report_date", F.lit(""))), F.when(missed, F.coalesce("filing_date", F.lit(""))), F.desc("filing_date"), "accession"]
+    ranked = kept.withColumns({"rank": F.row_number().over(by.orderBy(*order)), "open": missed | (F.count("*").over(by) > 1)})
+    return ranked.where(F.col("rank") <= most).drop("score", "distance", "dei_fiscal_year", "dei_period")
+
+
+def page_score() -> Column:
+    """Points of a candidate with the tags of its page (page_year, page_period); null where it doesn't fit, or isn't landed."""
+    year, quarter = F.col("fiscal_year"), F.col("quarter")
+    own = F.coalesce("page_year", year_of(F.col("report_date")))
+    tier = F.when(own == year, 3).when(year_of(F.col("report_date")) == year, 2).when(year_of(F.col("filing_date")) == year, 1)
+    rest = F.when(is_amendment(F.col("form")), F.lit(0.0)).otherwise(F.lit(ORIGINAL_POINTS)) + day_number(F.col("filing_date"))
+    fits = period_fits(F.col("form_type"), quarter, F.col("page_period"))
+    points = F.coalesce(F.when(fits, tier * F.lit(TIER_POINTS)), F.when(fits & (F.col("page_year") == year), F.lit(HTML_POINTS))) + rest
+    other_period = F.coalesce((F.col("form_type") == "10-K") & F.col("page_period").isin(*QUARTERS), F.lit(False))
+    return F.when(F.col("landed") & ~other_period, points)
+
+
+def landed_tags(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """accession, page_year, page_period, landed of the candidates' pages alone.
+
+    pages: accession, html, and any of form_type and filing_year, by which landed pages are best partitioned: the names that
+    are looked up prune the partitions, and only tags leave the place where a page lies.
+    """
+    keys = [c for c in ("accession", "form_type", "filing_year") if c in pages.columns]
+    names = candidates.withColumn("filing_year", year_of(F.col("filing_date"))).select(*keys).distinct()
+    wanted = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+    year, period = fiscal_tags(F.col("html"))
+    found = pages.join(wanted, keys, "left_semi").select("accession", year.alias("page_year"), period.alias("page_period"))
+    return found.groupBy("accession").agg(F.max("page_year").alias("page_year"), F.max("page_period").alias("page_period")).withColumn("landed", F.lit(True))
+
+
+def resolve_late(submissions: DataFrame, targets: DataFrame, pages: DataFrame, *, most: int = MOST_PAGES) -> DataFrame:
+    """Targets with accession, score and decided_by (metadata, page or null), in two phases.
+
+    Metadata decide most targets. Of the others, the few candidates' pages are looked up among the landed ones, scored by the
+    tags in their heads, and the best replaces the metadata's choice where it scores more. A candidate whose page isn't
+    landed is passed over. Candidates are written before pages are read, so that both phases see the same.
+    """
+    ranked = staged(targets.sparkSession, page_candidates(submissions, targets, most=most), "page-candidates")
+    looked = ranked.where("open")
+    tagged = looked.join(landed_tags(looked, pages), "accession", "left").withColumn("landed", F.coalesce("landed", F.lit(False)))
+    better = tagged.withColumn("score", page_score()).where(F.col("score") > F.coalesce("top", F.lit(-1.0)))
+    best = better.groupBy("target_id").agg(F.max_by(F.struct("accession", "score"), F.struct("score", -F.col("rank"))).alias("_page"))
+    first = ranked.where((F.col("rank") == 1) & F.col("top").isNotNull()).select("target_id", F.struct("accession", F.col("top").alias("score")).alias("_own"))
+    out = targets.join(first, "target_id", "left").join(best, "target_id", "left")
+    decided = F.when(F.col("_page").isNotNull(), F.lit("page")).when(F.col("_own").isNotNull(), F.lit("metadata"))
+    return out.select(*targets.columns, F.coalesce("_page", "_own").alias("_x"), decided.alias("decided_by")).select(*targets.columns, "_x.*", "decided_by")
+
+
 def resolve_with_prior(submissions: DataFrame, targets: DataFrame, *, required: bool = False) -> DataFrame:
     """Targets with their own filing and that of the period before: accession, prior_accession, and unresolved.
 

@@ -110,6 +110,21 @@ def filing_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target_id", "accession", "score")
 
 
+#: Submissions that metadata can't tell apart: filed on one day a year, some without a report date; their landed pages name years and periods.
+LATE_SUBMISSIONS_SQL = """SELECT CAST(o_custkey AS STRING) AS cik, CAST(o_orderkey AS STRING) AS accession, CASE WHEN o_orderkey % 5 = 0 THEN '10-K/A' ELSE '10-K' END AS form,
+  CONCAT(substr(CAST(o_orderdate AS STRING), 1, 4), '-03-01') AS filing_date, CASE WHEN o_orderkey % 3 > 0 THEN CONCAT(CAST(CAST(substr(CAST(o_orderdate AS STRING), 1, 4) AS INT) - 1 AS STRING), '-12-31') END AS report_date FROM orders"""
+LATE_TARGETS_SQL = "SELECT c_custkey AS target_id, CAST(c_custkey AS STRING) AS cik, '10-K' AS form_type, CAST(1990 + c_custkey % 10 AS INT) AS fiscal_year, CAST(NULL AS STRING) AS quarter FROM customer"
+LATE_PAGES_SQL = """SELECT CAST(o_orderkey AS STRING) AS accession, '10-K' AS form_type, CAST(substr(CAST(o_orderdate AS STRING), 1, 4) AS INT) AS filing_year,
+  CONCAT('<html><ix:nonNumeric name="dei:DocumentFiscalYearFocus" id="y">', CAST(CAST(substr(CAST(o_orderdate AS STRING), 1, 4) AS INT) + o_orderkey % 4 - 2 AS STRING), '</ix:nonNumeric><ix:nonNumeric name="dei:DocumentFiscalPeriodFocus">', CASE WHEN o_orderkey % 7 = 0 THEN 'q3' ELSE 'fy' END, '</ix:nonNumeric><p>text</p></html>') AS html
+  FROM orders WHERE o_orderkey % 5 <> 3"""
+
+
+def late_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that metadata decide, and targets that landed pages decide."""
+    out = resolution.resolve_late(frame(spark, sf_dir, LATE_SUBMISSIONS_SQL, "orders"), frame(spark, sf_dir, LATE_TARGETS_SQL, "customer"), frame(spark, sf_dir, LATE_PAGES_SQL, "orders"))
+    return out.select("target_id", "accession", "score", "decided_by")
+
+
 def ticker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names with dots found under names with hyphens."""
     s = table(spark, sf_dir, "supplier")
@@ -252,7 +267,7 @@ def published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shaping.round_exact(v, 2).alias("two"), shaping.round_exact(v, 4).alias("four"))
 
 
-QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, late_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
 
 _SPACED = r"trim(regexp_replace({t}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f\v]+', ' ', 'g'))"
 #: The sections of KNOWN_PAGES_SQL: their texts by name, each scored as a title at the start of a block with a body.
@@ -309,6 +324,23 @@ ORACLES = {
     "upper_medians": "SELECT s_nationkey, round(median(s_acctbal), 6) AS median, list_sort(list(s_acctbal))[len(list(s_acctbal)) // 2 + 1] AS upper_median FROM supplier GROUP BY s_nationkey",
     "required_sections": "SELECT doc_id AS filing_id, true AS required_sections_present, '' AS missing FROM documents",
 }
+_YEAR = "CAST(substr({c}, 1, 4) AS INT)"
+ORACLES["late_resolution"] = f"""
+WITH s AS ({LATE_SUBMISSIONS_SQL}), t AS ({LATE_TARGETS_SQL}), p AS ({LATE_PAGES_SQL}),
+r AS (
+  SELECT t.target_id, t.fiscal_year AS y, s.*, {_YEAR.format(c="report_date")} AS ry, {_YEAR.format(c="filing_date")} AS fy,
+    CASE WHEN form = '10-K' THEN 1e5 ELSE 0 END + CAST(replace(filing_date, '-', '') AS DOUBLE) AS rest FROM t JOIN s USING (cik)
+), m AS (SELECT *, CASE WHEN ry = y THEN 3 WHEN fy = y THEN 1 END * 1e9 + rest AS score, least(abs(ry - y), abs(fy - y)) AS distance FROM r),
+k AS (SELECT *, max(score) OVER (PARTITION BY target_id) AS top FROM m),
+c AS (SELECT *, count(*) OVER (PARTITION BY target_id) AS n, row_number() OVER (PARTITION BY target_id ORDER BY CASE WHEN top IS NULL THEN distance END, CASE WHEN top IS NULL THEN coalesce(report_date, '') END, CASE WHEN top IS NULL THEN filing_date END, filing_date DESC, accession) AS rank
+  FROM k WHERE score = top OR (top IS NULL AND distance <= 1)),
+g AS (
+  SELECT c.*, CAST(regexp_extract(html, 'YearFocus[^>]*>(\\d+)', 1) AS INT) AS py, upper(regexp_extract(html, 'PeriodFocus[^>]*>(\\w+)', 1)) AS pp FROM c JOIN p USING (accession) WHERE rank <= 3 AND (top IS NULL OR n > 1)
+), h AS (SELECT *, CASE WHEN pp = 'FY' THEN CASE WHEN py = y THEN 3 WHEN ry = y THEN 2 WHEN fy = y THEN 1 END * 1e9 + rest END AS page FROM g),
+b AS (SELECT target_id, accession, page, row_number() OVER (PARTITION BY target_id ORDER BY page DESC, rank) AS i FROM h WHERE page > coalesce(top, -1))
+SELECT t.target_id, coalesce(b.accession, c.accession) AS accession, coalesce(page, top) AS score, CASE WHEN b.accession IS NOT NULL THEN 'page' WHEN c.accession IS NOT NULL THEN 'metadata' END AS decided_by
+FROM t LEFT JOIN b ON b.target_id = t.target_id AND i = 1 LEFT JOIN c ON c.target_id = t.target_id AND c.rank = 1 AND c.top IS NOT NULL
+"""
 ORACLES |= {
     "edgar_gates": "WITH a AS (SELECT count(*) AS n, median(c_acctbal / 10000) AS m, (SELECT count(*) FROM customer) AS u FROM customer WHERE c_acctbal > 0) SELECT name, round(CAST(v AS DOUBLE), 4) AS value, CAST(t AS DOUBLE) AS threshold, CASE WHEN v >= t THEN 'pass' ELSE 'fail' END AS status FROM (SELECT unnest(['E1_fetch_rate', 'E2_analysis_rate', 'E3_filter_retention', 'E4_median_confidence', 'E5_min_analysis_n']) AS name, unnest([1.0, n / u, n / u, m, n]) AS v, unnest([0.9, 0.85, 0.85, 0.75, 80.0]) AS t FROM a)",
     "matrix_gates": """WITH s AS (SELECT l_orderkey AS f, l_linenumber % 4 < 3 AND l_quantity > 5 AS hit, 1 - l_discount AS c FROM lineitem), f AS (SELECT sum(CAST(hit AS INT)) AS hits, count(DISTINCT f) AS n FROM s),
