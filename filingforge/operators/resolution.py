@@ -123,14 +123,16 @@ def page_score() -> Column:
 def landed_tags(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """accession, page_year, page_period, landed of the candidates' pages alone.
 
-    pages: accession, html, and any of form_type and filing_year, by which landed pages are best partitioned: the names that
-    are looked up prune the partitions, and only tags leave the place where a page lies.
+    pages: accession, html, and any of form_type and filing_year, by which landed pages are best partitioned: just the
+    partitions of candidates are read, a list that the calendar bounds, and only tags leave the place where a page lies.
     """
-    keys = [c for c in ("accession", "form_type", "filing_year") if c in pages.columns]
-    names = candidates.withColumn("filing_year", year_of(F.col("filing_date"))).select(*keys).distinct()
+    parts = [c for c in ("form_type", "filing_year") if c in pages.columns]
+    names = candidates.withColumn("filing_year", year_of(F.col("filing_date"))).select("accession", *parts).distinct()
+    for c in parts:
+        pages = pages.where(F.col(c).isin([r[0] for r in names.select(c).distinct().collect() if r[0] is not None]))
     wanted = F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
     year, period = fiscal_tags(F.col("html"))
-    found = pages.join(wanted, keys, "left_semi").select("accession", year.alias("page_year"), period.alias("page_period"))
+    found = pages.join(wanted, ["accession", *parts], "left_semi").select("accession", year.alias("page_year"), period.alias("page_period"))
     return found.groupBy("accession").agg(F.max("page_year").alias("page_year"), F.max("page_period").alias("page_period")).withColumn("landed", F.lit(True))
 
 
