@@ -63,26 +63,48 @@ def text_similarity(a: str, b: str, most: int) -> float:
 
 
 def align(current: list[str], prior: list[str], *, most: int = 2000, threshold: float = MATCH) -> list[tuple[int, int, float]]:
-    """One-to-one matches (current, prior, similarity): each current sentence tries its best prior one, first come, first served."""
+    """One-to-one matches (current, prior, similarity): each current sentence tries its best prior one, first come, first served.
+
+    Only prior sentences that can reach the threshold are scored: a sentence's terms are taken from the rarest on, until those
+    left weigh too little to reach it alone; who shares none of the terms taken is out.
+    """
     if not current or not prior:
         return []
     vectors = term_weights(current + prior, most)
-    by_term: dict[str, list[tuple[int, float]]] = {}
-    for j, vector in enumerate(vectors[len(current) :]):
+    others = vectors[len(current) :]
+    listed: dict[str, list[tuple[int, float]]] = {}
+    for j, vector in enumerate(others):
         for t, v in vector.items():
-            by_term.setdefault(t, []).append((j, v))
+            listed.setdefault(t, []).append((j, v))
+    by_term = {t: (np.array([j for j, _ in x]), np.array([v for _, v in x])) for t, x in listed.items()}
     taken: set[int] = set()
     out = []
     for i, vector in enumerate(vectors[: len(current)]):
-        sims = np.zeros(len(prior))
-        for t in sorted(vector):
-            for j, v in by_term.get(t, ()):
-                sims[j] += vector[t] * v
+        terms = sorted((t, v) for t, v in vector.items() if t in by_term)
+        sizes = {t: len(by_term[t][0]) for t, _ in terms}
+        left, near, all_sizes = sum(v * v for v in vector.values()), [], sum(sizes.values())
+        for t, v in sorted(terms, key=lambda x: sizes[x[0]]):
+            if left < (threshold - 1e-6) ** 2:
+                break
+            near.append(by_term[t][0])
+            left -= v * v
+        if not near:
+            continue
+        if all_sizes > 100 * len(terms) * sum(map(len, near)):
+            # Few are near: each is scored by itself.
+            found = np.unique(np.concatenate(near))
+            sims = np.array([sum(v * others[j][t] for t, v in terms if t in others[j]) for j in found.tolist()])
+        else:
+            found, sims = None, np.zeros(len(prior))
+            for t, v in terms:
+                at, weight = by_term[t]
+                sims[at] += v * weight
         sims = np.round(sims, 9)
-        best = int(sims.argmax())
-        if sims[best] >= threshold and best not in taken:
+        k = int(sims.argmax())
+        best = k if found is None else int(found[k])
+        if sims[k] >= threshold and best not in taken:
             taken.add(best)
-            out.append((i, best, float(sims[best])))
+            out.append((i, best, float(sims[k])))
     return out
 
 
@@ -178,12 +200,14 @@ def section_diffs(pairs: DataFrame, packs: TermPacks | None = None) -> DataFrame
     """Adds the diff of each pair: similarities, topics, deltas, alignment counts, both change scores, confidence, summary.
 
     pairs: text, tokens, sentences, lower and the same with prior_ in front. Without a prior text all is null but the
-    confidence and the summary.
+    confidence and the summary. A column latent_similarity (see latent.with_similarity) counts as the semantic similarity.
     """
     packs = packs or TermPacks()
     some = F.coalesce(F.col("prior_text"), F.lit("")) != ""
     df = pairs.withColumns({"topics": F.when(some, topics_in("lower", packs)), "prior_topics": F.when(some, topics_in("prior_lower", packs))})
     df = with_alignment(df, packs=packs)
+    if "latent_similarity" in pairs.columns:
+        df = df.withColumn("semantic_similarity", F.when(some, F.col("latent_similarity")))
     runs, prior_runs = F.size(T.word_runs("text")), F.greatest(F.size(T.word_runs("prior_text")), F.lit(1))
     df = df.withColumns({
         "new_topics": F.array_except("topics", "prior_topics"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filingforge.functions import term_packs as P
 from filingforge.functions import text as T
-from filingforge.operators import diff, metrics, products, scoring
+from filingforge.operators import diff, latent, metrics, products, scoring
 
 from .corpus import FILINGS_SQL, TURNS_SQL, frame
 from .metric_queries import DOUBLED, SENTENCES, TOKENS, any_of
@@ -36,6 +36,14 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("prior_text IS NOT NULL").select("id", F.round("lexical_similarity", 6).alias("lexical_similarity"))
 
 
+def latent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each turn and the turn before by latent vectors of all turns, and the change score that follows from it."""
+    pairs = turns(spark, sf_dir)
+    model = latent.fit(pairs.select("text"), directions=16)
+    out = diff.section_diffs(latent.with_similarity(pairs, model))
+    return out.where("prior_text IS NOT NULL").select("id", F.round("semantic_similarity", 4).alias("latent_similarity"), F.round("change_v1", 2).alias("change_v1"))
+
+
 def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences match, come and go between turns."""
     out = diff.with_alignment(turns(spark, sf_dir)).where("prior_text IS NOT NULL")
@@ -106,7 +114,7 @@ def scores_with_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filing_id", *[F.round(c, 4).alias(c) for c in (*scoring.COMPONENTS, *scoring.AGGREGATES)])
 
 
-QUERIES = {f.__name__: f for f in (text_similarity, sentence_alignment, topic_changes, numeric_changes, language_deltas, section_diffs, change_products, prior_pairs, prior_pairs_all, scores_with_priors)}
+QUERIES = {f.__name__: f for f in (text_similarity, latent_similarity, sentence_alignment, topic_changes, numeric_changes, language_deltas, section_diffs, change_products, prior_pairs, prior_pairs_all, scores_with_priors)}
 
 
 def _topics(column: str) -> str:
