@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingforge.operators import blocks, products, reports, resolution, scoring, sections, shaping, validation
+from filingforge.functions import text as T
+from filingforge.operators import blocks, distribution, products, reports, resolution, scoring, sections, shaping, validation
 from filingforge.session import spread, table
+from filingforge.sources import results, tables
+from filingforge.staging import scratch
 
 from .corpus import frame
 
@@ -89,6 +92,34 @@ def corpus_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.corpus_context(d, "score", ["lang"]).select("doc_id", "cohort_n", "cohort_median", "percentile")
 
 
+def stored_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's price among those of its size, by a stored distribution that three batches have extended, one of them sent twice."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("score"))
+    path = scratch(spark, "distribution")
+    for batch in (0, 1, 2, 1):
+        distribution.extend(spark, distribution.histogram(p.where(F.col("p_partkey") % 3 == batch), "score", ["p_size"]), path, str(batch))
+    out = distribution.with_context(p, distribution.load(spark, path, ["p_size"]), "score", ["p_size"])
+    return out.select("p_partkey", "cohort_n", "cohort_median", "percentile")
+
+
+def cached_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of documents, kept by content; the second run, after a tenth of the texts changed, computes these alone."""
+    path, schema, versions = scratch(spark, "results"), "n_words long, digest string", {"metrics": "3"}
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    compute = lambda rows: rows.select("cache_key", F.size(T.word_runs("text")).cast("long").alias("n_words"), F.md5("text").alias("digest"))
+    results.cached(docs, compute, path, columns=["text"], versions=versions, schema=schema)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed once"))).otherwise(F.col("text")))
+    return results.cached(changed, compute, path, columns=["text"], versions=versions, schema=schema).select("doc_id", "n_words", "digest", "cache_new")
+
+
+def last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line of each customer in files of orders as JSON lines, written in the order of their keys."""
+    path = scratch(spark, "lines")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.concat(F.lit("c"), F.col("o_custkey")).alias("ticker"), F.col("o_orderkey").alias("number"))).alias("value"))
+    lines.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return tables.read_last_lines(spark, path, "ticker string, number long")
+
+
 CHECKS = (("parse_error", "text IS NULL"), ("holdout", "doc_id % 11 = 0"), ("wrong_section", "lang NOT IN ('en', 'de')"), ("short_text", "n_chars < 800"), ("low_confidence", "(doc_id % 20) / 20.0 < 0.15"))
 
 
@@ -267,7 +298,7 @@ def published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shaping.round_exact(v, 2).alias("two"), shaping.round_exact(v, 4).alias("four"))
 
 
-QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, late_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, stored_context, cached_metrics, last_lines, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, late_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
 
 _SPACED = r"trim(regexp_replace({t}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f\v]+', ' ', 'g'))"
 #: The sections of KNOWN_PAGES_SQL: their texts by name, each scored as a title at the start of a block with a body.
@@ -309,6 +340,9 @@ ORACLES = {
     "log_returns": f"WITH bars AS ({BARS_SQL}), b AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS p FROM bars) SELECT ticker, CAST(date AS VARCHAR) AS date, round(CASE WHEN p > 0 AND close > 0 THEN ln(close / p) END, 6) AS log_return FROM b",
     "next_event": "WITH e AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), l AS (SELECT o_custkey AS c, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 200000) SELECT id, CAST(min(e.d) AS VARCHAR) AS next_event_date, arg_min(e.v, e.d) AS next_event_value FROM l LEFT JOIN e ON e.c = l.c AND e.d > l.d GROUP BY id",
     "corpus_context": "WITH d AS (SELECT doc_id, lang, n_chars AS s FROM documents WHERE n_chars IS NOT NULL), c AS (SELECT lang, count(*) AS n, round(median(s), 1) AS m FROM d GROUP BY lang) SELECT doc_id, n AS cohort_n, m AS cohort_median, CAST(round_even((rank() OVER (PARTITION BY lang ORDER BY s) - 1) * 100 / n, 0) AS INT) AS percentile FROM d JOIN c USING (lang)",
+    "stored_context": "WITH c AS (SELECT p_size, count(*) AS n, round(median(p_retailprice), 1) AS m FROM part GROUP BY p_size) SELECT p_partkey, n AS cohort_n, m AS cohort_median, CAST(round_even((rank() OVER (PARTITION BY p_size ORDER BY p_retailprice) - 1) * 100 / n, 0) AS INT) AS percentile FROM part JOIN c USING (p_size)",
+    "cached_metrics": r"WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' changed once' ELSE '' END AS t FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS BIGINT) AS n_words, md5(t) AS digest, doc_id % 10 = 0 AS cache_new FROM d",
+    "last_lines": "SELECT 'c' || o_custkey AS ticker, max(o_orderkey) AS number FROM orders GROUP BY o_custkey",
     "filter_reasons": f"SELECT coalesce(CASE {_RULE} END, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1",
     "filing_resolution": f"""WITH s AS ({SUBMISSIONS_SQL}), t AS ({TARGETS_SQL}), x AS (SELECT t.target_id, accession, filing_date, report_date, fiscal_year, CASE WHEN coalesce(dei_fiscal_year, CAST(substr(report_date, 1, 4) AS INT)) = fiscal_year THEN 3 WHEN CAST(substr(report_date, 1, 4) AS INT) = fiscal_year THEN 2
         WHEN CAST(substr(filing_date, 1, 4) AS INT) = fiscal_year THEN 1 END * 1e9 + CASE WHEN ends_with(form, '/A') THEN 0 ELSE 1e5 END + CAST(replace(filing_date, '-', '') AS DOUBLE) AS score FROM t JOIN s ON t.cik = s.cik AND replace(form, '/A', '') = form_type WHERE coalesce(dei_period, '') IN ('', 'FY')),

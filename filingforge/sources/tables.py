@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS_SCHEMA = "ticker string, fiscal_year int, section_name string, cleaned_text string, word_count int, extraction_confidence double, form_type string, html_path string, accession_number string, filing_date string, cik string, warnings array<string>"
@@ -22,10 +22,26 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("parse_error", F.col("_broken").isNotNull()).drop("_broken")
 
 
-def last_per_ticker(rows: DataFrame, order: str) -> DataFrame:
-    """The last row of each ticker by `order`."""
-    w = Window.partitionBy(F.upper("ticker")).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, place: the lines of text files and where they stand, in an order that no split of the files changes.
+
+    A place is a file's path, the start of the split and a number that rises with the lines of a task: a split is read by one
+    task, from its start to its end, so places compare as lines of the files do, one file after the other by name.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("place"))
+
+
+def last_per_ticker(rows: DataFrame, order: str = "place") -> DataFrame:
+    """The last row of each ticker (in any case of letters) by `order`; combined where the rows are, so no ticker is hot."""
+    name = F.upper(F.col("ticker"))
+    return rows.groupBy(name.alias("_ticker")).agg(F.max_by(F.struct("*"), order).alias("_row")).select("_row.*")
+
+
+def read_last_lines(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
+    """The last line of each ticker of JSON lines; lines that aren't JSON, and those without a ticker, are passed over."""
+    parsed = read_lines(spark, path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "place")
+    return last_per_ticker(parsed.select("r.*", "place").where(F.col("ticker").isNotNull())).drop("place")
 
 
 def read_matrix_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -41,3 +41,32 @@ def test_a_stream_measures_each_section_once(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0].word_count == 3
+
+
+def test_the_last_line_wins_at_any_split_size(spark, tmp_path):
+    """Many files of many splits: the winner is that of reading all lines in order."""
+    import json
+    import random
+
+    r, want, n = random.Random(7), {}, 0
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for name in ("a.jsonl", "b.jsonl", "c.jsonl"):
+        with open(folder / name, "w") as file:
+            for _ in range(400):
+                n += 1
+                ticker = r.choice(["aa", "AA", "b", "cé", "d" * 50])
+                if n % 17 == 0:
+                    file.write(r.choice(["{broken", "", "null", '{"ticker": null}']) + "\n")
+                    continue
+                want[ticker.upper()] = n
+                file.write(json.dumps({"ticker": ticker, "fiscal_year": n, "cleaned_text": "x" * r.randrange(60)}) + "\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for size in ("97b", "1k", "7k", "128m"):
+            spark.conf.set(name, size)
+            rows = tables.read_last_lines(spark, str(folder)).collect()
+            assert {x.ticker.upper(): x.fiscal_year for x in rows} == want and len(rows) == 4
+    finally:
+        spark.conf.set(name, before)
