@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from filingforge.functions import term_packs as P
 from filingforge.functions import text as T
-from filingforge.operators import boilerplate, metrics, products, scoring
+from filingforge.operators import boilerplate, entities, metrics, products, scoring, validation
+from filingforge.session import table
 
 from .corpus import FILINGS_SQL, SECTIONS_SQL, frame
 
@@ -161,7 +162,30 @@ def score_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("component IN ('tone_negativity_score', 'legal_regulatory_risk_score')").groupBy("component", "label", "band").agg(F.count("*").alias("n"), F.max("weight_pct").alias("weight_pct"))
 
 
-QUERIES = {f.__name__: f for f in (section_metrics, specificity, metric_families, section_flags, densities, gram_baseline, cross_firm, headline_scores, scores_v2, score_evidence, score_confidence, active_flags, flag_summary, score_cards)}
+#: label, name: nations and regions by their names, and an office.
+GAZETTEER_SQL = "SELECT 'GPE' AS label, initcap(n_name) AS name FROM {nation} UNION ALL SELECT 'GPE', initcap(r_name) FROM {region} UNION ALL SELECT 'ORG', 'Department of Justice'"
+
+
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_entities, density and specificity of each section."""
+    names = spark.sql(GAZETTEER_SQL, nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+    texts = frame(spark, sf_dir, SECTIONS_SQL, "documents")
+    found = entities.with_entities(texts, names, key="doc_id").withColumnRenamed("doc_id", "_id").join(texts, F.col("_id") == F.col("doc_id"))
+    capitals = F.size(F.filter(T.word_runs("text"), lambda w: w.rlike("^[A-Z][a-z]+$")))
+    return found.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.round(entities.density(F.col("entities"), F.col("text")), 6).alias("density"), T.ratio(capitals.cast("double"), F.size(T.word_runs("text"))).alias("specificity"))
+
+
+def entity_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a gazetteer in each section."""
+    return entity_counts(spark, sf_dir).drop("specificity")
+
+
+def entity_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of entity density and the share of capitalised words."""
+    return validation.spearman(entity_counts(spark, sf_dir), "density", "specificity", "doc_id").select("n", F.round("rho", 6).alias("rho"))
+
+
+QUERIES = {f.__name__: f for f in (entity_density, entity_correlation, section_metrics, specificity, metric_families, section_flags, densities, gram_baseline, cross_firm, headline_scores, scores_v2, score_evidence, score_confidence, active_flags, flag_summary, score_cards)}
 
 
 def flag_sql(flag: str) -> str:
@@ -210,7 +234,12 @@ _COMPONENTS = f"""comps AS (SELECT w.filing_id,
 _NAMED = ("risk_factor_intensity_score", "legal_regulatory_risk_score", "liquidity_stress_score", "internal_controls_risk_score", "tone_negativity_score")
 _BAND = "CASE WHEN score IS NULL THEN 'missing' WHEN score <= 25 THEN 'low' WHEN score <= 50 THEN 'moderate' WHEN score <= 75 THEN 'elevated' ELSE 'high' END"
 
+_ENTITIES = _with(SECTIONS_SQL) + rf"""SELECT doc_id, CAST((SELECT coalesce(sum(len(regexp_extract_all(replace(text, ' ', '  '), '(?:^|[^\p{{L}}\p{{N}}_])' || replace(name, ' ', '  ') || '(?:$|[^\p{{L}}\p{{N}}_])'))), 0) FROM g) AS BIGINT) AS n_entities,
+    len(tokens) AS n_tokens, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+'))) / greatest(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')), 1) AS specificity FROM parts"""
+_ENTITIES = _ENTITIES.replace("WITH ", "WITH g AS (SELECT array_to_string(list_transform(string_split(lower(n), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM (SELECT n_name AS n FROM nation UNION ALL SELECT r_name FROM region) UNION ALL SELECT 'Department of Justice'), ", 1)
 ORACLES = {
+    "entity_density": f"SELECT doc_id, n_entities, round(CASE WHEN n_tokens > 0 THEN n_entities / n_tokens ELSE 0 END, 6) AS density FROM ({_ENTITIES})",
+    "entity_correlation": f"WITH e AS ({_ENTITIES}), r AS (SELECT row_number() OVER (ORDER BY round(CASE WHEN n_tokens > 0 THEN n_entities / n_tokens ELSE 0 END, 6), doc_id) AS a, row_number() OVER (ORDER BY specificity, doc_id) AS b FROM e) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
     "section_metrics": _with(SECTIONS_SQL) + f"SELECT doc_id, section, {METRICS_SELECT} FROM parts",
     "specificity": _with(SECTIONS_SQL) + rf"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+'))) AS capitalised,
         CAST({present(P.GEOGRAPHY)} + {present(P.SEGMENT)} AS BIGINT) AS named,
