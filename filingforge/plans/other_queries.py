@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filingforge.functions import text as T
 from filingforge.operators import blocks, distribution, products, reports, resolution, scoring, sections, shaping, validation
 from filingforge.session import spread, table
-from filingforge.sources import results, tables
+from filingforge.sources import landed, results, tables
 from filingforge.staging import scratch
 
 from .corpus import frame
@@ -37,6 +37,25 @@ def required_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.required_present(found, "10-K").select("filing_id", "required_sections_present", F.array_join("missing", ",").alias("missing"))
 
 
+#: Filings of a document each, from which, by their number, the risks, the discussion or both are missing: filing_id, text.
+PARTIAL_SQL = """SELECT doc_id AS filing_id, 'Cover page. ' || CASE WHEN doc_id % 4 IN (0, 1) THEN 'Item 1A. Risk Factors ' || coalesce(text, '') ELSE '' END || ' Item 3. Legal Proceedings None. '
+  || CASE WHEN doc_id % 4 IN (0, 2) THEN 'Item 7. Management discussion ' || coalesce(text, '') ELSE '' END AS text FROM documents"""
+
+
+def required_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which required sections filings lack."""
+    found = sections.extract_sections(frame(spark, sf_dir, PARTIAL_SQL, "documents"), "10-K")
+    return sections.required_present(found, "10-K").select("filing_id", "required_sections_present", F.array_join("missing", ",").alias("missing"))
+
+
+def filing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each supplier, written as one file each and read back."""
+    path = scratch(spark, "filings")
+    rows = F.array(F.struct(F.lit("Balance & rest").alias("label"), F.format_string("%.2f", F.col("s_acctbal")).alias("value"), F.when(F.col("s_acctbal") < 0, F.lit("low")).otherwise(F.lit("high")).alias("band")))
+    landed.write_pages(table(spark, sf_dir, "supplier"), path, name="s_name", content=landed.score_page(F.concat(F.lit("<"), F.col("s_name"), F.lit(">")), rows))
+    return tables.read_html(spark, f"{path}/part-*").select(F.regexp_extract("html", "<h1>&lt;(.*?)&gt;</h1>", 1).alias("s_name"), F.md5("html").alias("digest"))
+
+
 def quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance quintiles of customers with their size and mean."""
     q = validation.with_quintiles(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey")
@@ -177,9 +196,11 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of the documents against thresholds."""
     d = table(spark, sf_dir, "documents")
     n = F.count("*")
-    long = d.agg(F.array(
+    # The median by global ranks: no task holds all lengths.
+    middle = F.broadcast(validation.medians(d.select(F.lit(1).alias("one"), F.col("n_chars").cast("double").alias("x")), ["one"], "x").select("median"))
+    long = d.crossJoin(middle).agg(F.array(
         validation.gate("share_english", F.avg((F.col("lang") == "en").cast("double")), 0.5, n), validation.gate("share_long", F.avg((F.col("n_chars") >= 1000).cast("double")), 0.9, n),
-        validation.gate("median_chars", F.median("n_chars"), 500, n), validation.gate("share_null", F.avg(F.col("text").isNull().cast("double")), 0.01, n, at_least=False),
+        validation.gate("median_chars", F.max("median"), 500, n), validation.gate("share_null", F.avg(F.col("text").isNull().cast("double")), 0.01, n, at_least=False),
     ).alias("g")).select(F.inline("g"))
     return long.select("name", F.round("value", 6).alias("value"), "threshold", "n", "status")
 
@@ -298,7 +319,7 @@ def published_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shaping.round_exact(v, 2).alias("two"), shaping.round_exact(v, 4).alias("four"))
 
 
-QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, stored_context, cached_metrics, last_lines, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, late_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
+QUERIES = {f.__name__: f for f in (block_extraction, block_sections, edgar_gates, matrix_gates, universe_coverage, outcomes_report, text_chunks, published_rounding, html_text, section_extraction, stored_context, cached_metrics, last_lines, required_missing, filing_files, required_sections, quintiles, monotonicity, rank_correlation, rank_gaps, volatility, log_returns, next_event, corpus_context, filter_reasons, filing_resolution, late_resolution, ticker_lookup, vector_cosine, gates, gate_verdict, panel, panel_all, risk_bands, blend_search, calibration, calibration_all, upper_medians)}
 
 _SPACED = r"trim(regexp_replace({t}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f\v]+', ' ', 'g'))"
 #: The sections of KNOWN_PAGES_SQL: their texts by name, each scored as a title at the start of a block with a body.
@@ -340,6 +361,24 @@ ORACLES = {
     "log_returns": f"WITH bars AS ({BARS_SQL}), b AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS p FROM bars) SELECT ticker, CAST(date AS VARCHAR) AS date, round(CASE WHEN p > 0 AND close > 0 THEN ln(close / p) END, 6) AS log_return FROM b",
     "next_event": "WITH e AS (SELECT o_custkey AS c, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), l AS (SELECT o_custkey AS c, o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 200000) SELECT id, CAST(min(e.d) AS VARCHAR) AS next_event_date, arg_min(e.v, e.d) AS next_event_value FROM l LEFT JOIN e ON e.c = l.c AND e.d > l.d GROUP BY id",
     "corpus_context": "WITH d AS (SELECT doc_id, lang, n_chars AS s FROM documents WHERE n_chars IS NOT NULL), c AS (SELECT lang, count(*) AS n, round(median(s), 1) AS m FROM d GROUP BY lang) SELECT doc_id, n AS cohort_n, m AS cohort_median, CAST(round_even((rank() OVER (PARTITION BY lang ORDER BY s) - 1) * 100 / n, 0) AS INT) AS percentile FROM d JOIN c USING (lang)",
+    "required_missing": "SELECT doc_id AS filing_id, doc_id % 4 = 0 AS required_sections_present, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'item_7_mdna' WHEN 2 THEN 'item_1a_risk_factors' ELSE 'item_1a_risk_factors,item_7_mdna' END AS missing FROM documents",
+    "filing_files": """SELECT s_name, md5('<!DOCTYPE html><html><head><title>&lt;' || s_name || '&gt;</title></head><body><h1>&lt;' || s_name || '&gt;</h1><table><tr><th>Balance &amp; rest</th><td>' || printf('%.2f', s_acctbal) || '</td><td class="' || b || '">' || b || '</td></tr></table></body></html>') AS digest
+        FROM (SELECT *, CASE WHEN s_acctbal < 0 THEN 'low' ELSE 'high' END AS b FROM supplier)""",
+    "text_chunks": """WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: {'c': 1, 't': 0, 'n': length(x)}) AS x FROM documents),
+        r AS (SELECT doc_id, CASE WHEN len(x) = 0 THEN {'c': 1, 't': 0, 'n': 0} ELSE list_reduce(x, lambda a, b: CASE WHEN a.n + b.n + 1 <= 500 THEN {'c': a.c, 't': a.t, 'n': a.n + b.n + 1} ELSE {'c': a.c + 1, 't': a.t + a.n, 'n': b.n} END) END AS z FROM l)
+        SELECT doc_id, CAST(z.c AS BIGINT) AS n_chunks, CAST(z.t + z.n AS BIGINT) AS n_chars FROM r""",
+    "published_rounding": """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(printf('%.30f', l_extendedprice * l_discount / 100) AS DECIMAL(38, 30)) AS d FROM lineitem)
+        SELECT l_orderkey, l_linenumber, """ + ", ".join(f"(floor(d * {p}) + CASE WHEN d * {p} - floor(d * {p}) > 0.5 OR (d * {p} - floor(d * {p}) = 0.5 AND floor(d * {p}) % 2 = 1) THEN 1 ELSE 0 END)::BIGINT / {p}.0::DOUBLE AS {n}" for p, n in ((100, "two"), (10000, "four"))) + " FROM v",
+    "section_extraction": r"""WITH t AS (SELECT doc_id AS filing_id, coalesce(text, '') AS text FROM documents),
+        s AS (
+          SELECT filing_id, 1 AS section_ord, 'item_1a_risk_factors' AS section, 'Item 1A. Risk Factors ' || text AS body, false AS last, substr('Item 1A. Risk Factors ' || text || ' Item 3. Legal Proceedings None. Item 7. Management discussion ' || text, 1, 200) AS w FROM t
+          UNION ALL SELECT filing_id, 2, 'item_3_legal_proceedings', 'Item 3. Legal Proceedings None.', false, substr('Item 3. Legal Proceedings None. Item 7. Management discussion ' || text, 1, 200) FROM t
+          UNION ALL SELECT filing_id, 3, 'item_7_mdna', 'Item 7. Management discussion ' || text, true, substr('Item 7. Management discussion ' || text, 1, 200) FROM t
+        ), c AS (SELECT *, len(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS n, contains(w, '...') OR regexp_matches(w, '\t\d+\s*$') AS toc FROM s),
+        b AS (SELECT *, CASE WHEN toc THEN 0.4 ELSE 0.9 END AS base FROM c)
+        SELECT filing_id, section, CAST(section_ord AS INT) AS section_ord, CAST(n AS BIGINT) AS word_count, CAST(CASE WHEN n < 50 THEN 0.35 WHEN n >= 2000 THEN greatest(0.85, CASE WHEN last THEN least(base, 0.75) ELSE base END)
+          WHEN n >= 200 THEN greatest(0.76, CASE WHEN last THEN least(base, 0.75) ELSE base END) WHEN last THEN least(base, 0.75) ELSE base END AS DOUBLE) AS extraction_confidence,
+          concat_ws(',', CASE WHEN toc THEN 'toc_like' END, CASE WHEN n < 50 THEN 'short_section' END, CASE WHEN last THEN 'end_of_document' END) AS warnings FROM b""",
     "stored_context": "WITH c AS (SELECT p_size, count(*) AS n, round(median(p_retailprice), 1) AS m FROM part GROUP BY p_size) SELECT p_partkey, n AS cohort_n, m AS cohort_median, CAST(round_even((rank() OVER (PARTITION BY p_size ORDER BY p_retailprice) - 1) * 100 / n, 0) AS INT) AS percentile FROM part JOIN c USING (p_size)",
     "cached_metrics": r"WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' changed once' ELSE '' END AS t FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS BIGINT) AS n_words, md5(t) AS digest, doc_id % 10 = 0 AS cache_new FROM d",
     "last_lines": "SELECT 'c' || o_custkey AS ticker, max(o_orderkey) AS number FROM orders GROUP BY o_custkey",
@@ -386,4 +425,5 @@ ORACLES |= {
     + " SELECT 'volatility_vs_overall' AS name, n, q1_n, q5_n, round(a, 6) AS q1_mean, round(b, 6) AS q5_mean, CASE WHEN n < 50 OR q1_n < 5 OR q5_n < 5 THEN 'insufficient' WHEN b > a THEN 'pass' ELSE 'fail' END AS status FROM a UNION ALL SELECT 'earnings_surprise_vs_change', 0, 0, 0, NULL, NULL, 'skipped'",
 }
 #: Both names of a query cover whole tables.
+ORACLES["gate_verdict"] = f"SELECT count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status <> 'skip') AS total, count(*) FILTER (status = 'pass') >= 2 AS overall_pass FROM ({ORACLES['gates']})"
 ORACLES |= {"panel_all": ORACLES["panel"], "calibration_all": ORACLES["calibration"]}

@@ -111,6 +111,10 @@ def write_artifact(baseline: DataFrame, path: str) -> None:
 
 
 def corpus_summary(scores: DataFrame, *, key: str = "ticker", score: str = "score") -> DataFrame:
-    """One row: n, median to one place, least and most."""
-    good = scores.where(F.col(score).isNotNull())
-    return good.agg(F.count("*").alias("n"), F.round(F.median(score), 1).alias("median"), F.round(F.min(score), 6).alias("least"), F.round(F.max(score), 6).alias("most"))
+    """One row: n, median to one place (by global ranks), least and most."""
+    from filingforge.operators.validation import medians
+
+    good = scores.where(F.col(score).isNotNull()).select(F.lit(1).alias("_all"), F.col(score).cast("double").alias("_score"))
+    middle = medians(good, ["_all"], "_score").select(F.round("median", 1).alias("median"))
+    ends = good.agg(F.count("*").alias("n"), F.round(F.min("_score"), 6).alias("least"), F.round(F.max("_score"), 6).alias("most"))
+    return ends.join(F.broadcast(middle), how="left").select("n", "median", "least", "most")
