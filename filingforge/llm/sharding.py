@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: A token: a run of other characters than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bundles a shard; the heaviest unit that greedy placement has left at its end is about this part of a shard.
 BUNDLES_PER_SHARD = 256
 #: A group of equal texts above this part of a shard is cut.
@@ -70,7 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", t
             F.col(key),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
             F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit(" "))) + 1).otherwise(F.lit(0)).cast("long").alias("tokens"),
+            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h1"),
             F.monotonically_increasing_id().alias("__row"),
         ),

@@ -4,7 +4,8 @@ Headers (key, payload digest and size) are shuffled by digest, pre-aggregated to
 there are joined back to their rows by key and digest, so that payloads move once, by an even key. Each task then
 writes gzipped archives of bounded size with fresh headers into the shared folder, and a manifest names the files of
 the tasks that succeeded; what a lost task left behind is in no manifest and is never read. Archives are read back by as
-many tasks as there are archives.
+many tasks as there are archives, one each. The folder is one that pyarrow's file systems open: a local or mounted path,
+file, hdfs, s3 (s3a is taken for it), gs or abfs; others are an error.
 
 A record's id is made of its key and payload digest, so that a revisit can name its response; where rows repeat both, or
 have no key, the writing task and a count are added, and each id stays unique (a revisit of a payload whose largest key
@@ -32,6 +33,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingforge.operators.validation import ranked
+
 from .common import arrow_schema, scratch, staged
 
 #: Uncompressed bytes after which the next record starts a new archive.
@@ -40,6 +43,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
+def filesystem(address: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address, and the path there."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", address))
+
+
 def sha1_base32(payload: bytes) -> str:
     """Upper-case base32 of the SHA-1, without a prefix."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -119,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
         context = TaskContext.get()
         task, total = context.partitionId() if context else 0, 0
         stem = f"part-{task:06d}-{uuid.uuid4().hex[:12]}"
-        system, root = pafs.FileSystem.from_uri(folder)
+        system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
         sink = name = None
         number = records = size = 0
@@ -155,7 +163,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                system, path = pafs.FileSystem.from_uri(name)
+                system, path = filesystem(name)
                 rows = []
                 with system.open_input_stream(path, compression=None) as raw, gzip.open(raw) as stream:
                     for headers, block in read_records(stream):
@@ -169,8 +177,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
 
-    # File names are few bytes, archives are not: a task for each, which Spark won't merge.
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)
+    # File names are few bytes, archives are not: they are numbered, and each number has a task of its own.
+    names = ranked(manifest.select("file"), "file")
+    return names.repartitionById(max(1, manifest.count()), F.col("rank0").cast("int")).select("file").mapInArrow(read, schema)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,12 @@ def test_records():
     (a, block), (b, short) = warc.read_records(io.BytesIO(record))
     assert block.endswith(b"\r\n\r\npayload") and short.endswith(b"\r\n\r\n") and a["warc-payload-digest"] == b["warc-payload-digest"]
     assert b["warc-refers-to"] == a["warc-record-id"] and b["warc-profile"].endswith("identical-payload-digest")
+
+
+def test_each_archive_has_a_task_of_its_own(spark):
+    frame = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(120)], "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_archives(frame, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", archive_bytes=2000)
+    found = warc.read_archives(manifest)
+    archives, sizes = manifest.count(), [len(x) for x in found.rdd.glom().collect()]
+    assert archives > 20 and len(sizes) == archives and min(sizes) > 0 and sum(sizes) == 120
+    assert warc.filesystem("file:///tmp")[1] == "/tmp"
