@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingforge.staging import staged
+
 GRAM = 4
+#: Grams that are broadcast; more meet the texts' grams by shuffling.
+BROADCAST_GRAMS = 1_000_000
 
 
 def gram_array(tokens: str | Column = "tokens", n: int = GRAM) -> Column:
@@ -14,15 +18,24 @@ def gram_array(tokens: str | Column = "tokens", n: int = GRAM) -> Column:
     return F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(1), F.size(arr) - n + 1), lambda i: F.array_join(F.slice(arr, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def known_grams(grams: DataFrame) -> DataFrame:
+    """Grams for a join, written first: sent to where the texts are if they are few, which a least share of documents sees to."""
+    kept = staged(grams.sparkSession, grams, "grams")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_GRAMS else kept
+
+
 def gram_baseline(sections: DataFrame, *, min_doc_freq: int = 2, min_doc_frac: float = 0.05, tokens: str = "tokens", n: int = GRAM) -> DataFrame:
     """gram, doc_freq, n_docs of the grams in at least max(min_doc_freq, ceil(min_doc_frac * documents)) documents.
 
-    A gram counts once a document; counts are combined before the shuffle.
+    A gram counts once a document; counts are combined before the shuffle. Grams are shuffled as 64-bit hashes; only those
+    whose hash is frequent enough are then counted by themselves, so that hashes that collide change nothing.
     """
-    documents = sections.where(F.size(tokens) > 0).agg(F.count("*").alias("n_docs"))
-    counted = sections.select(F.explode(F.array_distinct(gram_array(tokens, n))).alias("gram")).groupBy("gram").agg(F.count("*").alias("doc_freq"))
+    documents = F.broadcast(sections.where(F.size(tokens) > 0).agg(F.count("*").alias("n_docs")))  # one row
     limit = F.greatest(F.lit(min_doc_freq), F.ceil(F.col("n_docs") * min_doc_frac))
-    return counted.join(F.broadcast(documents)).where(F.col("doc_freq") >= limit)  # one row is broadcast
+    grams = sections.select(F.explode(F.array_distinct(gram_array(tokens, n))).alias("gram")).withColumn("h", F.xxhash64("gram"))
+    hashes = grams.groupBy("h").agg(F.count("*").alias("doc_freq")).join(documents).where(F.col("doc_freq") >= limit).select("h")
+    counted = grams.join(known_grams(hashes), "h", "left_semi").groupBy("gram").agg(F.count("*").alias("doc_freq"))
+    return counted.join(documents).where(F.col("doc_freq") >= limit)
 
 
 def cross_firm_ratio(sections: DataFrame, baseline: DataFrame, *, key: str = "doc_id", tokens: str = "tokens", n: int = GRAM) -> DataFrame:
@@ -32,7 +45,7 @@ def cross_firm_ratio(sections: DataFrame, baseline: DataFrame, *, key: str = "do
     costs one row a hit, not n.
     """
     at = sections.select(key, F.size(tokens).alias("n_tokens"), F.posexplode(gram_array(tokens, n)).alias("pos", "gram"))
-    hits = at.join(baseline.select("gram"), "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    hits = at.join(known_grams(baseline.select("gram")), "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("hits"))
     # From each hit on, n words or those up to the next hit are covered.
     gaps = F.zip_with(F.slice("hits", F.lit(2), F.greatest(F.size("hits") - 1, F.lit(0))), F.slice("hits", F.lit(1), F.greatest(F.size("hits") - 1, F.lit(0))), lambda a, b: F.least(a - b, F.lit(n)))
     covered = F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x) + n
