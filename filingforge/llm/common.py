@@ -26,7 +26,7 @@ def arrow_schema(df_schema: str | object) -> pa.Schema:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches, unless the session has a bound of its own."""
+    """Bounds the rows of Arrow batches, from now on and for all of the session, unless it has a bound of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, BATCH_ROWS)
