@@ -7,6 +7,7 @@ of exploding sentences and terms into a shuffle. All else is built from column e
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -24,6 +25,8 @@ from filingforge.functions.term_packs import TermPacks
 
 TERM, RUN = re.compile(r"\w\w+"), re.compile(r"\w+")
 MATCH, SAME = 0.55, 0.92
+#: The squared weight of a term that is in one of two texts.
+ALONE = (math.log(3 / 2) + 1) ** 2
 DELTAS = {"negative_language_delta": "negative", "uncertainty_language_delta": "uncertainty", "legal_language_delta": "litigious", "constraining_language_delta": "constraining"}
 
 KERNEL = StructType([
@@ -33,78 +36,137 @@ KERNEL = StructType([
 ])
 
 
-def term_weights(documents: list[str], most: int) -> list[dict[str, float]]:
-    """Unit vectors of smoothed term weights over the `most` most frequent terms (ties by term)."""
-    counts = [Counter(TERM.findall(d.lower())) for d in documents]
-    totals: Counter[str] = Counter()
-    spread: Counter[str] = Counter()
-    for c in counts:
-        totals.update(c)
-        spread.update(c.keys())
-    kept = totals if len(totals) <= most else dict(sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:most])
-    idf = {t: np.log((1 + len(documents)) / (1 + spread[t])) + 1 for t in kept}
+def similarities(a: str, b: str, most: tuple[int, ...]) -> list[float]:
+    """Cosines of two texts' smoothed term weights over so many of their most frequent terms (ties by term); 0 where either is blank.
+
+    Texts are taken apart once. A term in one of two texts weighs ln(3/2) + 1, one in both 1.
+    """
+    if not a.strip() or not b.strip():
+        return [0.0] * len(most)
+    x, y = Counter(TERM.findall(a.lower())), Counter(TERM.findall(b.lower()))
+    common = x.keys() & y.keys()
+    terms, ordered = len(x) + len(y) - len(common), []
+    if terms > min(most):
+        totals = x.copy()
+        totals.update(y)
+        ordered = sorted(totals, key=lambda t: (-totals[t], t))
     out = []
-    for c in counts:
-        vector = {t: n * idf[t] for t, n in c.items() if t in idf}
-        norm = sum(v * v for v in vector.values()) ** 0.5
-        out.append({t: v / norm for t, v in vector.items()} if norm else {})
+    for limit in most:
+        if terms <= limit:
+            shared, own, other = common, x, y
+        else:
+            kept = ordered[:limit]
+            own, other = {t: x[t] for t in kept if t in x}, {t: y[t] for t in kept if t in y}
+            shared = own.keys() & other.keys()
+        both = [(own[t], other[t]) for t in shared]
+        p, q = sum(n * n for n, _ in both), sum(n * n for _, n in both)
+        p, q = p + ALONE * (sum(n * n for n in own.values()) - p), q + ALONE * (sum(n * n for n in other.values()) - q)
+        out.append(min(1.0, sum(m * n for m, n in both) / (p * q) ** 0.5) if p and q else 0.0)
     return out
 
 
-def cosine(a: dict[str, float], b: dict[str, float]) -> float:
-    if len(b) < len(a):
-        a, b = b, a
-    return min(1.0, max(0.0, sum(v * b[t] for t, v in a.items() if t in b)))
+def term_weights(documents: list[str], most: int) -> list[dict[str, float]]:
+    """Unit vectors of smoothed term weights over the `most` most frequent terms (ties by term), by term."""
+    row, term, weight, _ = sentence_weights(documents, most)
+    names = sorted({w for d in documents for w in TERM.findall(d.lower())})
+    out: list[dict[str, float]] = [{} for _ in documents]
+    for i, t, v in zip(row.tolist(), term.tolist(), weight.tolist(), strict=True):
+        out[i][names[t]] = v
+    return out
 
 
 def text_similarity(a: str, b: str, most: int) -> float:
-    """Cosine of the two texts' term weights; 0 where either is blank."""
-    return cosine(*term_weights([a, b], most)) if a.strip() and b.strip() else 0.0
-
-
-def align(current: list[str], prior: list[str], *, most: int = 2000, threshold: float = MATCH) -> list[tuple[int, int, float]]:
+    """similarities() over one number of terms."""
+    return similarities(a, b, (most,))[0]
+
+
+def sentence_weights(sentences: list[str], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Unit vectors of smoothed term weights over the `most` most frequent terms (ties by term): row, term, weight by row and term; terms."""
+    words = [TERM.findall(s.lower()) for s in sentences]
+    flat = [w for x in words for w in x]
+    number = {w: i for i, w in enumerate(sorted(set(flat)))}
+    width = max(1, len(number))
+    term, row = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), np.repeat(np.arange(len(words)), [len(x) for x in words])
+    if width > most:
+        kept = np.zeros(width, bool)
+        kept[np.argsort(-np.bincount(term, minlength=width), kind="stable")[:most]] = True
+        row, term = row[kept[term]], term[kept[term]]
+    cells, counts = np.unique(row * width + term, return_counts=True)
+    row, term = cells // width, cells % width
+    weight = counts * (np.log((1 + len(words)) / (1 + np.bincount(term, minlength=width))) + 1)[term]
+    norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(words)))
+    return row, term, weight / norm[row], width
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def align(current: list[str], prior: list[str], *, most: int = 2000, threshold: float = MATCH, cells: int = 2_000_000) -> list[tuple[int, int, float]]:
     """One-to-one matches (current, prior, similarity): each current sentence tries its best prior one, first come, first served.
 
-    Only prior sentences that can reach the threshold are scored: a sentence's terms are taken from the rarest on, until those
-    left weigh too little to reach it alone; who shares none of the terms taken is out.
+    Only current sentences with a prior one that can reach the threshold are scored: a sentence's terms are taken from the rarest
+    on, until those left weigh too little to reach it alone; who shares none of the terms taken is out. Where few are near, each
+    is scored by itself; otherwise a block of sentences at a time meets all, in at most about `cells` cells.
     """
     if not current or not prior:
         return []
-    vectors = term_weights(current + prior, most)
-    others = vectors[len(current) :]
-    listed: dict[str, list[tuple[int, float]]] = {}
-    for j, vector in enumerate(others):
-        for t, v in vector.items():
-            listed.setdefault(t, []).append((j, v))
-    by_term = {t: (np.array([j for j, _ in x]), np.array([v for _, v in x])) for t, x in listed.items()}
-    taken: set[int] = set()
-    out = []
-    for i, vector in enumerate(vectors[: len(current)]):
-        terms = sorted((t, v) for t, v in vector.items() if t in by_term)
-        sizes = {t: len(by_term[t][0]) for t, _ in terms}
-        left, near, all_sizes = sum(v * v for v in vector.values()), [], sum(sizes.values())
-        for t, v in sorted(terms, key=lambda x: sizes[x[0]]):
-            if left < (threshold - 1e-6) ** 2:
-                break
-            near.append(by_term[t][0])
-            left -= v * v
-        if not near:
-            continue
-        if all_sizes > 100 * len(terms) * sum(map(len, near)):
-            # Few are near: each is scored by itself.
-            found = np.unique(np.concatenate(near))
-            sims = np.array([sum(v * others[j][t] for t, v in terms if t in others[j]) for j in found.tolist()])
-        else:
-            found, sims = None, np.zeros(len(prior))
-            for t, v in terms:
-                at, weight = by_term[t]
-                sims[at] += v * weight
-        sims = np.round(sims, 9)
+    n, m = len(current), len(prior)
+    row, term, weight, width = sentence_weights(current + prior, most)
+    cut = int(np.searchsorted(row, n))
+    other, other_term, other_weight = row[cut:] - n, term[cut:], weight[cut:]
+    other_at = np.searchsorted(other, np.arange(m + 1))
+    # By term: the prior sentences that hold it, in order.
+    listed = np.argsort(other_term, kind="stable")
+    sizes = np.bincount(other_term, minlength=width)
+    starts = np.cumsum(sizes) - sizes
+    row, term, weight = row[:cut], term[:cut], weight[:cut]
+    whole = np.bincount(row, weight * weight, minlength=n)
+    known = sizes[term] > 0
+    row, term, weight = row[known], term[known], weight[known]
+    if not len(row):
+        return []
+    at = np.searchsorted(row, np.arange(n + 1))
+    rarest = np.lexsort((sizes[term], row))
+    squares = (weight * weight)[rarest]
+    before = np.cumsum(squares) - squares
+    taken = whole[row] - (before - before[np.minimum(at[row], len(row) - 1)]) >= (threshold - 1e-6) ** 2
+    near = np.bincount(row, sizes[term[rarest]] * taken, minlength=n)
+    every = np.bincount(row, sizes[term], minlength=n)
+    few = (near > 0) & (every > 2000 + 4 * near * len(other) / m)
+    best, top = np.zeros(n, np.int64), np.zeros(n)
+    own = np.zeros(width)
+    for i in np.flatnonzero(few).tolist():
+        part = slice(at[i], at[i + 1])
+        close = term[rarest[part]][taken[part]]
+        found = np.unique(other[listed[spans(starts[close], sizes[close])]])
+        lengths = other_at[found + 1] - other_at[found]
+        places = spans(other_at[found], lengths)
+        own[term[part]] = weight[part]
+        sims = np.round(np.add.reduceat(own[other_term[places]] * other_weight[places], np.cumsum(lengths) - lengths), 9)
+        own[term[part]] = 0
         k = int(sims.argmax())
-        best = k if found is None else int(found[k])
-        if sims[k] >= threshold and best not in taken:
-            taken.add(best)
-            out.append((i, best, float(sims[k])))
+        best[i], top[i] = found[k], sims[k]
+    many = np.flatnonzero((near > 0) & ~few)
+    filled = np.cumsum(np.maximum(every[many], m))
+    for block in np.split(many, np.flatnonzero(np.diff(filled // cells)) + 1):
+        if not len(block):
+            continue
+        entries = spans(at[block], at[block + 1] - at[block])
+        counts = sizes[term[entries]]
+        places = listed[spans(starts[term[entries]], counts)]
+        line = np.repeat(np.arange(len(block)), at[block + 1] - at[block])
+        sims = np.bincount(np.repeat(line * m, counts) + other[places], np.repeat(weight[entries], counts) * other_weight[places], len(block) * m)
+        sims = np.round(sims.reshape(len(block), m), 9)
+        best[block] = sims.argmax(axis=1)
+        top[block] = sims[np.arange(len(block)), best[block]]
+    used: set[int] = set()
+    out = []
+    for i in np.flatnonzero(top >= threshold).tolist():
+        if (j := int(best[i])) not in used:
+            used.add(j)
+            out.append((i, j, float(top[i])))
     return out
 
 
@@ -117,6 +179,8 @@ def intensity(text: str, tokens: list[str], patterns: list[tuple[str, re.Pattern
     ends: list[int] | None = None
     low = text.lower()
     for keyword, pattern in patterns:
+        if keyword.split(" ")[0].split("-")[0] not in low:
+            continue
         if pattern is None:
             at += [i for i, t in enumerate(tokens) if t == keyword]
             continue
@@ -147,13 +211,17 @@ def with_alignment(pairs: DataFrame, current: str = "text", prior: str = "prior_
                     for r in rows[:3]:
                         r.append(None)
                     continue
-                rows[0].append(text_similarity(a or "", b, lexical_terms))
-                rows[1].append(text_similarity(a or "", b, semantic_terms))
+                lexical, semantic = similarities(a or "", b, (lexical_terms, semantic_terms))
+                rows[0].append(lexical)
+                rows[1].append(semantic)
                 rows[2].append([{"ci": i, "pi": j, "sim": s} for i, j, s in align(cs or [], ps or [])])
             if topics:
-                columns = (batch.column(c).to_pylist() for c in (current, prior, "tokens", "prior_tokens", "topics", "prior_topics"))
-                for a, b, ta, tb, now, before in zip(*columns, strict=True):
+                columns = (batch.column(c).to_pylist() for c in (current, prior, "topics", "prior_topics"))
+                tokens, prior_tokens = batch.column("tokens"), batch.column("prior_tokens")
+                for i, (a, b, now, before) in enumerate(zip(*columns, strict=True)):
                     both = [t for t in now or () if t in (before or ())]
+                    # Tokens leave Arrow only where a topic stands on both sides.
+                    ta, tb = (tokens[i].values.to_pylist(), prior_tokens[i].values.to_pylist()) if b and both else ([], [])
                     rows[3].append(None if not b else [t for t in both if intensity(a or "", ta, topics[t], severity) > intensity(b, tb, topics[t], severity) * factor])
             extra = [pa.array(r, shape.field(width + k).type) for k, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], schema=shape)
@@ -188,7 +256,9 @@ def pair_with_prior(sections: DataFrame, *, entity: str = "entity", columns: tup
 def topics_in(lower: str | Column, packs: TermPacks) -> Column:
     """The topics of which any keyword occurs, in alphabetic order."""
     low = F.col(lower) if isinstance(lower, str) else lower
-    return F.array_compact(F.array(*[F.when(low.rlike(T.any_pattern(words)), F.lit(topic)) for topic, words in sorted(packs.topics.items())]))
+    every = [w for words in packs.topics.values() for w in words]
+    found = lambda low, runs: F.array_compact(F.array(*[F.when(T.holds_any(low, words, runs), F.lit(topic)) for topic, words in sorted(packs.topics.items())]))
+    return T.let(low, lambda x: T.let(T.runs_of(x, every), lambda runs: found(x, runs)))
 
 
 def share(tokens: str, words: tuple[str, ...]) -> Column:
@@ -196,6 +266,13 @@ def share(tokens: str, words: tuple[str, ...]) -> Column:
     return F.round(T.ratio(T.tokens_in(tokens, words), F.size(tokens)), 6)
 
 
+def unmatched(sentences: str, place: str) -> Column:
+    """Sentences whose places no match names, in order; places are told apart by hash, not each with each."""
+    places = F.transform(sentences, lambda s, i: i)
+    free = F.array_except(places, F.transform("matched", lambda m: m[place]))
+    return F.transform(free, lambda i: F.get(sentences, i))
+
+
 def section_diffs(pairs: DataFrame, packs: TermPacks | None = None) -> DataFrame:
     """Adds the diff of each pair: similarities, topics, deltas, alignment counts, both change scores, confidence, summary.
 
@@ -214,8 +291,8 @@ def section_diffs(pairs: DataFrame, packs: TermPacks | None = None) -> DataFrame
         "removed_topics": F.array_except("prior_topics", "topics"),
         "length_change_pct": F.when(some, (runs - prior_runs) / prior_runs),
         **{name: F.when(some, F.round((share("tokens", getattr(packs, pack)) - share("prior_tokens", getattr(packs, pack))) * 100, 4)) for name, pack in DELTAS.items()},
-        "added": F.when(some, F.filter("sentences", lambda s, i: ~F.exists("matched", lambda m: m["ci"] == i))),
-        "removed": F.when(some, F.filter("prior_sentences", lambda s, i: ~F.exists("matched", lambda m: m["pi"] == i))),
+        "added": F.when(some, unmatched("sentences", "ci")),
+        "removed": F.when(some, unmatched("prior_sentences", "pi")),
     })
     sem, lex = F.col("semantic_similarity"), F.col("lexical_similarity")
     count = lambda c: F.size(c).cast("double")
