@@ -20,10 +20,8 @@ FAR_YEARS = 1_000_000_000
 
 def with_parts(pairs: DataFrame) -> DataFrame:
     """Tokens, sentences and lower-cased text on both sides."""
-    cur = metrics.with_text_parts(pairs)
-    return cur.withColumns({
-        "prior_tokens": T.tokens("prior_text"), "prior_sentences": T.sentences("prior_text"), "prior_lower": F.lower("prior_text"),
-    })
+    cur = T.once(metrics.with_text_parts(pairs), {"prior_lower": F.lower("prior_text")})
+    return T.once(cur, {"prior_tokens": T.tokens_of("prior_lower"), "prior_sentences": T.sentences("prior_text")})
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +103,12 @@ def prior_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores_with_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline scores, model 2, where filings have priors and so diffs."""
-    s = metrics.with_text_parts(filings_with_periods(spark, sf_dir))
-    pairs = diff.pair_with_prior(s)
-    d = diff.section_diffs(pairs.select("filing_id", "section", "text", "tokens", "sentences", "lower", "prior_text", "prior_tokens", "prior_sentences", "prior_lower"))
-    d = d.select("filing_id", "section", "change_v1", "change_v2", *diff.DELTAS)
-    measured = metrics.section_densities(metrics.section_flags(metrics.section_metrics(s)))
-    out = scoring.component_scores(scoring.filing_rows(measured, d), model=2)
+    # Sections meet as bare texts; the pair's row then carries the diff and the metrics, and only filings are shuffled again.
+    pairs = with_parts(diff.pair_with_prior(filings_with_periods(spark, sf_dir), columns=("text",)))
+    kept = ["filing_id", "section", "section_ord"]
+    d = diff.section_diffs(pairs).select(*kept, "text", "tokens", "sentences", "lower", "change_v1", "change_v2", *diff.DELTAS)
+    measured = metrics.section_densities(metrics.section_flags(metrics.section_metrics(d)))
+    out = scoring.component_scores(scoring.filing_rows(measured, with_diffs=True), model=2)
     return out.select("filing_id", *[F.round(c, 4).alias(c) for c in (*scoring.COMPONENTS, *scoring.AGGREGATES)])
 
 
