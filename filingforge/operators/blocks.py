@@ -29,8 +29,8 @@ BODY_WORDS, BODY_BLOCKS, EXTEND, USABLE = 50, 5, 200, 200
 #: Where Item 1A ends.
 RISKS_END = r"(?i)(?<![a-z])item\s*(?:1b|2\.?(?![a-z0-9])|2\s)"
 ITEM_MENTION = r"item\s+\d+[a-z]?(?:\.\d+)?\.?"
-SECTION_TYPE = "struct<section:string,text:string,word_count:int,start_offset:int,end_offset:int,warnings:array<string>,extraction_confidence:double,sentence_count:int,text_hash:string,extraction_method:string>"
-NO_SECTIONS = f"array<{SECTION_TYPE}>"
+#: A section before its text is cut (section_of).
+SECTION_TYPE = "struct<section:string,word_count:int,start_offset:int,end_offset:int,warnings:array<string>,extraction_confidence:double,extraction_method:string>"
 
 
 def with_blocks(filings: DataFrame, *, key: str = "filing_id", html: str = "html") -> DataFrame:
@@ -39,17 +39,16 @@ def with_blocks(filings: DataFrame, *, key: str = "filing_id", html: str = "html
 
 
 def marked(blocks: Column) -> Column:
-    """Of each block: index, type, text, start, is_toc, is_table, is_title, words, prior_text (its end), words_after (of the next blocks)."""
-    counted = F.transform(blocks, lambda b: b.withField("words", S.word_count(b["text"])))
+    """Of each block: index, type, text, start, is_toc, is_table, is_title, words (up to BODY_WORDS, which is all that counts), prior_text (its end), words_after (of the next blocks)."""
+    counted = F.transform(blocks, lambda b: b.withField("words", first_words(b["text"])))
     first_title = F.array_position(F.transform(blocks, lambda b: b["type"]), F.lit("title"))
 
     def mark(all_blocks: Column, b: Column, i: Column) -> Column:
-        low = F.lower(b["text"])
         introductory = i + 1 < first_title
-        listed = introductory & (F.regexp_count(low, F.lit(rf"(?<![a-z0-9_]){ITEM_MENTION}")) >= 3)
+        listed = introductory & (F.regexp_count(F.lower(b["text"]), F.lit(rf"(?<![a-z0-9_]){ITEM_MENTION}")) >= 3)
         return F.struct(
             i.cast("int").alias("index"), b["type"].alias("type"), b["text"].alias("text"), b["start"].alias("start"),
-            (listed | F.contains(F.substring(low, 1, 80), F.lit("table of contents"))).alias("is_toc"), (b["type"] == "table").alias("is_table"), (b["type"] == "title").alias("is_title"), b["words"].alias("words"),
+            (listed | F.contains(F.substring(F.lower(F.substring(b["text"], 1, 80)), 1, 80), F.lit("table of contents"))).alias("is_toc"), (b["type"] == "table").alias("is_table"), (b["type"] == "title").alias("is_title"), b["words"].alias("words"),
             F.when(i > 0, F.right(F.get(all_blocks, i - 1)["text"], F.lit(BACK_BEFORE))).alias("prior_text"),
             F.aggregate(F.slice(all_blocks, i + 2, F.lit(BODY_BLOCKS - 1)), F.lit(0), lambda n, x: n + x["words"]).alias("words_after"),
         )
@@ -57,6 +56,11 @@ def marked(blocks: Column) -> Column:
     return let(counted, lambda all_blocks: F.transform(all_blocks, lambda b, i: mark(all_blocks, b, i)))
 
 
+def first_words(text: Column) -> Column:
+    """The number of words, up to BODY_WORDS: the text behind these isn't read."""
+    return S.word_count(F.regexp_extract(text, rf"\A(?:[^\p{{L}}\p{{N}}_]*+[\p{{L}}\p{{N}}_]++){{1,{BODY_WORDS}}}", 0))
+
+
 def block_rows(filings: DataFrame, *, key: str = "filing_id") -> DataFrame:
     """A row for each block of with_blocks() rows."""
     return filings.select(key, F.inline("marks"))
@@ -90,7 +94,7 @@ def _candidate(block: Column, match: Column, section: str) -> Column:
     context = F.when(block["index"] > 0, F.concat(block["prior_text"], F.lit(" "), back)).otherwise(back)
     window = F.substring(text, at + 1, F.length(match["found"]) + AHEAD)
     toc = block["is_toc"] | block["is_table"] | window.rlike(r"\.{3,}") | window.rlike(r"(?i)(?<![a-z0-9_])\d+\s*(?:item\s+\d|part\s+[ivx])")
-    body = S.word_count(F.substring(text, stop + 1, F.length(text))) + block["words_after"]
+    body = first_words(F.substring(text, stop + 1, F.length(text))) + block["words_after"]
     at_start, transition = at <= 5, context.rlike(rf"(?i){ITEM_MENTION}")
     inline = ~at_start & ~transition & ~block["is_title"]
     early = (block["start"] < START) & ~block["is_title"]
@@ -110,22 +114,35 @@ def heading_candidates(blocks: DataFrame, form_type: str, *, key: str = "filing_
     return blocks.select(key, F.inline(candidates_of(F.struct(*[c for c in blocks.columns if c != key]), form_type)))
 
 
+def section_fields(name: Column, words: Column, start: Column, stop: Column, eof: Column, score: Column, warnings: Column, method: str, eof_warning: str = "open_ended_boundary") -> list[Column]:
+    """What is known of a section by its place and number of words: the fields of SECTION_TYPE."""
+    short = words < S.SHORT
+    listed = F.array_distinct(F.concat(warnings, F.array_compact(F.array(F.when(short, F.lit("short_section")), F.when(eof, F.lit(eof_warning))))))
+    base = F.greatest(F.lit(0.4), F.least(F.lit(0.95), score / 100))
+    value = F.when(eof, F.least(base, F.lit(0.75))).otherwise(base)
+    value = F.when(words >= S.LONG, F.greatest(value, F.lit(0.85))).when(words >= S.FULL, F.greatest(value, F.lit(0.76))).otherwise(value)
+    value = F.when(short, F.least(base, F.lit(0.35))).otherwise(value)
+    fields = {"section": name, "word_count": words, "start_offset": start.cast("int"), "end_offset": stop.cast("int"), "warnings": listed, "extraction_confidence": F.round(value, 2), "extraction_method": F.lit(method)}
+    return [v.alias(k) for k, v in fields.items()]
+
+
 def section_of(name: Column, text: Column, start: Column, stop: Column, score: Column, warnings: Column, method: str, eof_warning: str = "open_ended_boundary") -> Column:
-    """The section of a text from start to stop, with its counts, warnings and confidence."""
+    """The section of a text from start to stop, with its words, warnings and confidence; with_texts() cuts those that remain."""
+    # White space is no part of words: they count alike before it is normalised.
+    words = S.word_count(F.substring(text, start + 1, stop - start))
+    return let(words, lambda w: F.struct(*section_fields(name, w, start, stop, stop >= F.length(text), score, warnings, method, eof_warning)))
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """Adds text, sentence_count and text_hash to section rows with _raw, their part of the source: as rows, so what isn't read isn't computed."""
+    text = F.col("text")
+    sentences = F.greatest(F.size(T.sentences(text)), F.when(text != "", F.lit(1)).otherwise(F.lit(0)))
+    return rows.withColumn("text", S.normal_whitespace(F.col("_raw"))).withColumns({"sentence_count": F.when(text.isNotNull(), sentences), "text_hash": F.sha2(text, 256)}).drop("_raw")
 
-    def made(body: Column, words: Column) -> Column:
-        eof, short = stop >= F.length(text), words < S.SHORT
-        listed = F.array_distinct(F.concat(warnings, F.array_compact(F.array(F.when(short, F.lit("short_section")), F.when(eof, F.lit(eof_warning))))))
-        base = F.greatest(F.lit(0.4), F.least(F.lit(0.95), score / 100))
-        value = F.when(eof, F.least(base, F.lit(0.75))).otherwise(base)
-        value = F.when(words >= S.LONG, F.greatest(value, F.lit(0.85))).when(words >= S.FULL, F.greatest(value, F.lit(0.76))).otherwise(value)
-        value = F.when(short, F.least(base, F.lit(0.35))).otherwise(value)
-        sentences = F.greatest(F.size(T.sentences(body)), F.when(body != "", F.lit(1)).otherwise(F.lit(0)))
-        fields = {"section": name, "text": body, "word_count": words, "start_offset": start.cast("int"), "end_offset": stop.cast("int"), "warnings": listed, "extraction_confidence": F.round(value, 2), "sentence_count": sentences, "text_hash": F.sha2(body, 256), "extraction_method": F.lit(method)}
-        return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    body = S.normal_whitespace(F.substring(text, start + 1, stop - start))
-    return let(body, lambda b: let(S.word_count(b), lambda w: made(b, w)))
+def cut_out(section: Column, text: Column) -> Column:
+    """The section with _raw, its part of the text."""
+    return section.withField("_raw", F.substring(text, section["start_offset"] + 1, section["end_offset"] - section["start_offset"]))
 
 
 def primary_sections(filings: DataFrame, form_type: str) -> DataFrame:
@@ -162,7 +179,8 @@ def primary_sections(filings: DataFrame, form_type: str) -> DataFrame:
 
 def block_sections(filings: DataFrame, form_type: str, *, key: str = "filing_id") -> DataFrame:
     """Sections of with_blocks() rows: key, section, text, counts, offsets, confidence, method and warnings."""
-    return primary_sections(filings, form_type).select(key, F.inline("primary")).select(*block_columns(key))
+    found = primary_sections(filings, form_type).select(key, F.inline(F.transform("primary", lambda x: cut_out(x, F.col("full_text")))))
+    return with_texts(found).select(*block_columns(key))
 
 
 def risk_places(text: Column, form_type: str) -> Column:
@@ -196,7 +214,8 @@ def _shorter(a: Column, b: Column) -> Column:
 
 def best_item_1a(filings: DataFrame, form_type: str, *, key: str = "filing_id", text: str = "full_text") -> DataFrame:
     """The longest text from any mention of Item 1A to the next Item 1B or 2; annual and quarterly forms."""
-    return item_1a(filings, form_type, text).where(F.col("risks").isNotNull()).select(key, "risks.*").select(*block_columns(key))
+    found = item_1a(filings, form_type, text).where(F.col("risks").isNotNull()).select(key, cut_out(F.col("risks"), F.col(text)).alias("risks"))
+    return with_texts(found.select(key, "risks.*")).select(*block_columns(key))
 
 
 def block_columns(key: str) -> list[str]:
@@ -259,10 +278,14 @@ def extract(filings: DataFrame, form_type: str, *, key: str = "filing_id", html:
     With errors, a page that can't be read is one row of its key and parse_error, which is null in all others; without,
     such pages have no rows. No page fails the query.
     """
-    ready = primary_sections(with_blocks(filings.select(key, html), key=key, html=html), form_type).drop("marks", "blocks", "full_text")
+    ready = primary_sections(with_blocks(filings.select(key, html), key=key, html=html), form_type).drop("marks", "blocks")
     ready = S.heading_sections(ready, form_type, text="clean_text", made=section_of).withColumnRenamed("headings", "fallback")
     ready = T.once(item_1a(ready, form_type, "clean_text"), {"found": merged_sections(form_type)})
-    final = ready.select(key, "parse_warning", tagged_sections(with_item_1a(F.col("found"), F.col("risks")), F.lit(None).cast("string")).alias("found"))
+    tags = tagged_sections(with_item_1a(F.col("found"), F.col("risks")), F.lit(None).cast("string"))
+    source = lambda x: F.when(x["extraction_method"] == "block_sequence", F.col("full_text")).otherwise(F.col("clean_text"))
+    final = ready.select(key, F.col("parse_warning").alias("parse_error"), "full_text", "clean_text", tags.alias("found"))
+    cuts = F.transform("found", lambda x: cut_out(x, source(x)))
     if not errors:
-        return final.select(key, F.inline("found"))
-    return final.select(key, F.col("parse_warning").alias("parse_error"), F.when(F.col("parse_warning").isNotNull(), F.array(F.lit(None))).otherwise(F.col("found")).alias("found")).select(key, "parse_error", F.inline("found"))
+        return with_texts(final.select(key, F.inline(cuts))).select(*block_columns(key), "section_ord")
+    rows = final.select(key, "parse_error", F.when(F.col("parse_error").isNotNull(), F.array(F.lit(None))).otherwise(cuts).alias("found"))
+    return with_texts(rows.select(key, "parse_error", F.inline("found"))).select(key, "parse_error", *block_columns(key)[1:], "section_ord")

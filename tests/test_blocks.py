@@ -1,8 +1,12 @@
 """Sections from typed blocks of small pages."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from filingforge.operators import blocks
+from filingforge.functions.term_packs import FORM_PATTERNS
+from filingforge.operators import blocks, sections
 
 BODY = "We operate in markets that change and our results depend on demand for our products. " * 8
 LEGAL = "A claim was filed against us and we defend it with care in the court of the state. " * 6
@@ -68,3 +72,27 @@ def test_parse_warnings_go_to_the_first_section(spark, filings):
 
     got = blocks.tagged(blocks.block_sections(blocks.with_blocks(filings), "10-K"), parse_warning=F.lit("sec_parser_unavailable")).collect()
     assert all(("sec_parser_unavailable" in r.warnings) == (r.section_ord == 1) for r in got) and got
+
+
+def test_what_is_not_read_of_a_section_is_not_computed(spark, filings):
+    ready = blocks.with_blocks(filings)
+    for found in (blocks.block_sections(ready, "10-K"), blocks.extract(filings, "10-K"), sections.extract_sections(filings, "10-K", text="html")):
+        plan = found.select("filing_id", "section", "word_count")._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2" not in plan and "sha2" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headings_of_all_sections_are_found_in_one_search(spark):
+    texts = ["item 1a. risk factors 7a) quantitative 7. 3 legal proceedings x7 management item 9a 1c. cybersecurity", "Item 3. 7 Management 9a controls 7a. 7 management item\n1a - 1a risk\nfactors", "risk factors 1a", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "filing_id long, text string")
+    for form, patterns in FORM_PATTERNS.items():
+        got = {r.filing_id: [(x.at, x.section) for x in r.headings] for r in sections.heading_places(df, form, text="text").collect() if r.text}
+        for i, t in enumerate(texts):
+            if t:
+                every = {s: [m.start() for m in re.finditer(rf"(?<![a-z0-9]){p}", t.lower())] for s, p in patterns.items()}
+                assert sorted(s for _, s in got[i]) == sorted(s for s in every if every[s]) and all(at in every[s] for at, s in got[i])
+
+
+def test_words_are_counted_up_to_a_body(spark):
+    texts = ["", "...", "one", "...two, words", "a " * 49, "a " * 50, "a-" * 1000, "é1_ß 日本 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(blocks.first_words(F.col("t"))).collect()] == [min(50, len(re.findall(r"\w+", t))) for t in texts]
