@@ -48,15 +48,15 @@ def longest_first(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str
     return out
 
 
-def with_entities(texts: DataFrame, gazetteer: DataFrame, *, key: str, text: str = "text", block: int = BLOCK) -> DataFrame:
+def with_entities(texts: DataFrame, gazetteer: DataFrame, *, key: str, text: str = "text", block: int = BLOCK, kept: tuple[str, ...] = ()) -> DataFrame:
     """key and entities (start, end in code points, label) of each text; a null text has none. gazetteer: label, name.
 
-    key names the rows; rows that share one are told apart.
+    key names the rows; rows that share one are told apart. kept: narrow columns that stay with their rows.
     """
     names = gazetteer.where(F.length("name") > 0).groupBy("name").agg(F.min("label").alias("label"))
     names = staged(texts.sparkSession, names.withColumn("h", F.xxhash64("name")), "gazetteer")
     blocks = max(1, -(-names.count() // block))
-    source = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    source = texts.select(F.struct(F.col(key), *kept).alias("key"), F.col(text).alias("text"))
     if blocks > 1:
         source = staged(texts.sparkSession, source.withColumn("row", F.monotonically_increasing_id()), "entity-texts")
     else:
@@ -64,12 +64,12 @@ def with_entities(texts: DataFrame, gazetteer: DataFrame, *, key: str, text: str
     schema = source.select("key", "row", F.lit(None).cast(SPANS).alias("entities")).schema
     parts = [_scanned(source, names.where(F.pmod("h", F.lit(blocks)) == i), schema, alone=blocks == 1) for i in range(blocks)]
     if blocks == 1:
-        return parts[0].drop("row").withColumnRenamed("key", key)
+        return parts[0].select("key.*", "entities")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     met = every.groupBy("row").agg(F.first("key").alias("key"), F.flatten(F.collect_list("entities")).alias("entities"))
-    return _resolved(met.select("key", "row", "entities"), schema).drop("row").withColumnRenamed("key", key)
+    return _resolved(met.select("key", "row", "entities"), schema).select("key.*", "entities")
 
 
 def _scanned(source: DataFrame, names: DataFrame, schema: object, *, alone: bool) -> DataFrame:
@@ -111,4 +111,9 @@ def _batch(part: pa.RecordBatch, spans: Iterable[list[tuple[int, int, str]]], sh
 
 def density(entities: Column, text: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """Entities of the labels by words of the text; 0 without words."""
-    return T.ratio(F.size(F.filter(entities, lambda e: e["label"].isin(*labels))).cast("double"), F.size(T.tokens(text)))
+    return density_of(entities, F.size(T.tokens(text)), labels)
+
+
+def density_of(entities: Column, words: Column, labels: tuple[str, ...] = LABELS) -> Column:
+    """density() of a text of so many words."""
+    return T.ratio(F.size(F.filter(entities, lambda e: e["label"].isin(*labels))).cast("double"), words)

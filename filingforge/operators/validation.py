@@ -60,8 +60,8 @@ def quintile_monotonicity(rows: DataFrame, score: str, outcome: str, tie: str, *
 
 
 def spearman(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
-    """One row: n and the correlation of ordinal ranks."""
-    good = rows.where(finite(x) & finite(y))
+    """One row: n and the correlation of ordinal ranks; what the values come from is computed once, though ranges are sampled first."""
+    good = staged(rows.sparkSession, rows.where(finite(x) & finite(y)).select(*dict.fromkeys((x, y, tie))), "correlated")
     return ranked(ranked(good, x, tie, "rx"), y, tie, "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 

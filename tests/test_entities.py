@@ -5,6 +5,7 @@ import random
 import pytest
 
 from filingforge.operators import entities, validation
+from filingforge.plans import metric_queries
 
 NAMES = [("GPE", "China"), ("GPE", "New York"), ("ORG", "New York Times"), ("ORG", "York"), ("PER", "Ann"), ("ORG", "Ann"), ("GPE", "Île"), ("ORG", "A.B."), ("MONEY", "$5"), ("OTHER", "x"), ("ORG", "New"), ("ORG", "")]
 
@@ -45,3 +46,25 @@ def test_density_and_its_correlation(spark):
     assert -1 <= validation.spearman(out, "density", "other", "id").first().rho <= 1
     none = entities.with_entities(texts, spark.createDataFrame([], "label string, name string"), key="id")
     assert all(r.entities == [] for r in none.collect()) and none.count() == 5
+
+
+def test_what_is_correlated_is_computed_once_and_texts_meet_nothing(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40).selectExpr("id", "double(id) AS a", "double(id * 7 % 40) AS b").mapInArrow(counted, "id long, a double, b double")
+    validation.spearman(rows, "a", "b", "id").collect()
+    assert seen.value == 40
+    plan = metric_queries.entity_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_kept_columns_stay_with_their_rows(spark):
+    texts = spark.createDataFrame([(1, "Ann", 7), (1, "China and Ann", 8), (2, None, 9)], "id int, text string, n int")
+    for block in (100, 2):
+        found = entities.with_entities(texts, spark.createDataFrame(NAMES, "label string, name string"), key="id", block=block, kept=("n",))
+        assert sorted((r.id, r.n, len(r.entities)) for r in found.collect()) == [(1, 7, 1), (1, 8, 2), (2, 9, 0)]
