@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from filingforge.staging import staged
 
@@ -18,24 +24,74 @@ def gram_array(tokens: str | Column = "tokens", n: int = GRAM) -> Column:
     return F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(1), F.size(arr) - n + 1), lambda i: F.array_join(F.slice(arr, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def known_grams(grams: DataFrame) -> DataFrame:
-    """Grams for a join, written first: sent to where the texts are if they are few, which a least share of documents sees to."""
-    kept = staged(grams.sparkSession, grams, "grams")
-    return F.broadcast(kept) if kept.count() <= BROADCAST_GRAMS else kept
+def gram_hashes(tokens: str | Column = "tokens", n: int = GRAM) -> Column:
+    """A 64-bit hash of every n tokens in a row, in the order of gram_array(), without the grams."""
+    arr = F.col(tokens) if isinstance(tokens, str) else tokens
+    last = F.size(arr) - n + 1
+    return F.when(last > 0, F.transform(F.slice(arr, F.lit(1), last), lambda t, i: F.xxhash64(t, *[F.get(arr, i + k) for k in range(1, n)]))).otherwise(F.array().cast("array<long>"))
+
+
+def hash_of(gram: str = "gram", n: int = GRAM) -> Column:
+    """The hash that gram_hashes() has for a gram."""
+    return F.get(gram_hashes(F.split(gram, " "), n), F.lit(0))
+
+
+def hits(texts: DataFrame, key: str, wanted: DataFrame, *, n: int, tokens: str) -> DataFrame:
+    """key, n_tokens, pos and grams of each text: its grams whose hash is wanted, in order. wanted: h, and the gram if it has to agree too.
+
+    What is wanted is of a counted size; it is sent to where the texts are, and only hits are made texts.
+    """
+    spark = texts.sparkSession
+    rows = wanted.toArrow()  # at most BROADCAST_GRAMS
+    shared = spark.sparkContext.broadcast((np.unique(rows.column("h").to_numpy()), frozenset(rows.column("gram").to_pylist()) if "gram" in wanted.columns else None))
+    source = texts.select(F.col(key).alias("key"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).withColumn("h", gram_hashes("tokens", n))
+    schema = f"key {source.schema['key'].dataType.simpleString()}, n_tokens int, pos array<int>, grams array<string>"
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+
+    def found(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, known = shared.value
+        flat, sizes = part.column("h").flatten().to_numpy(zero_copy_only=False), part.column("tokens").value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(part.column("h").value_lengths().to_numpy(zero_copy_only=False))
+        place = np.searchsorted(hashes, flat)
+        hit = np.flatnonzero((place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == flat)) if len(hashes) else np.zeros(0, np.int64)
+        row = np.searchsorted(ends, hit, "right")
+        pos = hit - np.concatenate([[0], ends])[row]
+        first, words = (np.cumsum(sizes) - sizes)[row] + pos, part.column("tokens").flatten()
+        grams = list(map(" ".join, zip(*(words.take(pa.array(first + k)).to_pylist() for k in range(n)))))
+        if known is not None:
+            same = np.fromiter((g in known for g in grams), bool, len(grams))
+            row, pos, grams = row[same], pos[same], [g for g, kept in zip(grams, same, strict=True) if kept]
+        at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+        lists = ([values[i:j] for i, j in zip(at, at[1:])] for values in (pos.tolist(), grams))
+        columns = [part.column("key").cast(shape.field("key").type), pa.array(sizes, pa.int32()), *(pa.array(x, shape.field(c).type) for x, c in zip(lists, ("pos", "grams")))]
+        return pa.RecordBatch.from_arrays(columns, schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield found(batch.slice(at, 256))
+
+    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def gram_baseline(sections: DataFrame, *, min_doc_freq: int = 2, min_doc_frac: float = 0.05, tokens: str = "tokens", n: int = GRAM) -> DataFrame:
     """gram, doc_freq, n_docs of the grams in at least max(min_doc_freq, ceil(min_doc_frac * documents)) documents.
 
     A gram counts once a document; counts are combined before the shuffle. Grams are shuffled as 64-bit hashes; only those
-    whose hash is frequent enough are then counted by themselves, so that hashes that collide change nothing.
+    whose hash is frequent enough are then made texts and counted by themselves, so that hashes that collide change nothing.
+    Tokens hold no spaces.
     """
+    sections = sections.select(F.lit(0).alias("_key"), tokens)
     documents = F.broadcast(sections.where(F.size(tokens) > 0).agg(F.count("*").alias("n_docs")))  # one row
     limit = F.greatest(F.lit(min_doc_freq), F.ceil(F.col("n_docs") * min_doc_frac))
-    grams = sections.select(F.explode(F.array_distinct(gram_array(tokens, n))).alias("gram")).withColumn("h", F.xxhash64("gram"))
-    hashes = grams.groupBy("h").agg(F.count("*").alias("doc_freq")).join(documents).where(F.col("doc_freq") >= limit).select("h")
-    counted = grams.join(known_grams(hashes), "h", "left_semi").groupBy("gram").agg(F.count("*").alias("doc_freq"))
-    return counted.join(documents).where(F.col("doc_freq") >= limit)
+    hashed = sections.select(F.explode(F.array_distinct(gram_hashes(tokens, n))).alias("h")).groupBy("h").agg(F.count("*").alias("doc_freq"))
+    hashes = staged(sections.sparkSession, hashed.join(documents).where(F.col("doc_freq") >= limit).select("h"), "gram-hashes")
+    if hashes.count() <= BROADCAST_GRAMS:
+        grams = hits(sections, "_key", hashes, n=n, tokens=tokens).select(F.explode(F.array_distinct("grams")).alias("gram"))
+    else:
+        every = sections.select(F.explode(F.array_distinct(gram_array(tokens, n))).alias("gram")).withColumn("h", hash_of(n=n))
+        grams = every.join(hashes, "h", "left_semi")
+    return grams.groupBy("gram").agg(F.count("*").alias("doc_freq")).join(documents).where(F.col("doc_freq") >= limit)
 
 
 def cross_firm_ratio(sections: DataFrame, baseline: DataFrame, *, key: str = "doc_id", tokens: str = "tokens", n: int = GRAM) -> DataFrame:
@@ -44,13 +100,18 @@ def cross_firm_ratio(sections: DataFrame, baseline: DataFrame, *, key: str = "do
     A gram at i covers i to i + n - 1: overlaps are resolved by counting the steps between hits in order, so a text
     costs one row a hit, not n.
     """
-    at = sections.select(key, F.size(tokens).alias("n_tokens"), F.posexplode(gram_array(tokens, n)).alias("pos", "gram"))
-    hits = at.join(known_grams(baseline.select("gram")), "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    spark = sections.sparkSession
+    grams = staged(spark, baseline.select("gram"), "grams")
+    if grams.count() <= BROADCAST_GRAMS:
+        found = hits(sections, key, grams.withColumn("h", hash_of(n=n)), n=n, tokens=tokens)
+    else:
+        base = sections.select(key, F.size(tokens).alias("n_tokens"))
+        at = sections.select(key, F.posexplode(gram_array(tokens, n)).alias("pos", "gram"))
+        found = base.join(at.join(grams, "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("pos")), key, "left")
     # From each hit on, n words or those up to the next hit are covered.
-    gaps = F.zip_with(F.slice("hits", F.lit(2), F.greatest(F.size("hits") - 1, F.lit(0))), F.slice("hits", F.lit(1), F.greatest(F.size("hits") - 1, F.lit(0))), lambda a, b: F.least(a - b, F.lit(n)))
-    covered = F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x) + n
-    base = sections.select(key, F.size(tokens).alias("n_tokens"))
-    out = base.join(hits.select(key, covered.alias("covered")), key, "left").withColumn("covered_words", F.coalesce("covered", F.lit(0)))
+    gaps = F.zip_with(F.slice("pos", F.lit(2), F.size("pos") - 1), F.slice("pos", F.lit(1), F.size("pos") - 1), lambda a, b: F.least(a - b, F.lit(n)))
+    covered = F.when(F.size("pos") > 0, F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x) + n)
+    out = found.withColumn("covered_words", F.coalesce(covered, F.lit(0)))
     return out.select(key, "covered_words", F.round(F.when(F.col("n_tokens") > 0, F.col("covered_words") / F.col("n_tokens")).otherwise(0.0), 6).alias("boilerplate_cross_firm_ratio"))
 
 

@@ -140,6 +140,37 @@ def test_gram_baseline_and_cover(spark):
     assert got[0].covered_words == 7 and got[9].covered_words == 0 and got[10].boilerplate_cross_firm_ratio == 0.0
 
 
+def test_grams_are_looked_up_where_the_texts_are(spark, monkeypatch):
+    words = ["we", "face", "many", "known", "risks", "today"]
+    rows = [(i, A1, 0, " ".join(words[(i * j + j) % 6] for j in range(i))) for i in range(60)] + [(60, A1, 0, None), (61, A1, 0, "one two")]
+    s = parts(spark, rows).repartition(3)
+    results = []
+    for most in (boilerplate.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(boilerplate, "BROADCAST_GRAMS", most)
+        base = boilerplate.gram_baseline(s, min_doc_freq=5, min_doc_frac=0.05)
+        cover = boilerplate.cross_firm_ratio(s, base, key="filing_id")
+        assert ("Join" in cover._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+        results.append((sorted(map(tuple, base.collect())), sorted(map(tuple, cover.collect()))))
+    tokens = [(i, (t or "").split()) for i, _, _, t in rows]
+    grams = {}
+    for i, t in tokens:
+        for g in {tuple(t[k : k + 4]) for k in range(len(t) - 3)}:
+            grams.setdefault(g, set()).add(i)
+    kept = {g for g, at in grams.items() if len(at) >= 5}
+    covered = {i: len({k + d for k in range(len(t) - 3) if tuple(t[k : k + 4]) in kept for d in range(4)}) for i, t in tokens}
+    assert results[0] == results[1] and {tuple(g.split()): n for g, n, _ in results[0][0]} == {g: len(grams[g]) for g in kept} and kept
+    assert {i: n for i, n, _ in results[0][1]} == covered and sum(covered.values()) > 100
+
+
+def test_a_hash_that_meets_another_gram_is_no_hit(spark):
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"]), (2, None), (3, ["a"])], "id int, tokens array<string>")
+    wanted = spark.createDataFrame([("a b c d",), ("b c d e",)], "gram string").withColumn("h", boilerplate.hash_of())
+    other = wanted.withColumn("gram", F.when(F.col("gram") == "a b c d", F.lit("x y z w")).otherwise(F.col("gram")))
+    got = [{r.id: (r.n_tokens, r.pos, r.grams) for r in boilerplate.hits(texts, "id", w, n=4, tokens="tokens").collect()} for w in (wanted, other, wanted.limit(0))]
+    assert got[0] == {1: (5, [0, 1], ["a b c d", "b c d e"]), 2: (0, [], []), 3: (1, [], [])}
+    assert got[1][1] == (5, [1], ["b c d e"]) and got[2][1] == (5, [], [])
+
+
 def test_quintiles_use_floors(spark):
     for n in (5, 7, 13):
         df = spark.createDataFrame([(i, float(i)) for i in range(n)] + [(98, float("nan")), (99, None)], "k int, v double").repartition(3)
