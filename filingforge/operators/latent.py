@@ -39,10 +39,11 @@ def chunk_slots(text: Column, slots: int = SLOTS, size: int = CHUNK) -> Column:
     return F.transform(chunks(F.coalesce(text, F.lit("")), size), lambda c: F.transform(terms(c), lambda t: F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")))
 
 
-def weighted(lists: list[list[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted(lists: list[list[int]] | pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of unit length as (slot, weight, row) entries, in the order of rows; rows without a term have none."""
-    flat = np.array([s for x in lists for s in x], np.int64)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    lists = lists if isinstance(lists, pa.ListArray) else pa.array(lists, pa.list_(pa.int32()))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
     cells, counts = np.unique(row * len(idf) + flat, return_counts=True)
     row, slot = cells // len(idf), cells % len(idf)
     weight = counts * idf[slot]
@@ -71,7 +72,7 @@ def gram_times(rows: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarra
         total, seen = np.zeros((slots, width)), False
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                lists = batch.column("slots").slice(at, 512).to_pylist()
+                lists = batch.column("slots").slice(at, 512)
                 slot, weight, row = entries = weighted(lists, idf)
                 ahead = times(entries, len(lists), block)
                 order = np.argsort(slot, kind="stable")
@@ -142,10 +143,10 @@ def with_vectors(texts: DataFrame, model: DataFrame, columns: dict[str, str], *,
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for i in range(len(names)):
-                    lists = part.column(f"s{i}").to_pylist()
-                    flat = [x for row in lists for x in row]
+                    lists = part.column(f"s{i}")
+                    flat = lists.flatten()
                     latent = times(weighted(flat, idf), len(flat), vectors)
-                    edges = np.cumsum([0, *(len(x) for x in lists)])
+                    edges = np.cumsum([0, *lists.value_lengths().to_pylist()])
                     means = [latent[a:b].mean(axis=0) if b > a and latent[a:b].any() else None for a, b in zip(edges, edges[1:])]
                     out.append(pa.array([None if m is None else m.tolist() for m in means], pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *out], schema=shape)

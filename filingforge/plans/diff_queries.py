@@ -37,7 +37,7 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each turn and the turn before by latent vectors of all turns, and the change score that follows from it."""
     pairs = turns(spark, sf_dir)
-    model = latent.fit(pairs.select("text"), directions=16)
+    model = latent.fit(frame(spark, sf_dir, TURNS_SQL, "conversations").select("text"), directions=16)
     out = diff.section_diffs(latent.with_similarity(pairs, model))
     return out.where("prior_text IS NOT NULL").select("id", F.round("semantic_similarity", 4).alias("latent_similarity"), F.round("change_v1", 2).alias("change_v1"))
 

@@ -79,3 +79,14 @@ def test_no_terms(spark):
     model = latent.fit(none, slots=64)
     assert model.count() == 0
     assert [r.v for r in latent.with_vectors(none, model, {"text": "v"}, slots=64).collect()] == [None, None]
+
+
+def test_slots_are_weighted_as_lists_or_as_arrow():
+    import pyarrow as pa
+
+    lists = [[1, 2, 1], [], [3], [0, 0, 2]]
+    idf = np.array([1.0, 2.0, 1.5, 3.0])
+    held = pa.array([[9], *lists], pa.list_(pa.int32())).slice(1)
+    assert all(np.array_equal(a, b) for a, b in zip(latent.weighted(lists, idf), latent.weighted(held, idf)))
+    slot, weight, row = latent.weighted(held, idf)
+    assert row.tolist() == [0, 0, 2, 3, 3] and slot.tolist() == [1, 2, 3, 0, 2] and np.allclose(np.bincount(row, weight * weight), [1, 0, 1, 1])
