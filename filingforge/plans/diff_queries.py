@@ -18,14 +18,15 @@ NUMBER_SQL = r"(?i)(?:\$)?\d[\d,]*(?:\.\d+)?%?|\b(?:january|february|march|april
 FAR_YEARS = 1_000_000_000
 
 
-def with_parts(pairs: DataFrame) -> DataFrame:
-    """Tokens, sentences and lower-cased text on both sides."""
-    cur = T.once(metrics.with_text_parts(pairs), {"prior_lower": F.lower("prior_text")})
-    return T.once(cur, {"prior_tokens": T.tokens_of("prior_lower"), "prior_sentences": T.sentences("prior_text")})
+def with_parts(pairs: DataFrame, parts: tuple[str, ...] = ("tokens", "sentences")) -> DataFrame:
+    """Lower-cased text and the parts on both sides."""
+    cur = T.once(metrics.with_text_parts(pairs, parts=parts), {"prior_lower": F.lower("prior_text")})
+    makers = {"tokens": lambda: T.tokens_of("prior_lower"), "sentences": lambda: T.sentences("prior_text")}
+    return T.once(cur, {f"prior_{p}": makers[p]() for p in parts}) if parts else cur
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_parts(frame(spark, sf_dir, TURNS_SQL, "conversations"))
+def turns(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = ("tokens", "sentences")) -> DataFrame:
+    return with_parts(frame(spark, sf_dir, TURNS_SQL, "conversations"), parts)
 
 
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,20 +53,20 @@ def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics that come and go between turns."""
     packs = P.TermPacks()
-    t = turns(spark, sf_dir).where("prior_text IS NOT NULL").withColumns({"topics": diff.topics_in("lower", packs), "prior_topics": diff.topics_in("prior_lower", packs)})
+    t = T.once(turns(spark, sf_dir, ()).where("prior_text IS NOT NULL"), {"topics": diff.topics_in("lower", packs), "prior_topics": diff.topics_in("prior_lower", packs)})
     return t.select("id", F.array_join(F.array_except("topics", "prior_topics"), ",").alias("new_topics"), F.array_join(F.array_except("prior_topics", "topics"), ",").alias("removed_topics"), F.array_join(F.array_intersect("topics", "prior_topics"), ",").alias("shared_topics"))
 
 
 def numeric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that are only in a turn or only in the one before."""
-    t = turns(spark, sf_dir).where("prior_text IS NOT NULL").withColumns({"now": T.numeric_tokens("text"), "before": T.numeric_tokens("prior_text")})
+    t = turns(spark, sf_dir, ()).where("prior_text IS NOT NULL").withColumns({"now": T.numeric_tokens("text"), "before": T.numeric_tokens("prior_text")})
     return t.select("id", F.array_join(F.array_sort(F.array_except("now", "before")), ";").alias("added_numbers"), F.array_join(F.array_sort(F.array_except("before", "now")), ";").alias("removed_numbers"))
 
 
 def language_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of tone ratios between turns, in hundredths."""
     packs = P.TermPacks()
-    t = turns(spark, sf_dir).where("prior_text IS NOT NULL")
+    t = turns(spark, sf_dir, ("tokens",)).where("prior_text IS NOT NULL")
     return t.select("id", *[F.round((diff.share("tokens", getattr(packs, p)) - diff.share("prior_tokens", getattr(packs, p))) * 100, 4).alias(n) for n, p in diff.DELTAS.items()])
 
 
